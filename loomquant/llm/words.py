@@ -170,3 +170,31 @@ def inside_rows(rows: np.ndarray, k: int, n: int) -> np.ndarray:
     """For windows of k words at 0..n-1: whether the window stays within its row."""
     end = np.repeat(rows[1:], np.diff(rows))[:n]
     return np.arange(n) + k <= end
+
+
+def bounded(batches, column: str = "text", limit: int = 4 << 20):
+    """Record batches cut so that their texts hold about `limit` bytes (or one row)."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        if texts.nbytes <= limit:
+            yield batch
+            continue
+        _, off = as_bytes(texts)
+        at = 0
+        while at < len(off) - 1:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def row_sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of set flags between consecutive offsets."""
+    out = np.zeros(len(off) - 1, dtype=np.int64)
+    full = np.flatnonzero(np.diff(off))
+    if len(full):
+        out[full] = np.add.reduceat(flags.view(np.uint8), off[full], dtype=np.int64)
+    return out
