@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup
+from . import decontam, host_quality, line_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,144 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.drop("n_word_lines")
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, p) > 1),
+rep AS (
+  SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM twice)
+  GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_word_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)
+), f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CAST(word_chars < 3 * n_words OR word_chars > 10 * n_words AS INT) + CAST(10 * n_symbols > n_words AS INT)
+      + CAST(10 * n_dup_lines > 3 * n_word_lines AS INT) + CAST(10 * n_repeat_words > n_words AS INT) AS soft
+  FROM c
+), h AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft > 0) AS failed FROM f GROUP BY source
+), m AS (SELECT sum(n) AS n, sum(failed) / sum(n) AS mean, count(*) AS hosts FROM h),
+v AS (
+  SELECT any_value(m.mean) AS mean, any_value(m.mean) * (1 - any_value(m.mean)) AS noise,
+    sum(h.n * pow(h.failed / h.n - m.mean, 2)) / any_value(m.n)
+      - any_value(m.mean) * (1 - any_value(m.mean)) * any_value(m.hosts) / any_value(m.n) AS between_hosts
+  FROM h, m
+), s AS (
+  SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(noise / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS k
+  FROM v
+), prior AS (SELECT greatest(mean * k, 1e-3) AS a, greatest((1 - mean) * k, 1e-3) AS b FROM s),
+tier AS (
+  SELECT source, CASE WHEN (failed + a) / (n + a + b) >= 0.5 THEN 0
+    WHEN (failed + a) / (n + a + b) > 1.5 * a / (a + b) THEN 1 ELSE 2 END AS allowed
+  FROM h, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND soft <= allowed AS kept
+FROM f JOIN tier ON f.source IS NOT DISTINCT FROM tier.source
+"""
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts by base kind, the digest of the base spans and all spans as text; `spans` is sorted already."""
+
+    def told(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans")
+    )
+
+
+def matches_sql(kind: str, pattern: str) -> str:
+    """(doc_id, kind, a, b, m): leftmost non-overlapping matches with code point offsets."""
+    whole = f"'(?s)(.*?)(?:({pattern})|\\z)'"
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, a, a + length(m) AS b, m FROM (
+    SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(pre[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), {whole}, 1) AS pre,
+        regexp_extract_all(coalesce(text, ''), {whole}, 2) AS ms FROM documents)))
+  WHERE m <> ''"""
+
+
+def spans_sql(found: str, base: tuple[str, ...], added: tuple[str, ...]) -> str:
+    """The digest columns from rows (doc_id, kind, a, b) of the CTEs in `found` (the last one is named s)."""
+    kinds = (*base, *added)
+    names = ", ".join(f"'{k}'" for k in base)
+    place = f"list_position([{', '.join(repr(k) for k in kinds)}], kind)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+WITH {found}
+SELECT doc_id, {', '.join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in base)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(all_spans, '') AS spans
+FROM documents LEFT JOIN (
+  SELECT doc_id, {counts},
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {place}, b) FILTER (kind IN ({names})) AS base_spans,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {place}, b) AS all_spans
+  FROM s GROUP BY doc_id) USING (doc_id)
+"""
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE_KINDS)
+
+
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+OP7_SQL = spans_sql(
+    rf"""e AS ({matches_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")}),
+i AS ({matches_sql("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")}),
+c AS ({matches_sql("card", r"[0-9](?:[\x20-]?[0-9])+")}),
+p AS ({matches_sql("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}),
+b AS ({matches_sql("iban", r"\b[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}\b")}),
+n AS ({matches_sql("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}),
+cut AS (SELECT doc_id, kind, a, a + size AS b, replace(m[1:size], ' ', '') AS m FROM (
+  SELECT *, unnest(range(15, length(m) + 1)) AS size FROM b) WHERE size = length(m) OR m[size + 1] = ' '),
+good AS (SELECT doc_id, kind, a, max(b) AS b FROM cut WHERE length(m) BETWEEN 15 AND 34 AND list_reduce(
+  list_prepend(0, list_transform(string_split(m[5:] || m[1:4], ''),
+    lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)),
+  lambda t, v: (t * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1 GROUP BY doc_id, kind, a),
+near AS (SELECT n.*, {LOWER.format("substring(text, greatest(a - 48, 0) + 1, a - greatest(a - 48, 0)) || ' ' || substring(text, b + 1, 48)")} AS around
+  FROM n JOIN documents USING (doc_id)),
+s AS (
+  SELECT doc_id, kind, a, b FROM e UNION ALL
+  SELECT doc_id, kind, a, b FROM i WHERE len(list_filter(string_split(m, '.'),
+    lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 0) > 255)) = 0 UNION ALL
+  SELECT doc_id, kind, a, b FROM c WHERE length({DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(
+    string_split(reverse({DIGITS}), ''), lambda x, k: CASE WHEN k % 2 = 1 THEN CAST(x AS INT)
+      WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0 UNION ALL
+  SELECT doc_id, kind, a, b FROM p WHERE length({DIGITS}) BETWEEN 9 AND 15 UNION ALL
+  SELECT doc_id, kind, a, b FROM good UNION ALL
+  SELECT doc_id, kind, a, b FROM near WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00'
+    AND m[8:11] <> '0000' AND (around LIKE '%ssn%' OR around LIKE '%social security%' OR around LIKE '%taxpayer%')
+)""",
+    pii.BASE_KINDS,
+    ("iban", "ssn"),
+)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
@@ -79,10 +217,14 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_host_quality": op4_host_quality,
+    "op7_pii": op7_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op4_host_quality": OP4_SQL,
+    "op7_pii": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }
