@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, host_quality, line_dedup, pii
+from . import byte_bpe, decontam, host_quality, line_dedup, pii, preference_quality, sharding
 from .storage import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +177,31 @@ s AS (
 )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = preference_quality.fit_ranker(docs, table(spark, sf_dir, "labels"))
+    scored = preference_quality.score_documents(docs, ranker, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        preference_quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= ranker.cut).cast("int").alias("predicted"),
+    )
+
+
+def tokenizer() -> byte_bpe.Vocabulary:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer(), keep=["doc_id"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
@@ -219,8 +245,11 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_sharding": op3_sharding,
     "op4_host_quality": op4_host_quality,
     "op7_pii": op7_pii,
+    "op8_preference_quality": op8_preference_quality,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
