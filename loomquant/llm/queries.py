@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, host_quality, line_dedup, pii, preference_quality, sharding
+from . import byte_bpe, decontam, host_quality, line_dedup, pii, preference_quality, secret_scan, sharding
 from .storage import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,36 @@ FROM documents LEFT JOIN (
 """
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_scan.RULES
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    named = F.transform("spans", lambda s: F.struct(F.get(kinds, s["kind"]).alias("kind"), s["start"], s["end"]))
+    return span_digest(found.select("doc_id", named.alias("spans")), tuple(r.kind for r in secret_scan.BASE_RULES))
+
+
+def secret_sql(rule: secret_scan.Rule) -> str:
+    """(doc_id, kind, a, b) of one rule's spans."""
+    whole = "'" + f"(?s)(.*?)(?:({rule.lead})({rule.value})|\\z)".replace("'", "''") + "'"
+    total = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    parts = ", ".join(
+        f"regexp_extract_all(coalesce(text, ''), {whole}, {g}) AS {n}" for g, n in ((1, "gap"), (2, "ld"), (3, "val"))
+    )
+    return f"""
+  SELECT doc_id, '{rule.kind}' AS kind, a, a + length(ld[i]) + length(val[i]) AS b FROM (
+    SELECT doc_id, ld, val, i, CAST({total.format("gap[1:i]")} + {total.format("ld[1:i - 1]")}
+      + {total.format("val[1:i - 1]")} AS BIGINT) AS a
+    FROM (SELECT *, unnest(range(1, len(val) + 1)) AS i FROM (SELECT doc_id, {parts} FROM documents)))
+  WHERE length(val[i]) >= {rule.least}"""
+
+
+OP5_SQL = spans_sql(
+    "s AS (" + " UNION ALL ".join(secret_sql(r) for r in secret_scan.RULES) + ")",
+    tuple(r.kind for r in secret_scan.BASE_RULES),
+    tuple(r.kind for r in secret_scan.ADDED_RULES),
+)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE_KINDS)
 
@@ -247,6 +277,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_host_quality": op4_host_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op7_pii": op7_pii,
     "op8_preference_quality": op8_preference_quality,
     "op9_byte_bpe": op9_byte_bpe,
@@ -256,6 +287,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_host_quality": OP4_SQL,
+    "op5_secret_scan": OP5_SQL,
     "op7_pii": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }
