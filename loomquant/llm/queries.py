@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, host_quality, line_dedup, pii, preference_quality, secret_scan, sharding
+from . import byte_bpe, decontam, host_quality, line_dedup, pii, preference_quality, secret_scan, sharding, substring_dedup
 from .storage import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,30 @@ OP5_SQL = spans_sql(
 )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), later AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM later),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d) e
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = e.doc_id AND g.j = e.j)
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE_KINDS)
 
@@ -278,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_host_quality": op4_host_quality,
     "op5_secret_scan": op5_secret_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_preference_quality": op8_preference_quality,
     "op9_byte_bpe": op9_byte_bpe,
@@ -288,6 +313,7 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_host_quality": OP4_SQL,
     "op5_secret_scan": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_pii": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }
