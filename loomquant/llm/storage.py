@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,12 @@ def bound_batches(spark: SparkSession) -> None:
         now = spark.conf.get(name, None)
         if now == initial or initial is None and now in (None, "-1", str(1 << 63), "268435456", "67108864"):
             spark.conf.set(name, ours)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Writes the rows as a Parquet table in the shared folder and reads them back: like `cut_lineage`, but compressed
+    and columnar, for tables that are read more than once."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

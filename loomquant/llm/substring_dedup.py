@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .line_dedup import NO_ID, with_row_key
-from .storage import cut_lineage, shared_folder
+from .storage import shared_folder, stored
 from .words import as_bytes, bounded, column, inside_rows, rolling, split_words
 
 RUN_SCHEMA = "fp long, least long, greatest long"
@@ -200,13 +200,13 @@ def dedup_substrings(
     kept_text. Documents enter the index in `n_batches` batches."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window=window, gram=gram)
-    found = cut_lineage(index.fingerprints_of(docs))
+    found = stored(index.fingerprints_of(docs))
     for batch in range(n_batches):
         index.append(found.where(F.pmod(F.xxhash64("doc"), F.lit(n_batches)) == batch))
     index.compact()
     marked = index.shared(found).groupBy("doc", "tag").agg(F.collect_set("fp").alias("fps"))
     texts = with_row_key(docs)
-    windows = cut_lineage(
+    windows = stored(
         texts.join(marked, ["doc", "tag"]).mapInArrow(
             _window_rows(window, gram), "h1 long, h2 long, doc long, tag long, at int"
         )
