@@ -1,15 +1,74 @@
-"""The corpus pipeline over `documents`."""
+"""The corpus pipeline over `documents`: quality rules, line deduplication, near duplicates, benchmark decontamination,
+tokens. All stages but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loomquant.llm import byte_bpe, decontam, host_quality, jaccard_join, line_dedup
+from loomquant.llm.queries import table, tokenizer
+from loomquant.llm.storage import bound_batches, stored
+
+MARK = "__llm_"
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """`changed` with the columns of `docs`: its column `text` as the text, and n_chars to match where there is one."""
+    own = {"text": F.col(text).alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return changed.select(*[own.get(c, F.col(c)) for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the rules and their host's evidence reject."""
+    bound_batches(spark)
+    judged = host_quality.judge(docs, keep=docs.columns, prefix=MARK)
+    return judged.where(F.col(MARK + "kept")).select(*docs.columns)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of all documents but one."""
+    bound_batches(spark)
+    keep = [c for c in docs.columns if c != "text"]
+    return _with_text(docs, line_dedup.dedup_lines(docs, keep=keep, text_out=True, prefix=MARK), MARK + "kept_text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    bound_batches(spark)
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the passages of benchmark items out of the texts."""
+    keep = [c for c in docs.columns if c != "text"]
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = decontam.find_contamination(docs, benchmark, keep=keep, cut=True, prefix=MARK)
+    return _with_text(docs, found, MARK + "clean_text")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts and decodes them again."""
+    bound_batches(spark)
+    return byte_bpe.encode(docs, tokenizer(), keep=["doc_id"])
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+#: Byte-pair merges have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -505,12 +505,20 @@ class JaccardJoin:
         return stored(pairs.select("x1", "x2", "y1", "y2").distinct())
 
     def components(self) -> DataFrame:
-        """(doc, tag, n, component) of all rows; component is the least doc reachable."""
-        labels = self.labels().select(F.col("node").alias("id"), F.col("component.rep").alias("least"))
+        """(doc, tag, n, component, keeper) of all rows: component is the least doc reachable, and keeper tells the one
+        text of each component, or a row without shingles."""
+        labels = self.labels().withColumnRenamed("node", "id")
         classes = self.named("k", "id").join(labels, "id", "left")
-        classes = classes.select("k1", "k2", F.coalesce("least", "id.rep").alias("component"))
+        classes = classes.select("k1", "k2", F.coalesce("component", "id").alias("least"))
         out = self.sets.join(classes, ["k1", "k2"], "left")
-        return out.select("doc", "tag", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+        some = F.col("n") > 0
+        return out.select(
+            "doc",
+            "tag",
+            "n",
+            F.when(some, F.col("least.rep")).otherwise(F.col("doc")).alias("component"),
+            (~some | ((F.col("doc") == F.col("least.rep")) & (F.col("tag") == F.col("least.rep_tag")))).alias("keeper"),
+        )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -521,3 +529,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = JaccardJoin(docs).components()
     return found.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` of which one stays for each component (the least doc_id's; of rows that repeat doc_id and text,
+    one). Rows without shingles all stay."""
+    marks = JaccardJoin(docs).components().where("keeper").groupBy("doc", "tag").agg(F.max("n").alias("__n"))
+    marks = marks.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
+    keyed = docs.select(
+        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64("text").alias("__tag")
+    )
+    nth = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy(F.xxhash64(*docs.columns)))
+    joined = keyed.join(marks, ["__doc", "__tag"]).withColumn("__nth", nth)
+    return joined.where((F.col("__nth") == 1) | (F.col("__n") == 0)).select(*docs.columns)

@@ -187,6 +187,7 @@ def _apply(keep: list[str], prefix: str, text_out: bool):
         for batch in bounded(batches, prefix + "text"):
             raw, off = as_bytes(column(batch, prefix + "text"))
             n_lines, n_dropped, shas, texts = [], [], [], []
+            there = column(batch, prefix + "text").is_valid().to_pylist()
             for r, bitmap in enumerate(column(batch, prefix + "keep_bitmap").to_pylist()):
                 data = raw[off[r] : off[r + 1]].tobytes()
                 n = data.count(b"\n") + 1
@@ -201,7 +202,7 @@ def _apply(keep: list[str], prefix: str, text_out: bool):
                 n_dropped.append(gone)
                 shas.append(hashlib.sha256(data).hexdigest())
                 if text_out:
-                    texts.append(data.decode())
+                    texts.append(data.decode() if there[r] else None)
             arrays = [column(batch, c) for c in keep]
             arrays += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(shas, pa.string())]
             names = [*keep, *(prefix + c for c in ("n_lines", "n_dropped", "kept_sha256"))]
