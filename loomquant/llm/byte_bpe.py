@@ -4,7 +4,7 @@ Encoding is one narrow stage. A first Arrow function splits each text by the tok
 are single tokens by their rank and every other word by a number, and sends each distinct word of the task once, as
 an array of byte ranks, ahead of the documents that use it. The fold runs in the JVM on these rows: `aggregate`
 repeats "merge the leftmost adjacent pair of least rank", looking pair ranks up in a literal map (an array of hash
-buckets, since a literal MAP is searched linearly). A second Arrow function puts documents together from merged words
+slots, since a literal MAP is searched linearly). A second Arrow function puts documents together from merged words
 and decodes by concatenating the tokens' byte strings. A task forgets its words after `max_words` of them, which
 bounds memory without changing results; nothing is broadcast but the rank table, whose size the vocabulary fixes.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -33,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .words import bounded, column
 
-KEY_BASE = 1 << 33  # keys of pairs stay apart from the ranks beside them
 LEFT = 1 << 17
+NO_RANK = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,40 +93,54 @@ def merge(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return [x for x, there in zip(ids, alive, strict=True) if there]
 
 
-def rank_buckets(pairs: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Hash buckets of key, rank, key, rank, ...; about one pair in each."""
-    size = 1 << max(1, len(pairs) - 1).bit_length()
-    out: list[list[int]] = [[] for _ in range(size)]
+def rank_table(pairs: dict[tuple[int, int], int]) -> list[int]:
+    """A flat hash table of key * 65536 + rank in which every key stands in one of two slots (0: free)."""
+    size = 1 << (3 * max(1, len(pairs))).bit_length()
+    out = [0] * size
     for (left, right), rank in pairs.items():
-        out[(left * 40_503 + right * 9_973) % size] += [KEY_BASE + left * LEFT + right, rank]
+        item, slot = ((left * LEFT + right) << 16) | rank, _slots(left, right, size)[0]
+        for _ in range(1000):
+            item, out[slot] = out[slot], item
+            if not item:
+                break
+            one, two = _slots((item >> 16) // LEFT, (item >> 16) % LEFT, size)
+            slot = two if slot == one else one
+        else:
+            raise ValueError("the pairs of this vocabulary don't fit the table")
     return out
 
 
+def _slots(left: int, right: int, size: int) -> tuple[int, int]:
+    return (left * 40_503 + right * 9_973) & (size - 1), (left * 7_919 + right * 65_537 + 17) & (size - 1)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_merges(word: Column, table: Column, size: int) -> Column:
-    """Ids of a word given as its byte ranks. The state holds the ids, the ranks of their adjacent pairs and the
-    least of those."""
+    """Ids of a word given as its bytes' ids and the ranks of their adjacent pairs. The state holds the ids and the
+    ranks of adjacent pairs, NO_RANK where a pair is no token."""
 
     def pair_rank(left: Column, right: Column) -> Column:
-        key = F.lit(KEY_BASE) + left * F.lit(LEFT) + right
-        bucket = F.get(table, (left * F.lit(40_503) + right * F.lit(9_973)) % F.lit(size))
-        return _let(
-            F.struct(bucket.alias("b"), F.array_position(bucket, key).alias("p")),
-            lambda s: F.when(s["p"] > 0, F.get(s["b"], s["p"])),
-        )
+        key = left * F.lit(LEFT) + right
+        one = F.get(table, (left * F.lit(40_503) + right * F.lit(9_973)).bitwiseAND(F.lit(size - 1)))
+        two = F.get(table, (left * F.lit(7_919) + right * F.lit(65_537) + F.lit(17)).bitwiseAND(F.lit(size - 1)))
 
-    n = F.size(word)
-    ranks = F.zip_with(F.slice(word, 1, n - 1), F.slice(word, 2, n), lambda a, b: F.when(b.isNotNull(), pair_rank(a, b)))
-    start = F.struct(word.alias("ids"), F.slice(ranks, 1, n - 1).alias("ranks"))
+        def rank(item: Column, other: Column) -> Column:
+            return F.when(F.shiftright(item, 16) == key, item.bitwiseAND(F.lit(0xFFFF))).otherwise(other)
+
+        return rank(one, rank(two, F.lit(NO_RANK)))
+
+    ids, ranks = word["ids"], word["ranks"]
+    n = F.size(ids)
+    start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
         return _let(
             F.array_min(state["ranks"]),
-            lambda least: F.when(least.isNull(), state).otherwise(
+            lambda least: F.when(least == NO_RANK, state).otherwise(
                 _let(F.array_position(state["ranks"], least).cast("int"), lambda p: merged(state, least, p))
             ),
         )
@@ -143,7 +156,7 @@ def fold_merges(word: Column, table: Column, size: int) -> Column:
             F.concat(before, left, right, F.slice(old, p + 2, F.size(old) + 1)).alias("ranks"),
         )
 
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step)["ids"])
+    return F.when(n < 2, ids).otherwise(F.aggregate(F.slice(ids, F.lit(2), n), start, step)["ids"])
 
 
 class _Numbers(dict):
@@ -171,12 +184,26 @@ _DOC, _WORDS, _FORGET = 0, 1, 2
 
 def _split(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, max_words: int, long_bytes: int):
     byte_ranks = np.array(vocabulary.byte_ranks(), dtype=np.int64)
+    of_bytes = np.full((256, 256), NO_RANK, dtype=np.int64)
+    for (left, right), rank in vocabulary.pairs.items():
+        if len(vocabulary.pieces[left]) == len(vocabulary.pieces[right]) == 1:
+            of_bytes[vocabulary.pieces[left][0], vocabulary.pieces[right][0]] = rank
 
     def rows(kind: int, words: list[bytes]) -> pa.RecordBatch:
         short = [w if len(w) <= long_bytes else b"" for w in words]
-        flat = byte_ranks[np.frombuffer(b"".join(short), np.uint8)]
+        raw = np.frombuffer(b"".join(short), np.uint8)
         ends = np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int32)
-        nested = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+        inner = np.ones(len(raw), dtype=bool)  # bytes followed by another one of their word
+        inner[ends[1:][np.diff(ends) > 0] - 1] = False
+        pair_ends = np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - 1, 0))]).astype(np.int32)
+        at = np.flatnonzero(inner)
+        nested = pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ranks[raw], pa.int64())),
+                pa.ListArray.from_arrays(pa.array(pair_ends), pa.array(of_bytes[raw[at], raw[at + 1]], pa.int64())),
+            ],
+            names=["ids", "ranks"],
+        )
         chunks = pa.array(np.unique(np.append(np.arange(0, len(words), 500), len(words))), pa.int32())
         lists = pa.ListArray.from_arrays(chunks, nested)
         longs = [
@@ -230,11 +257,18 @@ def _assemble(vocabulary: Vocabulary, keep: list[str], prefix: str, ids_out: boo
                 if kind == _FORGET:
                     words_ids, words_bytes = [], []
                 elif kind == _WORDS:
-                    for ids, word in zip(merged[r].as_py(), longs[r].as_py(), strict=True):
+                    lists = merged[r].values
+                    flat = lists.flatten().to_numpy().astype("<u4")
+                    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+                    data, tokens = flat.tobytes(), list(map(pieces.__getitem__, flat.tolist()))
+                    for a, b, word in zip(ends[:-1], ends[1:], longs[r].as_py(), strict=True):
                         if word is not None:
                             ids = merge(word, vocabulary)
-                        words_ids.append(np.array(ids, dtype="<u4").tobytes())
-                        words_bytes.append(b"".join([pieces[i] for i in ids]))
+                            words_ids.append(np.array(ids, dtype="<u4").tobytes())
+                            words_bytes.append(b"".join([pieces[i] for i in ids]))
+                        else:
+                            words_ids.append(data[4 * a : 4 * b])
+                            words_bytes.append(b"".join(tokens[a:b]))
                 else:
                     code = np.frombuffer(codes[r].as_py(), np.int32).tolist()
                     ids = b"".join([single[c] if c >= 0 else words_ids[~c] for c in code])
@@ -264,13 +298,14 @@ def encode(
     keep: list[str],
     prefix: str = "",
     ids_out: bool = False,
-    max_words: int = 1 << 18,
+    max_words: int = 1 << 19,
     long_bytes: int = 256,
 ) -> DataFrame:
     """`keep` columns with n_tokens, the digest of the ids (little-endian unsigned 32 bits), the digest of the bytes
     they decode to, and with `ids_out` the ids."""
     kept = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    words = T.ArrayType(T.ArrayType(T.LongType()))
+    longs = T.ArrayType(T.LongType())
+    words = T.ArrayType(T.StructType([T.StructField("ids", longs), T.StructField("ranks", longs)]))
     split_schema = T.StructType(
         [
             *kept,
@@ -283,10 +318,10 @@ def encode(
     source = [*keep, *(["text"] if "text" not in keep else [])]
     arrow = to_arrow_schema(split_schema)
     split = docs.select(*source).mapInArrow(_split(vocabulary, keep, arrow, max_words, long_bytes), split_schema)
-    buckets = rank_buckets(vocabulary.pairs)
-    table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+    flat = rank_table(vocabulary.pairs)
+    table = F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
     # bound once: the plan, and so every task, carries one copy of the literal
-    folded = _let(table, lambda t: F.transform("__words", lambda w: fold_merges(w, t, len(buckets))))
+    folded = _let(table, lambda t: F.transform("__words", lambda w: fold_merges(w, t, len(flat))))
     extra = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     extra += [("ids", T.ArrayType(T.IntegerType()))] if ids_out else []
     fields = [docs.schema[c] for c in keep] + [T.StructField(prefix + n, t) for n, t in extra]
