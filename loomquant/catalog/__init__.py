@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, rolling, statistics
 
-MODULES = (market,)
+MODULES = (market, rolling, statistics)
 
 
 def queries():

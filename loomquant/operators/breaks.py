@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("ts")
+def by_time():
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def chow_type_stat(prices: DataFrame, min_length: int, *, value: str = "log_price") -> DataFrame:
     """(symbol, break, stat): t statistic of the lagged level from the break on, in closed form from suffix sums."""
-    after = BY.rowsBetween(0, Window.unboundedFollowing)
+    after = by_time().rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy("symbol")
-    lagged = prices.select("symbol", "ts", (F.row_number().over(BY) - 1).alias("i"), F.lag(value).over(BY).alias("x"), (F.col(value) - F.lag(value).over(BY)).alias("d"))
+    lagged = prices.select("symbol", "ts", (F.row_number().over(by_time()) - 1).alias("i"), F.lag(value).over(by_time()).alias("x"), (F.col(value) - F.lag(value).over(by_time())).alias("d"))
     # row i holds the pair (y[i-1], y[i] - y[i-1]); a break at b keeps the pairs from i = b + 1 on
     rows = lagged.where(F.col("i") > 0)
     sums = rows.select(

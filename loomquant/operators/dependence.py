@@ -75,8 +75,8 @@ def _binned(df: DataFrame, x: str, y: str, n_bins: int, by: str) -> DataFrame:
 
 
 def histogram2d(df: DataFrame, x: str, y: str, n_bins: int, *, by: str = "symbol") -> DataFrame:
-    """(symbol, bx, by, count) of the bins that are not empty."""
-    return _binned(df, x, y, n_bins, by).select(by, "bx", F.col("by_").alias("by"), F.col("c").alias("count"))
+    """(symbol, bin_x, bin_y, count) of the bins that are not empty."""
+    return _binned(df, x, y, n_bins, by).select(by, F.col("bx").alias("bin_x"), F.col("by_").alias("bin_y"), F.col("c").alias("count"))
 
 
 def information(df: DataFrame, x: str, y: str, n_bins: int, *, by: str = "symbol") -> DataFrame:

@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from ..functions.normal import norm_cdf
 from .ordered import add_columns
 
-BY = Window.partitionBy("symbol").orderBy("ts")
+def by_time():
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def frame(window: int):
     if window < 1:
         raise ValueError("the window must hold a row")
-    return BY.rowsBetween(1 - window, 0)
+    return by_time().rowsBetween(1 - window, 0)
 
 
 def full(value: Column, aggregate, window: int) -> Column:
@@ -29,7 +30,7 @@ def full(value: Column, aggregate, window: int) -> Column:
 
 
 def lag(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(BY)
+    return F.lag(c, n).over(by_time())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -125,7 +126,7 @@ def frac_diff_ffd(df: DataFrame, value: str, d: float, threshold: float = 1e-5,
     """Fixed-width fractional difference: a sum of lags, which stays in whole-stage code; null in the first width rows."""
     w = fracdiff_weights_ffd(d, threshold, limit)
     width = len(w) - 1
-    values = F.collect_list(F.col(value)).over(BY.rowsBetween(-width, 0))
+    values = F.collect_list(F.col(value)).over(by_time().rowsBetween(-width, 0))
     weights = F.array(*map(F.lit, w))
     dot = F.aggregate(F.zip_with("_v", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     held = df.select("*", values.alias("_v"))
@@ -168,7 +169,7 @@ _K = 3 - 2 * math.sqrt(2)
 
 
 def _with_beta_gamma(df: DataFrame, window: int) -> DataFrame:
-    two = BY.rowsBetween(-1, 0)
+    two = by_time().rowsBetween(-1, 0)
     square = F.pow(F.ln(F.col("high") / F.col("low")), 2)
     with_square = df.withColumn("_hl", square).withColumn("_b", F.col("_hl") + lag("_hl"))
     enough = F.count("*").over(two) == 2

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sharpe import expected_max_sharpe, probabilistic_sharpe_ratio
 
-BY = Window.partitionBy("symbol").orderBy("ts")
+def by_time():
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def sharpe_ratio(returns: DataFrame, per_year: float, risk_free: float = 0.0, *, value: str = "ret", by: str = "symbol") -> DataFrame:
@@ -73,10 +74,10 @@ def all_bets_concentration(returns: DataFrame, *, value: str = "ret") -> DataFra
 def drawdown_and_time_under_water(curve: DataFrame, *, value: str = "value", dollars: bool = False) -> DataFrame:
     """(symbol, start, drawdown, years): for each high-water mark with a dip after it, the depth and the time to the next
     such mark, or to the end."""
-    top = F.max(value).over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    top = F.max(value).over(by_time().rowsBetween(Window.unboundedPreceding, -1))
     is_new = F.coalesce((F.col(value) > top).cast("int"), F.lit(1))
     marked = curve.select("symbol", "ts", value, is_new.alias("_new"))
-    segment = F.sum("_new").over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    segment = F.sum("_new").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     parts = marked.withColumn("_seg", segment).groupBy("symbol", "_seg").agg(
         F.min("ts").alias("start"), F.max(value).alias("_high"), F.min(value).alias("_low")
     )
@@ -91,8 +92,8 @@ def drawdown_and_time_under_water(curve: DataFrame, *, value: str = "value", dol
 
 def flattening_and_flips(positions: DataFrame, *, value: str = "position") -> DataFrame:
     """(symbol, ts) where a position goes to 0 or changes its sign, and the last row of each symbol."""
-    prev, now = F.lag(value).over(BY), F.col(value)
-    last = F.lead("ts").over(BY).isNull()
+    prev, now = F.lag(value).over(by_time()), F.col(value)
+    last = F.lead("ts").over(by_time()).isNull()
     marked = positions.select("symbol", "ts", ((now == 0) & (prev != 0)).alias("_f"), (prev * now < 0).alias("_s"), last.alias("_l"))
     return marked.where(F.col("_f") | F.col("_s") | F.col("_l")).select("symbol", "ts").distinct()
 
