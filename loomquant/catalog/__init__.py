@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, rolling, statistics
+from . import market, models, rolling, statistics
 
-MODULES = (market, rolling, statistics)
+MODULES = (market, rolling, statistics, models)
 
 
 def queries():
