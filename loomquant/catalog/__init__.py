@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, models, rolling, statistics
+from . import flagship, market, models, rolling, statistics
 
-MODULES = (market, rolling, statistics, models)
+MODULES = (flagship, market, rolling, statistics, models)
 
 
 def queries():

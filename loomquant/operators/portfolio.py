@@ -334,14 +334,15 @@ MAX_RETURN_CELLS = 50_000_000
 
 
 def allocate_hcaa(prices: DataFrame, metric: str = "equal_weighting", *, confidence: float = 0.05, resample_by: str | None = None) -> Allocation:
-    """Hierarchical clustering asset allocation. Tail metrics need the returns, at most MAX_RETURN_CELLS of them."""
+    """Hierarchical clustering asset allocation. Tail metrics need the returns, at most MAX_RETURN_CELLS of them; a time
+    without a price counts as a return of 0."""
     inputs = collect_inputs(prices, resample_by=resample_by, simple=True)
     matrix = None
     if metric in HCAA_METRICS[4:]:
         rets = simple_returns(resample(prices, step_of(resample_by)))
         if rets.count() > MAX_RETURN_CELLS:
             raise ValueError("too many returns for a tail metric")
-        wide = rets.toPandas().pivot(index="ts", columns="asset", values="ret")[inputs.assets].dropna()
+        wide = rets.toPandas().pivot(index="ts", columns="asset", values="ret")[inputs.assets].fillna(0.0)
         matrix = wide.to_numpy()
     w = hcaa_weights(inputs.cov, inputs.mu, matrix, metric, confidence)
     return Allocation(inputs.assets, w, float(np.sqrt(w @ inputs.cov @ w)), float(w @ inputs.mu), float("nan"))
