@@ -8,11 +8,12 @@ equal windows have equal fingerprints while a document keeps only some two for e
 log of immutable runs, Parquet tables sorted by fingerprint with the least and greatest doc_id that hold it; each
 batch is merge-joined with the runs, and runs are merged into one when there are more than `fanout` of them.
 Documents whose fingerprints occur in other documents too are then verified: the full windows under those
-fingerprints are hashed (128 bits), the least document of each is found, and the windows of all later documents mark
-their words.
+fingerprints are hashed twice, the least document of each is found, and the windows of all later documents mark their
+words.
 
-A fingerprint or window that a third of all documents hold is pre-aggregated in each task and joined back by a join
-that AQE splits where skewed; no group is ever gathered.
+A fingerprint that a third of all documents hold is pre-aggregated in each task and joined back by a join that AQE
+splits where skewed. Of such a window, each task settles all documents but its own least one, so a bucket gets one
+document from each task.
 
 Defined results: null texts have no words; rows that share a doc_id are one document (they never remove words from
 each other) and are judged on their own text; null doc_ids count as one document below all others; an empty table
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .line_dedup import NO_ID, with_row_key
 from .storage import shared_folder, stored
-from .words import as_bytes, bounded, column, inside_rows, rolling, split_words
+from .words import as_bytes, bounded, column, inside_rows, lean, mix, rolling, split_words
 
 RUN_SCHEMA = "fp long, least long, greatest long"
 
@@ -60,6 +62,7 @@ def fingerprints(hashes: np.ndarray, rows: np.ndarray, window: int, gram: int) -
 
 
 def _fingerprint_rows(window: int, gram: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             words = split_words(*as_bytes(column(batch, "text")))
@@ -120,63 +123,230 @@ class FingerprintIndex:
         return found.join(several, "fp")
 
 
-def _window_rows(window: int, gram: int):
-    """Hashes of the windows whose fingerprint is shared."""
-
+BLOCK = "bucket int, doc binary, tag binary, h1 binary, h2 binary, row binary, at binary"
+FLUSH = 250_000
+
+
+def _order_windows(h1, h2, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (h1, h2, doc), the first window of each group in it, and the group of every window."""
+    order = np.lexsort((doc, h2, h1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _starts_blocks(doc, tag, row, at, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Window starts that lose their words as blocks, one for each bucket of documents."""
+    if not len(row):
+        return
+    target = mix(doc.view(np.uint64))[row] % np.uint64(n_buckets)
+    order = np.lexsort((at, row, target))
+    target, row, at = target[order], row[order], at[order]
+    edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+    for a, b in zip(edge, [*edge[1:], len(row)], strict=True):
+        used, local = np.unique(row[a:b], return_inverse=True)
+        yield _block(int(target[a]), doc[used], tag[used], None, None, local, at[a:b])
+
+
+def _block(bucket: int, doc, tag, h1: bytes | None, h2: bytes | None, local, at) -> pa.RecordBatch:
+    narrow = len(doc) < 1 << 16
+    numbers = (b"2" if narrow else b"4") + local.astype("<u2" if narrow else "<u4").tobytes()
+    values = [doc.astype("<i8").tobytes(), tag.astype("<i8").tobytes(), h1, h2, numbers, at.astype("<i4").tobytes()]
+    arrays = [pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in values)]
+    return pa.RecordBatch.from_arrays(arrays, BLOCK_NAMES)
+
+
+def _unblock(batch: pa.RecordBatch, r: int, rows: int) -> tuple:
+    """doc, tag, row (from `rows` on) and at of a block."""
+    doc, tag, row, at = (column(batch, c)[r].as_py() for c in ("doc", "tag", "row", "at"))
+    local = np.frombuffer(row[1:], "<u2" if row[:1] == b"2" else "<u4").astype(np.int64) + rows
+    return np.frombuffer(doc, "<i8"), np.frombuffer(tag, "<i8"), local, np.frombuffer(at, "<i4")
+
+
+class _Windows:
+    """Gathers windows of a task. A window that the task has in an earlier document too loses its words at once; only
+    those of the least document go out, in blocks, one for each bucket."""
+
+    def __init__(self, n_buckets: int):
+        self.n_buckets = n_buckets
+        self.parts: list[tuple] = []
+        self.docs: list[np.ndarray] = []
+        self.tags: list[np.ndarray] = []
+        self.rows = self.held = 0
+
+    def add(self, h1, h2, row, at, doc, tag) -> None:
+        self.parts.append((h1, h2, row + self.rows, at))
+        self.docs.append(doc)
+        self.tags.append(tag)
+        self.rows += len(doc)
+        self.held += len(h1)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        h1, h2, row, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        doc, tag = np.concatenate(self.docs), np.concatenate(self.tags)
+        self.__init__(self.n_buckets)
+        order, first, group = _order_windows(h1, h2, doc[row])
+        h1, h2, row, at = h1[order], h2[order], row[order], at[order]
+        later = doc[row] > doc[row[first]][group]
+        yield from _starts_blocks(doc, tag, row[later], at[later], self.n_buckets)
+        h1, h2, row, at = (x[~later] for x in (h1, h2, row, at))
+        bucket = (h1 % np.uint64(self.n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")  # within a bucket still by h1
+        edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        for a, b in zip(edge, [*edge[1:], len(by)], strict=True):
+            own = by[a:b]
+            used, local = np.unique(row[own], return_inverse=True)
+            gaps = np.diff(h1[own] >> np.uint64(20), prepend=np.uint64(0))
+            wide = int(gaps.max()) >= 1 << 32
+            packed = (b"8" if wide else b"4") + gaps.astype("<u8" if wide else "<u4").tobytes()
+            checks = (h2[own] >> np.uint64(32)).astype("<u4").tobytes()
+            yield _block(int(bucket[own[0]]), doc[used], tag[used], packed, checks, local, at[own])
+
+
+BLOCK_NAMES = [c.split()[0] for c in BLOCK.split(", ")]
+
+
+def _window_blocks(window: int, gram: int, n_buckets: int):
+    """Blocks of the windows whose fingerprint is shared."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            raw, off = as_bytes(column(batch, "text"))
+        windows, opener = _Windows(n_buckets), zstandard.ZstdDecompressor()
+        for batch in bounded(batches, "__z", 1 << 18):
+            texts = [opener.decompress(z) for z in column(batch, "__z").to_pylist()]
+            raw, off = as_bytes(pa.array(texts, pa.binary()))
             words = split_words(raw, off)
             start, fp, row = fingerprints(words.hashes, words.rows, window, gram)
-            if not len(start):
+            wanted = np.unique(column(batch, "__fps").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            if not len(start) or not len(wanted):
                 continue
-            lists = column(batch, "fps")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            wanted = np.unique(flat)
             at = np.searchsorted(wanted, fp)
             at[at == len(wanted)] = 0
-            hit = (wanted[at] == fp) if len(wanted) else np.zeros(len(fp), bool)
+            hit = wanted[at] == fp
             start, row = start[hit], row[hit]
-            if not len(start):
-                continue
             second = split_words(raw, off, seed=2)
-            h1 = rolling(words.hashes, window)[start].view(np.int64)
-            h2 = rolling(second.hashes, window, 1)[start].view(np.int64)
-            docs = column(batch, "doc").to_numpy(zero_copy_only=False)[row]
-            tags = column(batch, "tag").to_numpy(zero_copy_only=False)[row]
-            at = (start - words.rows[row]).astype(np.int32)
-            arrays = [pa.array(x) for x in (h1, h2, docs, tags, at)]
-            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "doc", "tag", "at"])
+            h1, h2 = rolling(words.hashes, window)[start], rolling(second.hashes, window, 1)[start]
+            ids = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("__doc", "__tag")]
+            windows.add(h1, h2, row, start - words.rows[row], *ids)
+            if windows.held >= FLUSH:
+                yield from windows.flush()
+        yield from windows.flush()
+
+    return run
+
+
+def _resolve(n_buckets: int):
+    """Per bucket: the windows of all documents but the least that holds them, as blocks by document."""
+
+    def decide(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, tag, row, at, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first, group = _order_windows(h1, h2, doc[row])
+        row, at = row[order], at[order]
+        later = doc[row] > doc[row[first]][group]
+        yield from _starts_blocks(doc, tag, row[later], at[later], n_buckets)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        number, rows = None, 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket, h1, h2 = (column(batch, c)[r].as_py() for c in ("bucket", "h1", "h2"))
+                if h1 is None:  # decided in its task
+                    yield batch.slice(r, 1)
+                    continue
+                if bucket != number and held:
+                    yield from decide(held)
+                    held, rows = [], 0
+                number = bucket
+                sums = np.cumsum(np.frombuffer(h1[1:], "<u8" if h1[:1] == b"8" else "<u4").astype(np.uint64))
+                block = _unblock(batch, r, rows)
+                held.append((*block, sums, np.frombuffer(h2, "<u4")))
+                rows += len(block[0])
+        if held:
+            yield from decide(held)
+
+    return run
+
+
+@lean
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket of documents: one row for each with its window starts."""
+    held: list[tuple] = []
+    number, rows = None, 0
+
+    def told() -> pa.RecordBatch:
+        doc, tag, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, tag[row], doc[row]))
+        row, at = row[order], at[order]
+        who = np.stack([doc[row], tag[row]], axis=1)
+        edge = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]).any(axis=1)]))
+        lists = [np.unique(at[a:b]).astype("<i4").tobytes() for a, b in zip(edge, [*edge[1:], len(at)], strict=True)]
+        arrays = [pa.array(who[edge, 0]), pa.array(who[edge, 1]), pa.array(lists, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["__doc", "__tag", "__at"])
+
+    for batch in batches:
+        for r, bucket in enumerate(column(batch, "bucket").to_pylist()):
+            if bucket != number and held:
+                yield told()
+                held, rows = [], 0
+            number = bucket
+            held.append(_unblock(batch, r, rows))
+            rows += len(held[-1][0])
+    if held:
+        yield told()
+
+
+def _first_pass(keep: list[str], text_out: bool):
+    """What needs no other document: words, digest of the whole, and the text of those that may lose words."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in bounded(batches, "__text"):
+            raw, off = as_bytes(column(batch, "__text"))
+            fps = column(batch, "__fps")
+            marked = fps.is_valid().to_pylist()
+            n_words, shas, packed = [], [], []
+            for r in range(len(off) - 1):
+                data = raw[off[r] : off[r + 1]].tobytes()
+                words = data.split()  # of bytes: at space, \t, \n, \v, \f and \r
+                n_words.append(len(words))
+                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                packed.append(packer.compress(data) if marked[r] or text_out else None)
+            arrays = [column(batch, c) for c in (*keep, "__doc", "__tag", "__fps")]
+            arrays += [pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "__doc", "__tag", "__fps", "__n_words", "__sha", "__z"])
 
     return run
 
 
 def _remove(keep: list[str], prefix: str, window: int, text_out: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, prefix + "text"):
-            raw, off = as_bytes(column(batch, prefix + "text"))
-            words = split_words(raw, off)
-            edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
-            marks = column(batch, prefix + "at")
-            for r, starts in enumerate(marks):
-                if starts.is_valid:
-                    at = words.rows[r] + np.unique(starts.values.to_numpy())
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            n_words, shas = column(batch, "__n_words").to_pylist(), column(batch, "__sha").to_pylist()
+            packed, starts = column(batch, "__z"), column(batch, "__at")
+            n_removed, texts = [0] * batch.num_rows, []
+            for r in range(batch.num_rows):
+                if starts[r].is_valid:
+                    words = opener.decompress(packed[r].as_py()).split()
+                    at = np.frombuffer(starts[r].as_py(), "<i4")
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
                     edge[at] += 1
-                    np.subtract.at(edge, at + window, 1)
-            gone = np.cumsum(edge)[:-1] > 0
-            n_words, n_removed, shas, texts = np.diff(words.rows), [], [], []
-            data = raw.tobytes()
-            for r in range(len(off) - 1):
-                a, b = words.rows[r], words.rows[r + 1]
-                stay = ~gone[a:b]
-                n_removed.append(int(b - a - stay.sum()))
-                pairs = zip(words.starts[a:b][stay].tolist(), words.ends[a:b][stay].tolist(), strict=True)
-                kept = b" ".join([data[s:e] for s, e in pairs])
-                shas.append(hashlib.sha256(kept).hexdigest())
+                    edge[at + window] -= 1
+                    gone = np.cumsum(edge)[:-1] > 0
+                    n_removed[r] = int(gone.sum())
+                    kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])
+                    shas[r] = hashlib.sha256(kept).hexdigest()
+                elif text_out:
+                    kept = b" ".join(opener.decompress(packed[r].as_py()).split())
                 if text_out:
                     texts.append(kept.decode())
             arrays = [column(batch, c) for c in keep]
-            arrays += [pa.array(n_words), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
+            arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
             names = [*keep, *(prefix + c for c in ("n_words", "n_removed", "kept_sha256"))]
             if text_out:
                 arrays.append(pa.array(texts, pa.string()))
@@ -204,28 +374,38 @@ def dedup_substrings(
     for batch in range(n_batches):
         index.append(found.where(F.pmod(F.xxhash64("doc"), F.lit(n_batches)) == batch))
     index.compact()
-    marked = index.shared(found).groupBy("doc", "tag").agg(F.collect_set("fp").alias("fps"))
-    texts = with_row_key(docs)
-    windows = stored(
-        texts.join(marked, ["doc", "tag"]).mapInArrow(
-            _window_rows(window, gram), "h1 long, h2 long, doc long, tag long, at int"
-        )
-    )
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"))
-    first = first.where(F.col("least") < F.col("greatest")).select("h1", "h2", "least")
-    later = windows.join(first, ["h1", "h2"]).where(F.col("doc") > F.col("least"))
-    inner = prefix or "__"
-    starts = later.groupBy("doc", "tag").agg(F.collect_list("at").alias(inner + "at"))
-    starts = starts.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
+    marked = index.shared(found).groupBy("doc", "tag").agg(F.collect_set("fp").alias("__fps"))
+    marked = marked.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
     own = docs.select(
-        *[F.col(c).alias(c) for c in keep],
+        *keep,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"),
         F.xxhash64("text").alias("__tag"),
-        F.col("text").alias(inner + "text"),
+        F.col("text").alias("__text"),
     )
+    kept = [docs.schema[c] for c in keep]
+    first = T.StructType(
+        [
+            *kept,
+            T.StructField("__doc", T.LongType()),
+            T.StructField("__tag", T.LongType()),
+            T.StructField("__fps", T.ArrayType(T.LongType())),
+            T.StructField("__n_words", T.LongType()),
+            T.StructField("__sha", T.StringType()),
+            T.StructField("__z", T.BinaryType()),
+        ]
+    )
+    passed = stored(own.join(marked, ["__doc", "__tag"], "left").mapInArrow(_first_pass(keep, text_out), first))
+    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = passed.where(F.col("__fps").isNotNull()).select("__doc", "__tag", "__z", "__fps")
+    blocks = shared.mapInArrow(_window_blocks(window, gram, n_buckets), BLOCK)
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+
+    later = dealt(dealt(blocks).mapInArrow(_resolve(n_buckets), BLOCK))
+    starts = later.mapInArrow(_gather, "__doc long, __tag long, __at binary")
+    joined = passed.drop("__fps").join(starts, ["__doc", "__tag"], "left")
     extra = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
     extra += [("kept_text", T.StringType())] if text_out else []
-    fields = [docs.schema[c] for c in keep] + [T.StructField(inner + n, t) for n, t in extra]
-    joined = own.join(starts, ["__doc", "__tag"], "left").drop("__doc", "__tag")
-    out = joined.mapInArrow(_remove(keep, inner, window, text_out), T.StructType(fields))
-    return out if prefix else out.withColumnsRenamed({inner + n: n for n, _ in extra})
+    fields = [*kept, *(T.StructField(prefix + n, t) for n, t in extra)]
+    return joined.mapInArrow(_remove(keep, prefix, window, text_out), T.StructType(fields))
