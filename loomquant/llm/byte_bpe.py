@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .words import bounded, column
+from .words import bounded, column, lean
 
 LEFT = 1 << 17
 NO_RANK = 1 << 20
@@ -216,6 +216,7 @@ def _split(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, max_words
         arrays += [pa.array(longs, pa.list_(pa.binary()))]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(vocabulary.pattern).findall
         numbers = _Numbers(vocabulary.ranks)
@@ -244,6 +245,7 @@ def _split(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, max_words
 def _assemble(vocabulary: Vocabulary, keep: list[str], prefix: str, ids_out: bool):
     pieces = vocabulary.pieces
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = [i.to_bytes(4, "little") for i in range(len(pieces))]
         words_ids: list[bytes] = []

@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .storage import cut_lineage
-from .words import as_bytes, split_words
+from .words import as_bytes, lean, split_words
 
-SHARD_SYMBOLS = 1 << 19
+SHARD_SYMBOLS = 1 << 17
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))
 
 
@@ -112,6 +112,7 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _scanner(block: PhraseBlock, keep: list[str], names: tuple[str, str, str, str], cut: bool):
     spans_col, items_col, words_col, cut_col = names
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = as_bytes(batch.column(batch.schema.get_field_index("text")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import cut_lineage
-from .words import IS_WORD, SPACE, as_bytes, bounded, column, inside_rows, mix, rolling, row_sums, split_words
+from .words import IS_WORD, SPACE, as_bytes, bounded, column, inside_rows, lean, mix, rolling, row_sums, split_words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -67,6 +67,7 @@ def _counter(keep: list[str], prefix: str):
     codepoint_of_word = IS_WORD["space"].copy()
     codepoint_of_word[0x80:0xC0] = False
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             raw, off = as_bytes(column(batch, "text"))

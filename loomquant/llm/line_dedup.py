@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import cut_lineage
-from .words import SPACE, as_bytes, bounded, column
+from .words import SPACE, as_bytes, bounded, column, lean
 
 NO_ID = -(1 << 63)
 DROP, OPEN, SUMMARY = 0, 1, 2
@@ -42,6 +42,7 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             raw, off = as_bytes(column(batch, "text"))
@@ -140,6 +141,7 @@ class _Stream:
             yield self.rows(OPEN, np.concatenate(self.waiting))
 
 
+@lean
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stream = _Stream()
     for batch in batches:
@@ -149,6 +151,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stream.close()
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = []
@@ -183,6 +186,7 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) ->
 def _apply(keep: list[str], prefix: str, text_out: bool):
     """Digests (and with `text_out` texts) of what a bitmap keeps."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, prefix + "text"):
             raw, off = as_bytes(column(batch, prefix + "text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import bounded, column
+from .words import bounded, column, lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -140,6 +140,7 @@ _ARROW_SPAN = pa.struct(
 def find_pii(docs: DataFrame, *, keep: list[str], name: str = "spans") -> DataFrame:
     """`keep` columns with the array of spans."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = ("kind", "start", "end", "score")
         for batch in bounded(batches):

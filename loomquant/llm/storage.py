@@ -26,15 +26,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
 #: Settings of Arrow batches with the values that Spark starts with, and ours: batches of whole texts stay small.
 _BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
 }
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of documents holds, unless the session has its own choice."""
     for name, (initial, ours) in _BATCHES.items():
-        now = spark.conf.get(name, None)
-        if now == initial or initial is None and now in (None, "-1", str(1 << 63), "268435456", "67108864"):
+        if spark.conf.get(name, None) == initial:
             spark.conf.set(name, ours)
 
 
