@@ -23,6 +23,8 @@ from .storage import cut_lineage
 
 ROW_BYTES = 16
 DIMENSIONS = ("size", "tokens", "one")
+#: Bytes count most, as the law is about them.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
 
 
 def pack(loads: np.ndarray, n_shards: int) -> np.ndarray:
@@ -32,7 +34,7 @@ def pack(loads: np.ndarray, n_shards: int) -> np.ndarray:
     residual = np.ones((n_shards, loads.shape[1]))
     out = np.zeros(len(loads), dtype=np.int64)
     for i in np.lexsort((np.arange(len(loads)), -scaled.max(axis=1, initial=0.0))):
-        out[i] = int(np.argmax(residual @ scaled[i]))
+        out[i] = int(np.argmax((residual * WEIGHTS) @ scaled[i]))
         residual[out[i]] -= scaled[i]
     return out
 
