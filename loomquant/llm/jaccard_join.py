@@ -18,7 +18,8 @@ all sets directly, in blocks.
 Signatures travel as blocks, one row for each task and bucket, with the documents they come from as a dictionary.
 Signatures that one task alone sees often are dealt over several buckets. Within a bucket, signatures of up to
 `COLD` sets yield pairs; more frequent ones yield only their members, which are first linked to two leaders and after
-that compared across components only, so a group of g near copies costs about g comparisons. Every candidate pair is
+that compared across components only, so a group of g near copies costs about g comparisons. Sets whose shingles nobody
+else among these members holds leave too few to share are out before that. Every candidate pair is
 verified on the shingle sets of its whole texts (64-bit hashes of shingles; sets are told apart by 128 bits).
 
 Defined results: null texts, empty ones and those without words have no shingles and are linked with nothing; rows that
@@ -35,17 +36,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import connected_components
 from .line_dedup import NO_ID, with_row_key
 from .storage import stored
-from .words import U64, as_bytes, bounded, column, mix, rolling, split_words
+from .words import U64, as_bytes, bounded, column, lean, mix, rolling, split_words
 
 SHINGLE = 5
 COLD = 24
 TOKENS_FROM, BANDS_FROM = 7, 97
 SLACK = 1.25
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 LOCALLY_HOT = 1024
 SALTS = 16
 SIG_BITS = 39
@@ -128,6 +130,7 @@ def signatures(shingles: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int
     return out, spare
 
 
+@lean
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches):
         sets = shingle_sets(column(batch, "text"))
@@ -143,8 +146,8 @@ BLOCK = "bucket int, hot boolean, k1 binary, k2 binary, n binary, spare binary,
 class _Blocks:
     """Gathers the signatures of a task and lets them out as blocks, one for each bucket."""
 
-    def __init__(self, n_buckets: int):
-        self.n_buckets = n_buckets
+    def __init__(self, n_buckets: int, signer=signatures):
+        self.n_buckets, self.signer = n_buckets, signer
         self.flushes = 0
         self.clear()
 
@@ -159,7 +162,7 @@ class _Blocks:
         key = set_key(shingles)
         if key in self.nodes:  # a copy in the same task
             return
-        groups, spare = signatures(shingles)
+        groups, spare = self.signer(shingles)
         if not groups:
             return
         number = self.nodes[key] = len(self.info)
@@ -221,6 +224,7 @@ class _Blocks:
 
 
 def _sign(n_buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Blocks(n_buckets)
         for batch in bounded(batches):
@@ -271,7 +275,8 @@ class _Bucket:
         self.ats.append(wide)
         self.nodes += len(table)
 
-    def found(self) -> Iterator[pa.RecordBatch]:
+    def gathered(self) -> tuple[np.ndarray, ...]:
+        """Distinct sets, the number of each dictionary entry's set, signatures, their entries, marked signatures."""
         table, sig, at = np.concatenate(self.tables), np.concatenate(self.sigs), np.concatenate(self.ats)
         by = np.lexsort((table[:, 1], table[:, 0]))
         ranked = table[by]
@@ -280,8 +285,10 @@ class _Bucket:
         number = np.empty(len(table), dtype=np.int64)
         number[by] = np.cumsum(new) - 1
         table = ranked[new]
-        marked = np.unique(sig[at < 0])
-        sig, at = sig[at >= 0], at[at >= 0]
+        return table, number, sig[at >= 0], at[at >= 0], np.unique(sig[at < 0])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        table, number, sig, at, marked = self.gathered()
         node, own = number[at >> 1], (at & 1).astype(bool)
         order = np.lexsort((node, sig))
         sig, node, own = sig[order], node[order], own[order]
@@ -299,7 +306,14 @@ class _Bucket:
             tally, times = np.unique(node[mine] * (1 << 32) + per_entry[mine], return_counts=True)
             who = table[tally >> 32]
             yield _rows(
-                TALLY, len(tally), x1=who[:, 0], x2=who[:, 1], count=tally & 0xFFFFFFFF, times=times, spare=who[:, 3]
+                TALLY,
+                len(tally),
+                x1=who[:, 0],
+                x2=who[:, 1],
+                nx=who[:, 2],
+                count=tally & 0xFFFFFFFF,
+                times=times,
+                spare=who[:, 3],
             )
         poor = table[table[:, 3] < 0]
         if len(poor):
@@ -338,7 +352,7 @@ class _Bucket:
         yield _rows(PAIR, len(c), x1=x[:, 0], x2=x[:, 1], y1=y[:, 0], y2=y[:, 1], count=c)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
     bucket = None
     for batch in batches:
         columns = [column(batch, c) for c in ("bucket", "hot", "k1", "k2", "n", "spare", "sig", "at")]
@@ -346,13 +360,57 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, hot, *data = (c[r].as_py() for c in columns)
             if bucket is None or (bucket.number, bucket.hot) != (number, hot):
                 if bucket is not None:
-                    yield from bucket.found()
+                    yield bucket
                 bucket = _Bucket(number, hot)
             bucket.add(*data)
     if bucket is not None:
+        yield bucket
+
+
+@lean
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket in _buckets(batches):
         yield from bucket.found()
 
 
+def _each_shingle(shingles: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int]:
+    return [(mix(shingles), True)], 0
+
+
+def _sign_shingles(n_buckets: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, opener = _Blocks(n_buckets, _each_shingle), zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [opener.decompress(z) for z in column(batch, "z").to_pylist()]
+            for at in range(0, len(texts), 200):
+                for shingles in shingle_sets(pa.array(texts[at : at + 200], pa.binary()).cast(pa.string())):
+                    blocks.add(shingles)
+                    if blocks.held >= FLUSH:
+                        yield from blocks.flush()
+        yield from blocks.flush()
+
+    return run
+
+
+@lean
+def _loners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket and set, how many shingles no other set holds."""
+    for bucket in _buckets(batches):
+        if bucket.hot:
+            continue
+        table, number, sig, at, marked = bucket.gathered()
+        node = number[at >> 1]
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+        alone = first[(np.diff(np.append(first, len(sig))) == 1) & ~np.isin(sig[first], marked)]
+        who, times = np.unique(node[alone], return_counts=True)
+        arrays = [pa.array(table[who, 0]), pa.array(table[who, 1]), pa.array(times)]
+        yield pa.RecordBatch.from_arrays(arrays, ["x1", "x2", "times"])
+
+
+@lean
 def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in bounded(batches):
@@ -362,12 +420,13 @@ def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc", "tag", "z"])
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opener = zstandard.ZstdDecompressor()
     last, last_set = None, None
     for batch in batches:
         za, zb = column(batch, "za").to_pylist(), column(batch, "zb").to_pylist()
-        good = []
+        counts = []
         for at in range(0, len(za), 200):
             texts = [opener.decompress(z) for z in zb[at : at + 200]]
             sets = shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()))
@@ -375,11 +434,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if z != last:
                     last, last_set = z, shingle_sets(pa.array([opener.decompress(z)], pa.binary()).cast(pa.string()))[0]
                 shared = len(last_set) + len(other) - len(np.union1d(last_set, other))
-                good.append(linked(len(last_set), len(other), shared))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([column(batch, c).filter(mask) for c in ("a", "b")], ["a", "b"])
+                counts.append((shared, linked(len(last_set), len(other), shared)))
+        arrays = [column(batch, c) for c in VERIFIED]
+        arrays += [pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, [*VERIFIED, "shared", "linked"])
 
 
+VERIFIED = ["x1", "x2", "y1", "y2", "a", "b"]
 LINK = "a struct<rep:bigint,rep_tag:bigint>, b struct<rep:bigint,rep_tag:bigint>"
 POOR_BLOCK = 1_000_000
 
@@ -388,6 +449,7 @@ def _compare(queries: list[tuple[tuple[int, int], np.ndarray]]):
     """Links between a block of sets and all documents."""
     node = pa.struct([("rep", pa.int64()), ("rep_tag", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             ids = zip(column(batch, "doc").to_pylist(), column(batch, "tag").to_pylist(), strict=True)
@@ -414,12 +476,23 @@ class JaccardJoin:
         one = full.groupBy("k1", "k2").agg(F.min(F.struct("doc", "tag")).alias("rep"))
         self.classes = one.select("k1", "k2", F.col("rep.doc").alias("rep"), F.col("rep.tag").alias("rep_tag"))
 
+    @property
+    def n_buckets(self) -> int:
+        return max(1, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(self, blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(self.n_buckets, "bucket", "hot").sortWithinPartitions("bucket", "hot")
+
     def signed(self) -> DataFrame:
         """What the buckets found: candidate pairs, tallies of signature frequencies and frequent signatures."""
-        n_buckets = max(1, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        blocks = self.keyed.select("text").mapInArrow(_sign(n_buckets), BLOCK)
-        dealt = blocks.repartition(n_buckets, "bucket", "hot").sortWithinPartitions("bucket", "hot")
-        return stored(dealt.mapInArrow(_find, FOUND))
+        blocks = self.keyed.select("text").mapInArrow(_sign(self.n_buckets), BLOCK)
+        return stored(self.dealt(blocks).mapInArrow(_find, FOUND))
+
+    def loners(self, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        """(x1, x2, lone): how many shingles of each of `nodes` no other one of them holds."""
+        blocks = texts.join(nodes, ["x1", "x2"]).select("z").mapInArrow(_sign_shingles(self.n_buckets), BLOCK)
+        counted = self.dealt(blocks).mapInArrow(_loners, "x1 long, x2 long, times long")
+        return counted.groupBy("x1", "x2").agg(F.sum("times").alias("lone"))
 
     def named(self, key: str, name: str) -> DataFrame:
         """Representatives by set key."""
@@ -431,13 +504,14 @@ class JaccardJoin:
         texts = self.keyed.mapInArrow(_zip_texts, "doc long, tag long, z binary")
         return texts.select(F.struct(F.col("doc").alias("rep"), F.col("tag").alias("rep_tag")).alias("id"), "z")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of `pairs` (x1, x2, y1, y2), as (a, b), the representatives' doc and tag."""
-        edges = pairs.join(self.named("x", "a"), ["x1", "x2"]).join(self.named("y", "b"), ["y1", "y2"]).select("a", "b")
-        texts = self.zipped()
-        with_b = edges.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-        both = with_b.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-        return both.select("a", "b", "za", "zb").mapInArrow(_verify, edges.schema)
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """`pairs` (x1, x2, y1, y2) with the representatives' (doc, tag) as a and b, the number of common shingles and
+        whether they are linked."""
+        x = texts.select("x1", "x2", F.col("id").alias("a"), F.col("z").alias("za"))
+        y = texts.select(F.col("x1").alias("y1"), F.col("x2").alias("y2"), F.col("id").alias("b"), F.col("z").alias("zb"))
+        both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).select(*VERIFIED, "za", "zb")
+        schema = T.StructType([*both.schema.fields[:-2], T.StructField("shared", T.LongType()), T.StructField("linked", T.BooleanType())])
+        return stored(both.mapInArrow(_verify, schema))
 
     def poor_links(self, found: DataFrame) -> DataFrame | None:
         """Links of the sets that have too few segments, each compared with all sets."""
@@ -473,35 +547,61 @@ class JaccardJoin:
         limit = limit.groupBy("x1", "x2").agg(F.max("count").alias("top"))
         cold = found.where(F.col("kind") == PAIR).groupBy("x1", "x2", "y1", "y2").agg(F.min("count").alias("count"))
         cold = cold.join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select("x1", "x2", "y1", "y2")
-        hot = found.where(F.col("kind") == HOT).select("sig", "x1", "x2", "nx", "count", "own")
-        asks = hot.where("own").join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top"))
-        asks = stored(asks.select("sig", "x1", "x2", "nx"))
-        wanted = hot.join(asks.select("sig").distinct(), "sig").select("sig", "x1", "x2", "nx")
-        ends = wanted.groupBy("sig").agg(F.min(F.struct("x1", "x2")).alias("lo"), F.max(F.struct("x1", "x2")).alias("hi"))
-        starred = asks.join(ends, "sig").select("x1", "x2", F.explode(F.array("lo", "hi")).alias("y"))
-        starred = starred.select("x1", "x2", F.col("y.x1").alias("y1"), F.col("y.x2").alias("y2"))
+        hot = found.where(F.col("kind") == HOT).select(*ROW, "count", "own")
+        asks = stored(hot.where("own").join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select(*ROW))
+        wanted = stored(hot.join(asks.select("sig").distinct(), "sig").select(*ROW))
+        cold = stored(cold)
+        involved = cold.select("x1", "x2").unionAll(cold.select("y1", "y2")).unionAll(wanted.select("x1", "x2")).distinct()
+        named = self.named("x", "id").join(involved, ["x1", "x2"])
+        texts = stored(named.join(self.zipped(), "id").select("x1", "x2", "id", "z"))
+        # of the shingles that a set alone holds no partner has one
+        lone = stored(self.loners(wanted.select("x1", "x2").distinct(), texts))
+        asks, wanted = (
+            f.join(lone, ["x1", "x2"], "left").select(*ROW, F.coalesce("lone", F.lit(0)).alias("lone")) for f in (asks, wanted)
+        )
+        # the sets with the fewest shingles of their own are likeliest to be linked with the others
+        member = [F.col(c) for c in ("x1", "x2", "nx", "lone")]
+        ends = wanted.groupBy("sig").agg(F.min(F.struct("lone", *member[:3])).alias("lo"), F.max_by(F.struct(*member), "nx").alias("hi"))
+        led_asks = stored(asks.join(ends, "sig"))
+        sides = [
+            led_asks.select("x1", "x2", "nx", "lone", *[F.col(f"{e}.{c}").alias(n) for c, n in RENAMED.items()])
+            for e in ("lo", "hi")
+        ]
+        starred = sides[0].unionAll(sides[1]).where(_possible()).select("x1", "x2", "y1", "y2")
         starred = starred.where((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2")))
-        links = stored(self.verified(cold.unionAll(starred).distinct()))
+        tested = self.verified(cold.unionAll(starred).distinct(), texts)
+        links = tested.where("linked").select("a", "b")
         poor = self.poor_links(found)
         links = links if poor is None else links.unionAll(poor)
         labels = connected_components(links)
-        rest = self.across(labels, wanted, asks)
+        # what sets have in common with the best-known leader of their signatures
+        lead = led_asks.select("sig", "x1", "x2", "nx", F.col("lo.x1").alias("y1"), F.col("lo.x2").alias("y2"))
+        with_lead = lead.join(tested.select("x1", "x2", "y1", "y2", "shared"), ["x1", "x2", "y1", "y2"], "left")
+        is_lead = (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
+        led = F.when(is_lead, F.col("nx")).otherwise(F.col("shared"))
+        common = with_lead.select("x1", "x2", F.xxhash64("y1", "y2").alias("lead"), led.alias("led")).where(F.col("led").isNotNull())
+        common = common.distinct()
+        known = common.groupBy("lead").agg(F.count("*").alias("sets"))  # the leader that most sets know is taken
+        common = common.join(known, "lead").groupBy("x1", "x2")
+        common = common.agg(F.max_by(F.struct("lead", "led"), F.struct("sets", "lead")).alias("main")).select("x1", "x2", "main.*")
+        beside = with_lead.select("sig", "x1", "x2", led.alias("near"))
+        rest = self.across(labels, wanted.join(common, ["x1", "x2"], "left").join(beside, ["sig", "x1", "x2"], "left"), asks)
         if rest.isEmpty():
             return labels
-        return connected_components(links.unionAll(stored(self.verified(rest))))
+        return connected_components(links.unionAll(self.verified(rest, texts).where("linked").select("a", "b")))
 
     def across(self, labels: DataFrame, hot: DataFrame, asks: DataFrame) -> DataFrame:
         """Pairs with a common frequent signature that are still in different components."""
         known = self.named("x", "node").join(labels, "node").select("x1", "x2", F.xxhash64("component").alias("of"))
         of = F.coalesce("of", F.xxhash64("x1", "x2")).alias("of")
-        members = stored(hot.join(known, ["x1", "x2"], "left").select("sig", "x1", "x2", "nx", of))
+        members = stored(hot.join(known, ["x1", "x2"], "left").select("sig", "x1", "x2", "nx", "lone", "lead", "led", "near", of))
         mixed = members.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
         members = members.join(mixed.where(F.col("lo") != F.col("hi")).select("sig"), "sig")
         asking = asks.select("sig", "x1", "x2").join(members, ["sig", "x1", "x2"])
-        others = members.withColumnsRenamed({"x1": "y1", "x2": "y2", "nx": "ny", "of": "yof"})
+        others = members.withColumnsRenamed(RENAMED | {"lead": "ylead", "led": "yled", "near": "ynear", "of": "yof"})
         before = (F.col("y1") < F.col("x1")) | ((F.col("y1") == F.col("x1")) & (F.col("y2") < F.col("x2")))
         smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & before)
-        pairs = asking.join(others, "sig").where((F.col("of") != F.col("yof")) & smaller & (4 * F.col("ny") >= 3 * F.col("nx")))
+        pairs = asking.join(others, "sig").where((F.col("of") != F.col("yof")) & smaller & _possible() & _possible_beside_leader())
         return stored(pairs.select("x1", "x2", "y1", "y2").distinct())
 
     def components(self) -> DataFrame:
@@ -521,6 +621,31 @@ class JaccardJoin:
         )
 
 
+ROW = ["sig", "x1", "x2", "nx"]
+RENAMED = {"x1": "y1", "x2": "y2", "nx": "ny", "lone": "ylone"}
+
+
+def _possible():
+    """Whether sizes and the shingles that x and y hold alone leave room for a link: both must be able to share
+    3/7 of |x| + |y|."""
+    nx, ny = F.col("nx"), F.col("ny")
+    return 7 * F.least(nx - F.col("lone"), ny - F.col("ylone")) >= 3 * (nx + ny)
+
+
+def _possible_beside_leader():
+    """The same, where it is known what x and y share with one leader, that of the signature or the best-known one: of
+    that they share the smaller part at most, and of the rest what neither holds alone."""
+    nx, ny = F.col("nx"), F.col("ny")
+
+    def room(x: str, y: str):
+        x, y = F.col(x), F.col(y)
+        most = F.least(x, y) + F.least(nx - x - F.col("lone"), ny - y - F.col("ylone"))
+        return 7 * most >= 3 * (nx + ny)
+
+    main = F.coalesce((F.col("lead") != F.col("ylead")) | room("led", "yled"), F.lit(True))
+    return main & F.coalesce(room("near", "ynear"), F.lit(True))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows."""
 
