@@ -21,7 +21,7 @@ RET = f"{OHLCV}, ret AS (SELECT symbol, ts, close, close / lag(close) OVER (PART
 
 def returns(spark, d):
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    return domain.ohlcv(spark, d).select("symbol", "ts", "close", (F.col("close") / before - 1).alias("ret")).where(F.col("ret").isNotNull())
+    return domain.ohlcv(spark, d).select("symbol", "ts", "close", (F.try_divide(F.col("close"), before) - 1).alias("ret")).where(F.col("ret").isNotNull())
 
 
 @C.add("stats__sharpe_ratio", f"WITH {RET} SELECT symbol, {r('(avg(ret) - 0.01) / stddev_samp(ret) * sqrt(252)')} AS sharpe FROM ret GROUP BY symbol")

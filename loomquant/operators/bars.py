@@ -186,7 +186,7 @@ def bar_diagnostics(ohlcv: DataFrame, *, ordinal: str | None = None) -> DataFram
     clean = clean_ohlcv(ohlcv, ordinal=ordinal)
     w = Window.partitionBy("symbol").orderBy("ts")
     last = F.lag("close").over(w)
-    returns = clean.select("symbol", "ts", ((F.col("close") - last) / last).alias("ret")).where(F.col("ret").isNotNull())
+    returns = clean.select("symbol", "ts", F.try_divide(F.col("close") - last, last).alias("ret")).where(F.col("ret").isNotNull())
     ends = returns.groupBy("symbol").agg(F.max_by("ret", "ts").alias("end"))  # a row for each symbol
     carried = ends.select("symbol", F.lag("end").over(Window.orderBy("symbol")).alias("before"))
     inner = returns.select("symbol", "ts", "ret", F.lag("ret").over(w).alias("prev"))

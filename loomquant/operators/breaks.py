@@ -13,7 +13,7 @@ def by_time():
 
 def chow_type_stat(prices: DataFrame, min_length: int, *, value: str = "log_price") -> DataFrame:
     """(symbol, break, stat): t statistic of the lagged level from the break on, in closed form from suffix sums."""
-    after = by_time().rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("symbol")
     lagged = prices.select("symbol", "ts", (F.row_number().over(by_time()) - 1).alias("i"), F.lag(value).over(by_time()).alias("x"), (F.col(value) - F.lag(value).over(by_time())).alias("d"))
     # row i holds the pair (y[i-1], y[i] - y[i-1]); a break at b keeps the pairs from i = b + 1 on

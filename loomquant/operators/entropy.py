@@ -138,8 +138,8 @@ def bar_features(ticks: DataFrame, boundaries: DataFrame) -> DataFrame:
     numbered = trade_sign(ticks).withColumn("_n", F.row_number().over(w) - 1)
     marks = boundaries.select("symbol", F.col("last").alias("_n"), F.lit(None).cast("struct<ts:timestamp_ntz,price:double,volume:double,sign:double>").alias("_t"), F.col("last").alias("_m"))
     rows = numbered.select("symbol", F.col("_n").cast(marks.schema["_n"].dataType), F.struct("ts", "price", "volume", F.coalesce("sign", F.lit(0.0)).alias("sign")).alias("_t"), F.lit(None).cast(marks.schema["_m"].dataType).alias("_m"))
-    ahead = Window.partitionBy("symbol").orderBy("_n", F.col("_m").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    placed = rows.unionByName(marks).withColumn("bar_end", F.first("_m", True).over(ahead)).where(F.col("_t").isNotNull() & F.col("bar_end").isNotNull())
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("_n"), F.col("_m").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.unionByName(marks).withColumn("bar_end", F.last("_m", True).over(ahead)).where(F.col("_t").isNotNull() & F.col("bar_end").isNotNull())
     t = placed.select("symbol", "bar_end", "_n", "_t.*")
     letter = F.when(F.col("sign") == 1, "a").when(F.col("sign") == -1, "b").otherwise("c")
     signs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", letter.alias("c")))), lambda s: s["c"]), "")

@@ -14,7 +14,8 @@ def cusum_flags(close: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """Symmetric CUSUM of log returns; only the side that is breached starts again, the lower one is looked at first."""
     out = np.zeros(len(close), dtype=bool)
     up = down = 0.0
-    returns = np.diff(np.log(close), prepend=np.nan)
+    with np.errstate(divide="ignore", invalid="ignore"):  # prices of 0 give steps without a size
+        returns = np.nan_to_num(np.diff(np.log(close), prepend=np.nan), nan=0.0, posinf=0.0, neginf=0.0)
     for i in range(1, len(close)):
         up, down = max(0.0, up + returns[i]), min(0.0, down + returns[i])
         if down < -threshold[i]:

@@ -41,7 +41,7 @@ def triple_barrier_events(
     path = range_join(
         kept.withColumnRenamed("ts", "_start"), close.select("symbol", "ts", "close"), start="_start", end="_end", at="ts", open_start=True, bucket_seconds=bucket_seconds
     )
-    move = F.coalesce("side", F.lit(1.0)) * (F.col("close") / F.col("_p0") - 1)
+    move = F.coalesce("side", F.lit(1.0)) * (F.try_divide(F.col("close"), F.col("_p0")) - 1)
     hits = F.lit(False)
     if profit_taking > 0:
         hits = hits | (move >= profit_taking * F.col("trgt"))
@@ -58,7 +58,7 @@ def triple_barrier_labels(events: DataFrame, close: DataFrame) -> DataFrame:
     p0 = close.select("symbol", "ts", F.col("close").alias("_p0"))
     p1 = close.select("symbol", F.col("ts").alias("t1"), F.col("close").alias("_p1"))
     joined = events.join(p0, ["symbol", "ts"]).join(p1, ["symbol", "t1"])
-    ret = F.coalesce("side", F.lit(1.0)) * (F.col("_p1") / F.col("_p0") - 1)
+    ret = F.coalesce("side", F.lit(1.0)) * (F.try_divide(F.col("_p1"), F.col("_p0")) - 1)
     priced = joined.withColumn("ret", ret)
     label = F.when(F.col("side").isNotNull(), (F.col("ret") > 0).cast("int")).otherwise(F.signum("ret").cast("int"))
     return priced.select("symbol", "ts", "ret", "trgt", label.alias("label"), "side")

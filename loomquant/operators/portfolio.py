@@ -28,12 +28,12 @@ def resample(prices: DataFrame, step: int) -> DataFrame:
 def log_returns(prices: DataFrame) -> DataFrame:
     """(ts, asset, ret) from an asset's second row on."""
     before = F.lag("price").over(Window.partitionBy("asset").orderBy("ts"))
-    return prices.select("ts", "asset", F.ln(F.col("price") / before).alias("ret")).where(F.col("ret").isNotNull())
+    return prices.select("ts", "asset", F.ln(F.try_divide(F.col("price"), before)).alias("ret")).where(F.col("ret").isNotNull())
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     before = F.lag("price").over(Window.partitionBy("asset").orderBy("ts"))
-    return prices.select("ts", "asset", (F.col("price") / before - 1).alias("ret")).where(F.col("ret").isNotNull())
+    return prices.select("ts", "asset", (F.try_divide(F.col("price"), before) - 1).alias("ret")).where(F.col("ret").isNotNull())
 
 
 def covariance(returns: DataFrame) -> DataFrame:

@@ -38,13 +38,13 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def parkinson_vol(df: DataFrame, window: int, name: str = "parkinson") -> DataFrame:
-    square = F.pow(F.ln(F.col("high") / F.col("low")), 2)
+    square = F.pow(F.ln(F.try_divide(F.col("high"), F.col("low"))), 2)
     return df.withColumn(name, F.sqrt(full(square, F.avg, window) / (4 * math.log(2))))
 
 
 def garman_klass_vol(df: DataFrame, window: int, name: str = "garman_klass") -> DataFrame:
-    range_part = 0.5 * F.pow(F.ln(F.col("high") / F.col("low")), 2)
-    body = (2 * math.log(2) - 1) * F.pow(F.ln(F.col("close") / F.col("open")), 2)
+    range_part = 0.5 * F.pow(F.ln(F.try_divide(F.col("high"), F.col("low"))), 2)
+    body = (2 * math.log(2) - 1) * F.pow(F.ln(F.try_divide(F.col("close"), F.col("open"))), 2)
     return df.withColumn(name, F.sqrt(full(range_part - body, F.avg, window)))
 
 
@@ -56,9 +56,9 @@ def yang_zhang_vol(df: DataFrame, window: int, name: str = "yang_zhang") -> Data
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     parts = df.select(
         "*",
-        F.pow(F.ln(o / lag("close")), 2).alias("_a"),
-        F.pow(F.ln(c / lag("open")), 2).alias("_b"),
-        (F.ln(h / c) * F.ln(h / o) + F.ln(low / c) * F.ln(low / o)).alias("_r"),
+        F.pow(F.ln(F.try_divide(o, lag("close"))), 2).alias("_a"),
+        F.pow(F.ln(F.try_divide(c, lag("open"))), 2).alias("_b"),
+        (F.ln(F.try_divide(h, c)) * F.ln(F.try_divide(h, o)) + F.ln(F.try_divide(low, c)) * F.ln(F.try_divide(low, o))).alias("_r"),
     )
     total = full(F.col("_a"), F.sum, window) + k * full(F.col("_b"), F.sum, window) + (1 - k) * full(F.col("_r"), F.sum, window)
     return parts.withColumn(name, F.sqrt(total / (window - 1))).drop("_a", "_b", "_r")
@@ -99,7 +99,7 @@ def daily_vol(df: DataFrame, lookback: int, name: str = "daily_vol") -> DataFram
     """Deviation of the returns against the last close a day or more ago; rows without such a close drop out."""
     stamped = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     day_old = Window.partitionBy("symbol").orderBy("_us").rangeBetween(Window.unboundedPreceding, -86_400_000_000)
-    with_ret = stamped.withColumn("_ret", F.col("close") / F.last("close").over(day_old) - 1).where(F.col("_ret").isNotNull())
+    with_ret = stamped.withColumn("_ret", F.try_divide(F.col("close"), F.last("close").over(day_old)) - 1).where(F.col("_ret").isNotNull())
     return add_columns(with_ret, lambda c: {name: ew_std(c["_ret"], lookback)}, {name: T.DoubleType()}, by=["symbol"], order=["ts"]).drop("_us", "_ret")
 
 
@@ -170,10 +170,10 @@ _K = 3 - 2 * math.sqrt(2)
 
 def _with_beta_gamma(df: DataFrame, window: int) -> DataFrame:
     two = by_time().rowsBetween(-1, 0)
-    square = F.pow(F.ln(F.col("high") / F.col("low")), 2)
+    square = F.pow(F.ln(F.try_divide(F.col("high"), F.col("low"))), 2)
     with_square = df.withColumn("_hl", square).withColumn("_b", F.col("_hl") + lag("_hl"))
     enough = F.count("*").over(two) == 2
-    gamma = F.when(enough, F.pow(F.ln(F.max("high").over(two) / F.min("low").over(two)), 2))
+    gamma = F.when(enough, F.pow(F.ln(F.try_divide(F.max("high").over(two), F.min("low").over(two))), 2))
     return with_square.select("*", full(F.col("_b"), F.avg, window).alias("_beta"), gamma.alias("_gamma"))
 
 
@@ -204,13 +204,13 @@ def bar_kyle_lambda(df: DataFrame, window: int, name: str = "kyle") -> DataFrame
 
 def bar_amihud_lambda(df: DataFrame, window: int, name: str = "amihud") -> DataFrame:
     """Rolling mean of absolute log returns over dollar volume; bars without volume add nothing."""
-    moved = df.withColumn("_r", F.abs(F.ln(F.col("close") / lag("close"))))
+    moved = df.withColumn("_r", F.abs(F.ln(F.try_divide(F.col("close"), lag("close")))))
     each = F.when(F.col("_r").isNotNull(), F.coalesce(ratio(F.col("_r"), F.col("dollar_volume")), F.lit(0.0)))
     return moved.withColumn("_x", each).withColumn(name, full(F.col("_x"), F.sum, window) / window).drop("_r", "_x")
 
 
 def bar_hasbrouck_lambda(df: DataFrame, window: int, name: str = "hasbrouck") -> DataFrame:
-    moved = df.withColumn("_r", F.ln(F.col("close") / lag("close")))
+    moved = df.withColumn("_r", F.ln(F.try_divide(F.col("close"), lag("close"))))
     signed = F.signum("_r") * F.sqrt("dollar_volume")
     each = F.when(F.col("_r").isNotNull(), F.coalesce(ratio(F.col("_r"), signed), F.lit(0.0)))
     return moved.withColumn("_x", each).withColumn(name, full(F.col("_x"), F.sum, window) / window).drop("_r", "_x")

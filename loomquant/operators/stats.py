@@ -84,7 +84,7 @@ def drawdown_and_time_under_water(curve: DataFrame, *, value: str = "value", dol
     dips = parts.where(F.col("_low") < F.col("_high"))
     ends = curve.groupBy("symbol").agg(F.max("ts").alias("_end"))
     after = F.lead("start").over(Window.partitionBy("symbol").orderBy("start"))
-    depth = F.col("_high") - F.col("_low") if dollars else 1 - F.col("_low") / F.col("_high")
+    depth = F.col("_high") - F.col("_low") if dollars else 1 - F.try_divide(F.col("_low"), F.col("_high"))
     until = dips.withColumn("_next", after).join(ends, "symbol").withColumn("_to", F.coalesce("_next", "_end"))
     micros = F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
     return until.select("symbol", "start", depth.alias("drawdown"), (micros / (365.25 * 86_400 * 1e6)).alias("years"))

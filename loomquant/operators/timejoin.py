@@ -10,8 +10,9 @@ def asof_forward(left: DataFrame, right: DataFrame, at: Column, *, value: str =
     """`left` with the first `right.value` at or after `at` (null if there is none): one sort of both sides together."""
     rows = left.select(F.struct(*left.columns).alias("_row"), F.col(by).alias("_by"), at.alias("_at"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     marks = right.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(by).alias("_by"), F.col(value).alias("_at"), F.col(value).alias("_v"))
-    w = Window.partitionBy("_by").orderBy(F.col("_at"), F.col("_v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    both = rows.unionByName(marks).select("_row", F.first("_v", True).over(w).alias(name))
+    # from late to early, marks before rows of the same time: a running frame, which costs a step for each row
+    w = Window.partitionBy("_by").orderBy(F.desc("_at"), F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks).select("_row", F.last("_v", True).over(w).alias(name))
     return both.where(F.col("_row").isNotNull()).select("_row.*", name)
 
 

@@ -17,7 +17,7 @@ def weights_by_return(spans: DataFrame, close: DataFrame) -> DataFrame:
     number of spans then alive; scaled so that a symbol's weights sum to its number of spans."""
     w = Window.partitionBy("symbol").orderBy("ts")
     counted = concurrency(close.select("symbol", "ts", "close"), spans)
-    shares = counted.select("symbol", "ts", (F.ln(F.col("close") / F.lag("close").over(w)) / F.greatest("concurrent", F.lit(1))).alias("r"))
+    shares = counted.select("symbol", "ts", (F.ln(F.try_divide(F.col("close"), F.lag("close").over(w))) / F.greatest("concurrent", F.lit(1))).alias("r"))
     own = spans.select("symbol", "id", "start", "end")
     inside = range_join(own, shares, start="start", end="end", at="ts", open_start=True)
     raw = inside.groupBy("symbol", "id").agg(F.abs(F.sum("r")).alias("raw"))

@@ -94,7 +94,7 @@ def comparison_payload(left: tuple[str, list, list], right: tuple[str, list, lis
 def drawdown_curve(curve: DataFrame) -> DataFrame:
     """(symbol, ts, equity, drawdown)."""
     top = F.max("equity").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return curve.select("symbol", "ts", "equity", (F.col("equity") / top - 1).alias("drawdown"))
+    return curve.select("symbol", "ts", "equity", (F.try_divide(F.col("equity"), top) - 1).alias("drawdown"))
 
 
 def drawdown_payload(curve: DataFrame) -> dict:

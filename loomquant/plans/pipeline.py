@@ -61,7 +61,7 @@ def strategy_path(timeline: DataFrame) -> DataFrame:
     """(symbol, ts, ord, position, ret, equity): the return of each bar on the signal before it, compounded; the first
     bar's return is null."""
     before, held = F.lag("close").over(_w()), F.lag("signal").over(_w())
-    rows = timeline.select("symbol", "ts", "ord", F.col("signal").alias("position"), (held * (F.col("close") / before - 1)).alias("ret"))
+    rows = timeline.select("symbol", "ts", "ord", F.col("signal").alias("position"), (held * (F.try_divide(F.col("close"), before) - 1)).alias("ret"))
     grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(_w().rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("equity", grown)
 
@@ -80,7 +80,7 @@ def leakage_checks(bars: DataFrame, timeline: DataFrame, path: DataFrame) -> Dat
     own or a later signal."""
     counts = bars.groupBy("symbol").agg(F.count("*").alias("n")).join(path.groupBy("symbol").agg(F.count("*").alias("m")), "symbol", "full")
     aligned = counts.agg(F.coalesce(F.every(F.col("n").eqNullSafe(F.col("m"))), F.lit(True)).alias("inputs_aligned"))
-    held = timeline.select("symbol", "ts", "ord", F.lag("signal").over(_w()).alias("_h"), (F.col("close") / F.lag("close").over(_w()) - 1).alias("_m"))
+    held = timeline.select("symbol", "ts", "ord", F.lag("signal").over(_w()).alias("_h"), (F.try_divide(F.col("close"), F.lag("close").over(_w())) - 1).alias("_m"))
     looked = path.join(held, ["symbol", "ts", "ord"]).agg(
         F.coalesce(F.some(F.abs(F.col("ret") - F.col("_h") * F.col("_m")) > 1e-12), F.lit(False)).alias("has_forward_look_bias")
     )
