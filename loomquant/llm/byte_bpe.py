@@ -47,6 +47,10 @@ class Vocabulary:
     ranks: dict[bytes, int]
     pattern: str
 
+    def __getstate__(self) -> dict:
+        """What is derived stays behind: a task derives what it needs."""
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
     @cached_property
     def pieces(self) -> list[bytes]:
         """Bytes of each id."""
@@ -300,7 +304,7 @@ def encode(
     keep: list[str],
     prefix: str = "",
     ids_out: bool = False,
-    max_words: int = 1 << 19,
+    max_words: int = 1 << 18,
     long_bytes: int = 256,
 ) -> DataFrame:
     """`keep` columns with n_tokens, the digest of the ids (little-endian unsigned 32 bits), the digest of the bytes

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .storage import cut_lineage
-from .words import as_bytes, lean, split_words
+from .words import as_bytes, bounded, lean, split_words
 
 SHARD_SYMBOLS = 1 << 17
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))
@@ -114,7 +114,7 @@ def _scanner(block: PhraseBlock, keep: list[str], names: tuple[str, str, str, st
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             raw, off = as_bytes(batch.column(batch.schema.get_field_index("text")))
             words = split_words(raw, off, "alnum", lower=True)
             phrase, first = block.occurrences(words.hashes, words.rows)

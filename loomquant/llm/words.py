@@ -19,19 +19,29 @@ import pyarrow as pa
 U64 = np.uint64
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run):
-    """A map function that gives its memory back when its task ends: Spark keeps Python workers for later tasks."""
+    """A map function that gives memory back after each batch and when its task ends: Spark keeps Python workers for
+    later tasks, and what the allocator holds counts against the executor."""
+
+    def each(batches):
+        for batch in batches:
+            yield batch
+            _give_back()
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
-            yield from run(batches)
+            yield from run(each(batches))
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return wrapped
 
