@@ -51,6 +51,7 @@ FLUSH = 1_000_000
 LOCALLY_HOT = 1024
 SALTS = 16
 SIG_BITS = 39
+MOST_REST = 64
 MARKER = 0xFFFFFFFF
 
 
@@ -434,10 +435,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if z != last:
                     last, last_set = z, shingle_sets(pa.array([opener.decompress(z)], pa.binary()).cast(pa.string()))[0]
                 shared = len(last_set) + len(other) - len(np.union1d(last_set, other))
-                counts.append((shared, linked(len(last_set), len(other), shared)))
+                apart = len(last_set) - shared
+                rest = np.setdiff1d(last_set, other, assume_unique=True).view(np.int64) if apart <= MOST_REST else None
+                counts.append((shared, linked(len(last_set), len(other), shared), rest))
         arrays = [column(batch, c) for c in VERIFIED]
         arrays += [pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(arrays, [*VERIFIED, "shared", "linked"])
+        arrays.append(pa.array([c[2] for c in counts], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(arrays, [*VERIFIED, "shared", "linked", "rest"])
 
 
 VERIFIED = ["x1", "x2", "y1", "y2", "a", "b"]
@@ -505,12 +509,12 @@ class JaccardJoin:
         return texts.select(F.struct(F.col("doc").alias("rep"), F.col("tag").alias("rep_tag")).alias("id"), "z")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """`pairs` (x1, x2, y1, y2) with the representatives' (doc, tag) as a and b, the number of common shingles and
-        whether they are linked."""
+        """`pairs` (x1, x2, y1, y2) with the representatives' (doc, tag) as a and b, the number of common shingles whether
+        they are linked, and the shingles of x that y lacks if they are MOST_REST at most."""
         x = texts.select("x1", "x2", F.col("id").alias("a"), F.col("z").alias("za"))
         y = texts.select(F.col("x1").alias("y1"), F.col("x2").alias("y2"), F.col("id").alias("b"), F.col("z").alias("zb"))
         both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).select(*VERIFIED, "za", "zb")
-        schema = T.StructType([*both.schema.fields[:-2], T.StructField("shared", T.LongType()), T.StructField("linked", T.BooleanType())])
+        schema = T.StructType([*both.schema.fields[:-2], T.StructField("shared", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("rest", T.ArrayType(T.LongType()))])
         return stored(both.mapInArrow(_verify, schema))
 
     def poor_links(self, found: DataFrame) -> DataFrame | None:
@@ -549,16 +553,15 @@ class JaccardJoin:
         cold = cold.join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select("x1", "x2", "y1", "y2")
         hot = found.where(F.col("kind") == HOT).select(*ROW, "count", "own")
         asks = stored(hot.where("own").join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select(*ROW))
-        wanted = stored(hot.join(asks.select("sig").distinct(), "sig").select(*ROW))
+        wanted = stored(hot.join(asks.select("sig").distinct(), "sig", "left_semi").select(*ROW))
         cold = stored(cold)
         involved = cold.select("x1", "x2").unionAll(cold.select("y1", "y2")).unionAll(wanted.select("x1", "x2")).distinct()
         named = self.named("x", "id").join(involved, ["x1", "x2"])
         texts = stored(named.join(self.zipped(), "id").select("x1", "x2", "id", "z"))
         # of the shingles that a set alone holds no partner has one
         lone = stored(self.loners(wanted.select("x1", "x2").distinct(), texts))
-        asks, wanted = (
-            f.join(lone, ["x1", "x2"], "left").select(*ROW, F.coalesce("lone", F.lit(0)).alias("lone")) for f in (asks, wanted)
-        )
+        wanted = stored(wanted.join(lone, ["x1", "x2"], "left").select(*ROW, F.coalesce("lone", F.lit(0)).alias("lone")))
+        asks = stored(wanted.join(asks.select("sig", "x1", "x2"), ["sig", "x1", "x2"], "left_semi"))
         # the sets with the fewest shingles of their own are likeliest to be linked with the others
         member = [F.col(c) for c in ("x1", "x2", "nx", "lone")]
         ends = wanted.groupBy("sig").agg(F.min(F.struct("lone", *member[:3])).alias("lo"), F.max_by(F.struct(*member), "nx").alias("hi"))
@@ -576,29 +579,29 @@ class JaccardJoin:
         labels = connected_components(links)
         # what sets have in common with the best-known leader of their signatures
         lead = led_asks.select("sig", "x1", "x2", "nx", F.col("lo.x1").alias("y1"), F.col("lo.x2").alias("y2"))
-        with_lead = lead.join(tested.select("x1", "x2", "y1", "y2", "shared"), ["x1", "x2", "y1", "y2"], "left")
+        with_lead = lead.join(tested.select("x1", "x2", "y1", "y2", "shared", "rest"), ["x1", "x2", "y1", "y2"], "left")
         is_lead = (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
         led = F.when(is_lead, F.col("nx")).otherwise(F.col("shared"))
-        common = with_lead.select("x1", "x2", F.xxhash64("y1", "y2").alias("lead"), led.alias("led")).where(F.col("led").isNotNull())
-        common = common.distinct()
+        rest = F.when(is_lead, F.array().cast("array<bigint>")).otherwise(F.col("rest"))
+        common = with_lead.select("x1", "x2", F.xxhash64("y1", "y2").alias("lead"), led.alias("led"), rest.alias("rest"))
+        common = common.where(F.col("led").isNotNull()).distinct()
         known = common.groupBy("lead").agg(F.count("*").alias("sets"))  # the leader that most sets know is taken
         common = common.join(known, "lead").groupBy("x1", "x2")
-        common = common.agg(F.max_by(F.struct("lead", "led"), F.struct("sets", "lead")).alias("main")).select("x1", "x2", "main.*")
-        beside = with_lead.select("sig", "x1", "x2", led.alias("near"))
-        rest = self.across(labels, wanted.join(common, ["x1", "x2"], "left").join(beside, ["sig", "x1", "x2"], "left"), asks)
-        if rest.isEmpty():
+        common = common.agg(F.max_by(F.struct("lead", "led", "rest"), F.struct("sets", "lead")).alias("main")).select("x1", "x2", "main.*")
+        left = self.across(labels, wanted.join(common, ["x1", "x2"], "left"), asks)
+        if left.isEmpty():
             return labels
-        return connected_components(links.unionAll(self.verified(rest, texts).where("linked").select("a", "b")))
+        return connected_components(links.unionAll(self.verified(left, texts).where("linked").select("a", "b")))
 
     def across(self, labels: DataFrame, hot: DataFrame, asks: DataFrame) -> DataFrame:
         """Pairs with a common frequent signature that are still in different components."""
         known = self.named("x", "node").join(labels, "node").select("x1", "x2", F.xxhash64("component").alias("of"))
         of = F.coalesce("of", F.xxhash64("x1", "x2")).alias("of")
-        members = stored(hot.join(known, ["x1", "x2"], "left").select("sig", "x1", "x2", "nx", "lone", "lead", "led", "near", of))
+        members = stored(hot.join(known, ["x1", "x2"], "left").select("sig", "x1", "x2", "nx", "lone", "lead", "led", "rest", of))
         mixed = members.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
-        members = members.join(mixed.where(F.col("lo") != F.col("hi")).select("sig"), "sig")
-        asking = asks.select("sig", "x1", "x2").join(members, ["sig", "x1", "x2"])
-        others = members.withColumnsRenamed(RENAMED | {"lead": "ylead", "led": "yled", "near": "ynear", "of": "yof"})
+        mixed = mixed.where(F.col("lo") != F.col("hi")).select("sig")
+        asking = asks.select("sig", "x1", "x2").join(mixed, "sig", "left_semi").join(members, ["sig", "x1", "x2"])
+        others = members.withColumnsRenamed(RENAMED | {"lead": "ylead", "led": "yled", "rest": "yrest", "of": "yof"})
         before = (F.col("y1") < F.col("x1")) | ((F.col("y1") == F.col("x1")) & (F.col("y2") < F.col("x2")))
         smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & before)
         pairs = asking.join(others, "sig").where((F.col("of") != F.col("yof")) & smaller & _possible() & _possible_beside_leader())
@@ -633,17 +636,16 @@ def _possible():
 
 
 def _possible_beside_leader():
-    """The same, where it is known what x and y share with one leader, that of the signature or the best-known one: of
-    that they share the smaller part at most, and of the rest what neither holds alone."""
-    nx, ny = F.col("nx"), F.col("ny")
-
-    def room(x: str, y: str):
-        x, y = F.col(x), F.col(y)
-        most = F.least(x, y) + F.least(nx - x - F.col("lone"), ny - y - F.col("ylone"))
-        return 7 * most >= 3 * (nx + ny)
-
-    main = F.coalesce((F.col("lead") != F.col("ylead")) | room("led", "yled"), F.lit(True))
-    return main & F.coalesce(room("near", "ynear"), F.lit(True))
+    """The same, where it is known what x and y share with one leader: of that they share the smaller part at most, and
+    of the rest what is in both, or where that is long, what neither holds alone."""
+    nx, ny, x, y = F.col("nx"), F.col("ny"), F.col("led"), F.col("yled")
+    loose = F.least(nx - x - F.col("lone"), ny - y - F.col("ylone"))
+    exact = F.size(F.array_intersect("rest", "yrest"))
+    same = F.col("lead") == F.col("ylead")
+    may = (7 * (F.least(x, y) + loose) >= 3 * (nx + ny)) & (
+        F.col("rest").isNull() | F.col("yrest").isNull() | (7 * (F.least(x, y) + exact) >= 3 * (nx + ny))
+    )
+    return F.coalesce(~same | may, F.lit(True))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
