@@ -305,8 +305,8 @@ def by_decay_negative(spark, d):
 
 
 def bar_spans(spark, d):
-    """Integer spans: orders 1 to 2000 over bars."""
-    o = domain.read(spark, d, "orders").where("o_orderkey <= 2000")
+    """Integer spans: one for each order."""
+    o = domain.read(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("label"), (F.col("o_orderkey") * 3 % 2500).alias("start"), (F.col("o_orderkey") * 3 % 2500 + F.col("o_custkey") % 20).alias("end"))
 
 
@@ -315,7 +315,10 @@ ind AS (SELECT label, unnest(range(s, e + 1)) AS bar FROM bs), cnt AS (SELECT ba
 
 
 def indicator(spark, d):
-    return weights.indicator(bar_spans(spark, d), spark.range(0, 2600).withColumnRenamed("id", "bar"))
+    """Spans over every bar from the first start to the last end."""
+    spans = bar_spans(spark, d)
+    axis = spans.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("bar"))
+    return weights.indicator(spans, axis)
 
 
 @C.add("sampling__indicator", f"WITH {IND} SELECT bar, label FROM ind")
@@ -345,7 +348,7 @@ def boot_step(spark, d):
 
 @C.add("sampling__sequential_bootstrap")
 def boot(spark, d):
-    spans = bar_spans(spark, d).where("label <= 300").select(F.lit("all").alias("symbol"), F.col("label").alias("id"), "start", "end")
+    spans = bar_spans(spark, d).select(F.lit("all").alias("symbol"), F.col("label").alias("id"), "start", "end")
     return weights.sequential_bootstrap(spans, replicates=4, seed=7)
 
 

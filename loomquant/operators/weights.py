@@ -49,8 +49,8 @@ def weights_by_time_decay(spans: DataFrame, close: DataFrame, decay: float = 1.0
 
 def indicator(spans: DataFrame, bars: DataFrame) -> DataFrame:
     """The indicator matrix in long form: (bar, label) where label span [start, end] covers the bar (integers). A bar goes
-    to the spans of its own block of 1024 only."""
-    block = 1024
+    to the spans of its own block of 16 only, so what is compared grows with the rows that come out."""
+    block = 16
     if spans.where(F.col("start") > F.col("end")).limit(1).count():
         raise ValueError("a span ends before it starts")
     wide = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))))
@@ -79,18 +79,47 @@ def bootstrap_step(ind: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def sequential_draws(starts: np.ndarray, ends: np.ndarray, n_bars: int, size: int, rng: np.random.Generator, warmup: list[int] | None = None) -> np.ndarray:
-    """Labels drawn one at a time in proportion to their average uniqueness. Each draw changes the concurrency of its own
-    span only; averages come from a prefix sum, so a draw costs bars + labels and never a matrix."""
+    """Labels drawn one at a time in proportion to their average uniqueness. That is the sum over a label's bars of
+    1 / (concurrency * length), so a draw takes a bar by its share and then one of its labels by 1 / length. A draw changes
+    the concurrency of its own span only; bars are summed in blocks, so it costs the root of the bars and its span, and
+    memory is for the bars of all spans, never a matrix."""
+    length = ends - starts + 1
+    first = np.concatenate([[0], np.cumsum(length)])
+    label = np.repeat(np.arange(len(starts)), length)
+    bar = np.arange(first[-1]) - np.repeat(first[:-1] - starts, length)
+    order = np.argsort(bar, kind="stable")
+    label = label[order]
+    offset = np.concatenate([[0], np.cumsum(np.bincount(bar, minlength=n_bars))])
+    passed = np.concatenate([[0.0], np.cumsum(1 / length[label])])  # of the labels of all bars before, bar by bar
+    share = passed[offset[1:]] - passed[offset[:-1]]
+    width = max(1, int(np.sqrt(n_bars)))
+    n_blocks = -(-n_bars // width)
     concurrent = np.ones(n_bars)
+    weight = np.zeros(n_blocks * width)
+    weight[:n_bars] = share
+    block = weight.reshape(n_blocks, width).sum(axis=1)
+
+    def at(weights: np.ndarray) -> int:
+        total = np.cumsum(weights)
+        return int(min(np.searchsorted(total, rng.random() * total[-1], side="right"), np.flatnonzero(weights)[-1]))
+
     out = []
     pending = list(warmup or [])
-    length = ends - starts + 1
     for _ in range(size):
-        total = np.concatenate([[0.0], np.cumsum(1 / concurrent)])
-        average = (total[ends + 1] - total[starts]) / length
-        pick = pending.pop() if pending else int(rng.choice(len(starts), p=average / average.sum()))
+        if pending:
+            pick = pending.pop()
+        else:
+            b = at(block) * width
+            b += at(weight[b : b + width])
+            lo, hi = offset[b], offset[b + 1]
+            spot = np.searchsorted(passed[lo + 1 : hi], passed[lo] + rng.random() * (passed[hi] - passed[lo]), side="right")
+            pick = int(label[lo + spot])
         out.append(pick)
-        concurrent[starts[pick] : ends[pick] + 1] += 1
+        lo, hi = int(starts[pick]), int(ends[pick]) + 1
+        concurrent[lo:hi] += 1
+        weight[lo:hi] = share[lo:hi] / concurrent[lo:hi]
+        a, z = lo // width, (hi - 1) // width + 1
+        block[a:z] = weight[a * width : z * width].reshape(-1, width).sum(axis=1)
     return np.array(out, dtype=np.int64)
 
 
