@@ -203,12 +203,12 @@ def info(spark, d):
     return rounded(found, "mutual_info", "normalized_mutual_info", "variation", "normalized_variation")
 
 
-END, SADF_END = "1996-01-01", "1995-09-01"  # the quadratic statistics run on the first year
+END, SADF_END = "1996-01-01", "1995-09-01"  # of the SQL only, where self-joins make the quadratic statistics slow
 LOGP = f"{OHLCV}, lp AS (SELECT symbol, ts, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ohlcv WHERE ts < TIMESTAMP '{END}')"
 
 
 def log_prices(spark, d):
-    return domain.ohlcv(spark, d).where(f"ts < timestamp_ntz'{END}'").select("symbol", "ts", F.ln("close").alias("log_price"))
+    return domain.ohlcv(spark, d).select("symbol", "ts", F.ln("close").alias("log_price"))
 
 
 @C.add(
@@ -250,8 +250,7 @@ SELECT symbol, i, {r('max((vxy / vx) / sqrt((vy - vxy * vxy / vx) / (n - 2) / vx
 def register_sadf(model: str):
     @C.add(f"breaks__sadf_{model}", SADF_EXP if model == "sm_exp" else None)
     def query(spark, d):
-        base = log_prices(spark, d).where(f"ts < timestamp_ntz'{SADF_END}'")
-        return rounded(breaks.sadf(base, model, lags=2, min_length=30), "sadf", digits=3)
+        return rounded(breaks.sadf(log_prices(spark, d), model, lags=2, min_length=30), "sadf", digits=3)
 
 
 for _model in breaks.MODELS:

@@ -93,35 +93,36 @@ def sadf_design(y: np.ndarray, model: str, lags: int | list[int], const: bool) -
 
 
 def sadf_values(x: np.ndarray, y: np.ndarray, min_length: int) -> np.ndarray:
-    """For each end, the largest t statistic of the first regressor over all starts. Every start shares prefix sums of the
-    normal equations, and the starts of one end are solved together."""
+    """For each end, the largest t statistic of the first regressor over all starts. The starts of one end share sums from
+    the end backwards and are eliminated together; with a constant, regressors and target are measured from their values at
+    the end, which leaves the statistic as it is and late windows of a long series as well conditioned as early ones."""
     n, k = x.shape
     first = int(np.flatnonzero(~np.isfinite(x).all(axis=1)).max(initial=-1)) + 1  # no start before an infinite regressor
-    x = np.where(np.isfinite(x), x, 0.0)
-    gram = np.concatenate([np.zeros((1, k, k)), np.cumsum(x[:, :, None] * x[:, None, :], axis=0)])
-    cross = np.concatenate([np.zeros((1, k)), np.cumsum(x * y[:, None], axis=0)])
-    square = np.concatenate([[0.0], np.cumsum(y * y)])
+    constant = np.flatnonzero((x[first:] == 1).all(axis=0))[:1]
+    others = [c for c in range(1, k) if c not in constant]
+    moving = np.column_stack([x[:, [*others, 0]], y]) if len(constant) else np.column_stack([x[:, [*range(1, k), 0]], y])
     out = np.full(n, -np.inf)
-    for end in range(min_length, n):
-        starts = np.arange(first, end - min_length + 2)
-        rows = end + 1 - starts
-        a = gram[end + 1] - gram[starts]
-        b = cross[end + 1] - cross[starts]
-        good = rows > k
-        if not good.any():
+    for end in range(max(min_length, first), n):
+        z = moving[first : end + 1][::-1].T
+        if len(constant):
+            z = np.vstack([np.ones(end + 1 - first), z - moving[end][:, None]])
+        sums = np.cumsum(z[:, None, :] * z[None, :, :], axis=2)
+        rows = np.arange(1, end + 2 - first)
+        fits = (rows >= min_length) & (rows > k)
+        sums, rows = sums[:, :, fits], rows[fits]
+        if not len(rows):
             continue
-        a, b, rows, starts = a[good], b[good], rows[good], starts[good]
-        usable = np.linalg.cond(a) < 1e15
-        if not usable.any():
-            continue
-        a, b, rows, starts = a[usable], b[usable], rows[usable], starts[usable]
-        inverse = np.linalg.inv(a)
-        beta = (inverse @ b[:, :, None])[:, :, 0]
-        rss = square[end + 1] - square[starts] - (beta * b).sum(axis=1)
-        variance = np.maximum(rss, 0) / (rows - k) * inverse[:, 0, 0]
+        own = sums[range(k), range(k)]
+        usable = np.ones(len(rows), dtype=bool)
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = beta[:, 0] / np.sqrt(variance)
-        t = t[np.isfinite(t)]
+            for c in range(k - 1):  # the tested regressor and the target stay last
+                usable &= sums[c, c] > 1e-13 * own[c]
+                sums[c + 1 :, c + 1 :] -= sums[c + 1 :, None, c] * (sums[None, c, c + 1 :] / sums[c, c])
+            usable &= sums[k - 1, k - 1] > 1e-13 * own[k - 1]
+            beta = sums[k - 1, k] / sums[k - 1, k - 1]
+            rss = sums[k, k] - beta * sums[k - 1, k]
+            t = beta / np.sqrt(np.maximum(rss, 0) / (rows - k) / sums[k - 1, k - 1])
+        t = t[usable & np.isfinite(t)]
         if len(t):
             out[end] = t.max()
     return out[min_length:]

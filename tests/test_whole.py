@@ -8,7 +8,7 @@ from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
 from loomquant import catalog
-from loomquant.operators import weights
+from loomquant.operators import breaks, weights
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
@@ -49,3 +49,50 @@ def test_sequential_draws_follow_average_uniqueness():
     c[2:4] += 1
     average = np.array([np.mean(1 / c[s : e + 1]) for s, e in zip(starts, ends, strict=True)])
     assert second == pytest.approx(average / average.sum(), abs=0.015)
+
+
+@pytest.fixture(scope="session")
+def later_orders(tmp_path_factory):
+    """Daily orders of one symbol over the years around the dates in the SQL."""
+    import duckdb
+
+    where = str(tmp_path_factory.mktemp("later"))
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE orders AS SELECT i AS o_orderkey, 'A' AS o_orderpriority, TIMESTAMP '1995-06-01' + to_days(CAST(i AS INT)) AS o_orderdate,
+      1000 + 40 * i + 900 * sin(i * i) AS o_totalprice FROM range(400) t(i)""")
+    con.execute(f"COPY orders TO '{where}/orders.parquet' (FORMAT parquet)")
+    return where, con
+
+
+@pytest.mark.parametrize("name, end", [("breaks__chow", "1996-01-01"), ("breaks__csw_one_sided", "1996-01-01"), ("breaks__csw_two_sided", "1996-01-01"), ("breaks__sadf_sm_exp", "1995-09-01")])
+def test_breaks_of_the_whole_series(name, end, spark, later_orders):
+    where, con = later_orders
+    cut = f" WHERE ts < TIMESTAMP '{end}'"
+    assert cut in ORACLES[name]
+    got = QUERIES[name](spark, where).toPandas()
+    want = con.sql(ORACLES[name].replace(cut, "")).df()
+    key = "break" if "break" in got else "i"
+    both = got.merge(want, on=["symbol", key], how="outer", suffixes=("", "_sql"))
+    assert len(both) == len(got) == len(want) > 340
+    for c in set(got) - {"symbol", key}:  # sums in another order
+        assert both[c].to_numpy() == pytest.approx(both[f"{c}_sql"].to_numpy(), abs=2e-3 if "sadf" in c else 2e-5)
+
+
+@pytest.mark.parametrize("model", breaks.MODELS)
+def test_sadf_of_the_whole_series(model, spark, later_orders):
+    where, con = later_orders
+    got = QUERIES[f"breaks__sadf_{model}"](spark, where).orderBy("i").toPandas()["sadf"].to_numpy()
+    y = np.log(con.sql("SELECT o_totalprice AS p FROM orders ORDER BY o_orderdate").df()["p"].to_numpy())
+    x, t = breaks.sadf_design(y, model, 2, True)
+    assert len(got) == len(t) - 30
+    for end in (30, 31, 200, len(t) - 1):
+        best = -np.inf
+        for s in range(end - 30 + 2):
+            a = x[s : end + 1]
+            if np.isfinite(a).all():
+                scale = np.linalg.norm(a, axis=0)
+                q, r = np.linalg.qr(a / scale)
+                coef, inverse = np.linalg.solve(r, q.T @ t[s : end + 1]), np.linalg.inv(r)
+                e = t[s : end + 1] - a / scale @ coef
+                best = max(best, coef[0] / np.sqrt(e @ e / (len(e) - a.shape[1]) * (inverse[0] @ inverse[0])))
+        assert got[end - 30] == pytest.approx(best, abs=2e-3)
