@@ -119,8 +119,7 @@ register_plug_in(2)
 
 @C.add("entropy__sequential")
 def sequential(spark, d):
-    short = tick_messages(spark, d).withColumn("message", F.substring("message", 1, 1500))
-    return rounded(entropy.entropies(short).select("symbol", "lempel_ziv", "kontoyiannis", "kontoyiannis_window"), "lempel_ziv", "kontoyiannis", "kontoyiannis_window")
+    return rounded(entropy.entropies(tick_messages(spark, d)).select("symbol", "lempel_ziv", "kontoyiannis", "kontoyiannis_window"), "lempel_ziv", "kontoyiannis", "kontoyiannis_window")
 
 
 @C.add(
@@ -132,7 +131,8 @@ SELECT symbol, bar_end, max(ts) AS ts, {r('avg(volume)')} AS average_tick_size,
 )
 def bar_features(spark, d):
     t = domain.ticks(spark, d)
-    marks = t.select("symbol").distinct().withColumn("last", F.explode(F.sequence(F.lit(99), F.lit(1499), F.lit(100)))).withColumn("last", F.col("last").cast("long"))
+    bars = t.groupBy("symbol").agg(F.ceil(F.count("*") / 100).alias("n"))
+    marks = bars.select("symbol", F.explode(F.sequence(F.lit(1), "n")).alias("k")).select("symbol", (F.col("k") * 100 - 1).alias("last"))
     return rounded(entropy.bar_features(t, marks), "average_tick_size", "tick_rule_sum", "vwap")
 
 

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,45 @@ def match_length(message: str, i: int, window: int) -> int:
     return longest + 1
 
 
+def earlier_matches(message: str) -> np.ndarray:
+    """For each position, the length of the longest match of what starts there with what starts anywhere before it: from
+    sorted suffixes (doubled prefixes) and the common prefixes of neighbours, unlinked from the last position on."""
+    n = len(message)
+    rank = np.unique(np.array([ord(c) for c in message]), return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while True:
+        pair = rank * (n + 1)
+        pair[: max(n - step, 0)] += rank[step:] + 1
+        order = np.argsort(pair, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) > 0)])
+        if rank[order[-1]] == n - 1:
+            break
+        step *= 2
+    place, suffix = rank.tolist(), order.tolist()
+    common = [0] * (n + 1)  # of a sorted suffix and the one before it
+    k = 0
+    for i in range(n):
+        if place[i] == 0:
+            k = 0
+            continue
+        j = suffix[place[i] - 1]
+        while i + k < n and j + k < n and message[i + k] == message[j + k]:
+            k += 1
+        common[place[i]] = k
+        k = max(k - 1, 0)
+    before, after = list(range(-1, n)), list(range(1, n + 2))
+    out = np.zeros(n, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        p = place[i]
+        out[i] = max(common[p], common[after[p]])
+        common[after[p]] = min(common[p], common[after[p]])
+        before[after[p]] = before[p]
+        if before[p] >= 0:
+            after[before[p]] = after[p]
+    return out
+
+
 def kontoyiannis(message: str, window: int = 0) -> float:
     """Mean of log2(n + 1) over match lengths, with a growing window (0) or a sliding one."""
     n = len(message)
@@ -95,7 +135,8 @@ def kontoyiannis(message: str, window: int = 0) -> float:
         points = range(window, n - window + 1)
     else:
         points = range(1, n // 2 + 1)
-    terms = [math.log2((window or i) + 1) / match_length(message, i, window or i) for i in points]
+        longest = earlier_matches(message).tolist() if n > 1 else []
+    terms = [math.log2((window or i) + 1) / (match_length(message, i, window) if window else min(longest[i], i) + 1) for i in points]
     return sum(terms) / len(terms) if terms else 0.0
 
 

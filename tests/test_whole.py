@@ -8,7 +8,7 @@ from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
 from loomquant import catalog
-from loomquant.operators import breaks, weights
+from loomquant.operators import breaks, entropy, weights
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
@@ -96,3 +96,43 @@ def test_sadf_of_the_whole_series(model, spark, later_orders):
                 e = t[s : end + 1] - a / scale @ coef
                 best = max(best, coef[0] / np.sqrt(e @ e / (len(e) - a.shape[1]) * (inverse[0] @ inverse[0])))
         assert got[end - 30] == pytest.approx(best, abs=2e-3)
+
+
+@pytest.fixture(scope="session")
+def many_events(tmp_path_factory):
+    """2,350 ticks of one symbol and 130 of another, a few minutes apart."""
+    import duckdb
+
+    where = str(tmp_path_factory.mktemp("ticks"))
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, CASE WHEN i < 2350 THEN 'A' ELSE 'B' END AS event_type, TIMESTAMP '2024-01-01' + to_minutes(CAST(20 * i AS BIGINT)) AS ts,
+      round(200 + 150 * sin(i * i), 2) AS value, CAST(i * 31 % 97 AS BIGINT) AS user_id FROM range(2480) t(i)""")
+    con.execute(f"COPY events TO '{where}/events.parquet' (FORMAT parquet)")
+    return where, con
+
+
+def test_bar_features_of_all_ticks(spark, many_events):
+    where, con = many_events
+    cut = " WHERE bar_end < 1500"
+    assert cut in ORACLES["entropy__bar_features"]
+    assert_same(QUERIES["entropy__bar_features"](spark, where).toPandas(), con.sql(ORACLES["entropy__bar_features"].replace(cut, "")).df())
+
+
+def test_sequential_entropies_of_whole_messages(spark, many_events):
+    where, _ = many_events
+    messages = QUERIES["entropy__messages"](spark, where).toPandas().set_index("symbol")["message"]
+    got = QUERIES["entropy__sequential"](spark, where).toPandas().set_index("symbol")
+    assert len(messages["A"]) == 2350
+    for symbol, m in messages.items():
+        terms = [np.log2(i + 1) / entropy.match_length(m, i, i) for i in range(1, len(m) // 2 + 1)]
+        assert got.loc[symbol, "kontoyiannis"] == pytest.approx(np.mean(terms), abs=1e-6)
+        assert got.loc[symbol, "kontoyiannis_window"] == pytest.approx(entropy.kontoyiannis(m, 20), abs=1e-6)
+        assert got.loc[symbol, "lempel_ziv"] == pytest.approx(entropy.lempel_ziv(m), abs=1e-6)
+
+
+def test_earlier_matches_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for m in ["a", "ab", "aaaaaaa", "abababab", *("".join(rng.choice(list("abc"[:k]), n)) for k in (1, 2, 3) for n in (5, 40, 120))]:
+        got = entropy.earlier_matches(m)
+        for i in range(len(m)):
+            assert got[i] == max((s for s in range(len(m) - i + 1) if s == 0 or 0 <= m.find(m[i : i + s], 0, i + s - 1) < i), default=0)
