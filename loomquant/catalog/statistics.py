@@ -165,8 +165,8 @@ def angular(spark, d):
     return rounded(dependence.angular_distances(features(spark, d), "x", "y"), "angular", "absolute_angular", "squared_angular")
 
 
-def small(spark, d):
-    return domain.ticks(spark, d).where("ord % 20 = 0").select("symbol", F.col("price").alias("x"), F.col("volume").alias("y"))
+def tick_pairs(spark, d):
+    return domain.ticks(spark, d).select("symbol", F.col("price").alias("x"), F.col("volume").alias("y"))
 
 
 @C.add(
@@ -178,7 +178,7 @@ c AS (SELECT symbol, dx - avg(dx) OVER (PARTITION BY symbol, i) - avg(dx) OVER (
 SELECT symbol, {r('sqrt(avg(a * b)) / sqrt(sqrt(avg(a * a) * avg(b * b)))')} AS distance_correlation FROM c GROUP BY symbol""",
 )
 def dcor(spark, d):
-    return rounded(dependence.distance_correlation(small(spark, d), "x", "y"), "distance_correlation")
+    return rounded(dependence.distance_correlation(tick_pairs(spark, d), "x", "y"), "distance_correlation")
 
 
 BINNED = f"""{FEAT}, e AS (SELECT *, min(x) OVER s AS lx, max(x) OVER s AS hx, min(y) OVER s AS ly, max(y) OVER s AS hy FROM f WINDOW s AS (PARTITION BY symbol)),

@@ -8,7 +8,7 @@ from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
 from loomquant import catalog
-from loomquant.operators import breaks, entropy, weights
+from loomquant.operators import breaks, dependence, entropy, weights
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
@@ -136,3 +136,19 @@ def test_earlier_matches_equal_brute_force():
         got = entropy.earlier_matches(m)
         for i in range(len(m)):
             assert got[i] == max((s for s in range(len(m) - i + 1) if s == 0 or 0 <= m.find(m[i : i + s], 0, i + s - 1) < i), default=0)
+
+
+def test_distance_correlation_of_all_ticks(spark, many_events):
+    where, con = many_events
+    got = QUERIES["codependence__distance_correlation"](spark, where).toPandas().set_index("symbol")["distance_correlation"]
+    for symbol, t in con.sql("SELECT event_type AS symbol, value AS x, user_id % 10 + 1 AS y FROM events").df().groupby("symbol"):
+        x, y = (t[c].to_numpy().astype(float) for c in "xy")
+        assert got[symbol] == pytest.approx(dependence.distance_correlation_values(x, y), abs=1e-6)
+
+
+def test_fast_distance_correlation_equals_the_matrices():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 7, 64, 301):
+        x = rng.integers(0, 9, n).astype(float)  # with ties
+        for y in (rng.normal(1e3, 1, n), x**2, rng.integers(0, 3, n).astype(float)):
+            assert dependence.fast_distance_correlation(x, y) == pytest.approx(dependence.distance_correlation_values(x, y), abs=1e-5, nan_ok=True)
