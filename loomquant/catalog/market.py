@@ -191,8 +191,8 @@ def z_score(spark, d):
     return filters.z_score_filter(closes(spark, d), 50, 20, 1.5).select("symbol", "ts", "ord")
 
 
-def sampled(spark, d):
-    return domain.ticks(spark, d).where("ord % 7 = 0").select("symbol", "ts")
+def every_tick(spark, d):
+    return domain.ticks(spark, d).select("symbol", "ts")
 
 
 EVENTS = f"{TICKS}, ev AS (SELECT symbol, ts, price AS p0 FROM ticks WHERE ord % 7 = 0)"
@@ -201,7 +201,7 @@ BARRIERS = f"""{EVENTS}, vb AS (SELECT ev.symbol, ev.ts, ev.p0, min(t.ts) AS t1
 
 @C.add("labeling__vertical_barrier", f"WITH {BARRIERS} SELECT symbol, ts, t1 FROM vb")
 def vertical(spark, d):
-    return labeling.add_vertical_barrier(sampled(spark, d), domain.ticks(spark, d), hours=5)
+    return labeling.add_vertical_barrier(every_tick(spark, d), domain.ticks(spark, d), hours=5)
 
 
 def triple(spark, d, side: bool):
@@ -209,9 +209,9 @@ def triple(spark, d, side: bool):
     close = ticks.select("symbol", "ts", F.col("price").alias("close"))
     target = ticks.select("symbol", "ts", (F.col("volume") / 10).alias("trgt"))
     sides = ticks.select("symbol", "ts", F.when(F.col("ord") % 2 == 0, 1.0).otherwise(-1.0).alias("side")) if side else None
-    barriers = labeling.add_vertical_barrier(sampled(spark, d), ticks, hours=5)
+    barriers = labeling.add_vertical_barrier(every_tick(spark, d), ticks, hours=5)
     events = labeling.triple_barrier_events(
-        close, sampled(spark, d), target, profit_taking=1.0, stop_loss=0.5, min_ret=0.15, barriers=barriers, side=sides, bucket_seconds=6 * 3600
+        close, every_tick(spark, d), target, profit_taking=1.0, stop_loss=0.5, min_ret=0.15, barriers=barriers, side=sides, bucket_seconds=6 * 3600
     )
     return events, close
 

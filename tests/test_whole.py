@@ -152,3 +152,10 @@ def test_fast_distance_correlation_equals_the_matrices():
         x = rng.integers(0, 9, n).astype(float)  # with ties
         for y in (rng.normal(1e3, 1, n), x**2, rng.integers(0, 3, n).astype(float)):
             assert dependence.fast_distance_correlation(x, y) == pytest.approx(dependence.distance_correlation_values(x, y), abs=1e-5, nan_ok=True)
+
+
+@pytest.mark.parametrize("name", ["labeling__vertical_barrier", "labeling__triple_barrier_events", "labeling__triple_barrier_labels", "labeling__meta_labels"])
+def test_labels_of_all_ticks(name, spark, duck):
+    cut = " WHERE ord % 7 = 0"
+    assert cut in ORACLES[name]
+    assert_same(QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name].replace(cut, "")).df())
