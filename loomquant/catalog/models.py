@@ -633,7 +633,7 @@ def viz_regime(spark, d):
 
 @C.add("frames__indicator", "SELECT CAST(bar AS BIGINT) AS bar_index, max(CAST(label = 'x' AS INT)) AS x, max(CAST(label = 'y' AS INT)) AS y FROM (SELECT event_id % 50 AS bar, CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS label FROM events WHERE event_id % 7 = 0) GROUP BY 1")
 def indicator_frame(spark, d):
-    e = domain.read(spark, d, "events").where("event_id % 7 = 0")
+    e = domain.read(spark, d, "events")
     return frames.indicator_frame(e.select((F.col("event_id") % 50).alias("bar"), F.when(F.col("user_id") % 2 == 0, "x").otherwise("y").alias("label")), ["x", "y"])
 
 

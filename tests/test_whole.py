@@ -159,3 +159,14 @@ def test_labels_of_all_ticks(name, spark, duck):
     cut = " WHERE ord % 7 = 0"
     assert cut in ORACLES[name]
     assert_same(QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name].replace(cut, "")).df())
+
+
+def test_indicator_frame_of_all_events(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, i AS user_id FROM range(1, 21) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    cut = " WHERE event_id % 7 = 0"
+    assert cut in ORACLES["frames__indicator"]
+    assert_same(QUERIES["frames__indicator"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["frames__indicator"].replace(cut, "")).df())
