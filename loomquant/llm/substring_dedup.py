@@ -1,12 +1,13 @@
-"""Incremental substring deduplication with a log-structured index of window fingerprints.
+"""Substring deduplication with a log-structured index of window fingerprints.
 
 A window is `window` consecutive words of one document. A word goes if a window that covers it also starts, word for
 word, in a document with a smaller doc_id.
 
 The index holds fingerprints of windows: of each window, the least hash of its `gram`-word sequences (winnowing), so
 equal windows have equal fingerprints while a document keeps only some two for every window's length. An index is a
-log of immutable runs, Parquet tables sorted by fingerprint with the least and greatest doc_id that hold it; each
-batch is merge-joined with the runs, and runs are merged into one when there are more than `fanout` of them.
+log of immutable runs, Parquet tables sorted by fingerprint with the least and greatest doc_id that hold it; batches
+are appended, runs are merged into one when there are more than `fanout` of them, and all fingerprints are then joined
+once with the merged index. A call makes a new index; no batch is joined with earlier runs.
 Documents whose fingerprints occur in other documents too are then verified: the full windows under those
 fingerprints are hashed twice, the least document of each is found, and the windows of all later documents mark their
 words.
