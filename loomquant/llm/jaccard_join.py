@@ -1,35 +1,39 @@
 """Exact Jaccard join of word-shingle sets by universe partition and the pigeonhole principle.
 
 Two sets are linked when 100 * intersection >= 75 * union, which is 7 * |symmetric difference| <= |x| + |y|. With
-y the smaller of the two, at most H = 2 * |x| // 7 shingles differ. The universe of shingle hashes is cut into
-segments whose number depends on the size band of the larger set; each differing shingle touches one segment, so if x
-looks up more than H of its non-empty segments, y shares one of them whole. The allocation goes by size:
-
-* up to 2 shingles: only equal sets are linked, and those are collapsed before;
-* 3 to 6 (H = 1): the whole set with its one-deletion neighbourhood;
-* 7 to 96: every shingle is a segment of its own;
-* more: bands of ratio 4/3 with 1.25 * (H + 1) segments for the band's largest H.
-
-A set is indexed under its own band and under the next one if larger partners can be there. It need not look up all
-its segments: as many as it has beyond H + 1 are skipped, the most frequent ones first, so passages that many documents
-share cost nothing (cost-based allocation). Should a set have too few non-empty segments for its H, it is compared with
-all sets directly, in blocks.
-
-Signatures travel as blocks, one row for each task and bucket, with the documents they come from as a dictionary.
-Signatures that one task alone sees often are dealt over several buckets. Within a bucket, signatures of up to
-`COLD` sets yield pairs; more frequent ones yield only their members, which are first linked to two leaders and after
-that compared across components only, so a group of g near copies costs about g comparisons. Sets whose shingles nobody
-else among these members holds leave too few to share are out before that. Every candidate pair is
-verified on the shingle sets of its whole texts (64-bit hashes of shingles; sets are told apart by 128 bits).
+y the smaller of the two, at most H = 2 * |x| // 7 shingles differ. Sizes are cut into bands of ratio 4/3, and each band
+cuts the universe of shingle hashes into segments of its own. A set is indexed under its own band and under the next one
+if larger partners can be there, and looks up its own band only, so the larger of a pair finds the smaller.
+
+What a set does with each of its segments has a value: 0 skips it, 1 looks up the segment's whole subset, and 2 also
+the one-deletion neighbourhood (the subset without each of its shingles), which finds partners that differ there in one
+shingle at most. Whole subsets and deletions share one index. If the values of a set add up to more than H, any partner is
+found. Which values they are is decided by cost: the index counts how many sets hold each signature, those that nobody
+else holds are free, and of the others a set takes the least frequent ones until its values suffice (so passages that
+many documents share are skipped, and neighbourhoods of rare segments stand in for them). Sets below `DELETIONS_TO`
+shingles have neighbourhoods; above that an entry for every shingle would triple the index, so values are 0 or 1, and
+bands have a quarter more segments than they need.
+
+A set whose shingles fall into too few segments for its H (`units` <= H; rarer than one in ten thousand) goes through
+the same join once more with every shingle a segment of its own, against the sets of the sizes in question.
+
+Signatures travel as blocks, one row for each task and bucket. Signatures that one task alone sees often are dealt
+over several buckets. Within a bucket, signatures of up to `COLD` sets yield pairs; more frequent ones yield their
+members, which are handled in three steps: signatures with equal members collapse into one; members are compared with two
+leaders of each signature; and what is left in different components is compared across components only, among sets
+that share at least 3/4 of their shingles with other components (no partner is possible below that). A group of g near
+copies costs about g comparisons. Every candidate pair is verified on the shingle sets of its whole texts (64-bit hashes
+of shingles; equal texts by 128 bits of their sets, candidates by 64).
 
 Defined results: null texts, empty ones and those without words have no shingles and are linked with nothing; rows that
 share a doc_id are verified one by one and come out with one component each; null doc_ids count as the least id and
-come out as null; an empty table gives no rows.
+come out as null; an empty table gives no rows. doc_id must be castable to long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +49,17 @@ from .words import U64, as_bytes, bounded, column, lean, mix, rolling, split_wor
 
 SHINGLE = 5
 COLD = 24
-TOKENS_FROM, BANDS_FROM = 7, 97
-SLACK = 1.25
+DELETIONS_TO = 118
+LEAST_INDEXED = 3
 FLUSH = 1_000_000
 LOCALLY_HOT = 1024
 SALTS = 16
 SIG_BITS = 39
-MOST_REST = 64
-MARKER = 0xFFFFFFFF
+PER_BUCKET = 1 << 22
+#: Parts of an entry's code: whether the set looks it up, a one-deletion signature, a segment that has such, segment
+#: number, and the size class (logarithm to the base of 1.02, modulo 128: partners are 15 classes apart at most).
+OWN, DELETION, MULTI, SEGMENT, CLASS = 1, 2, 4, 3, 9
+APART = 15
 
 
 def most_different(n: int) -> int:
@@ -65,9 +72,9 @@ def linked(a: int, b: int, shared: int) -> bool:
 
 
 def _bands() -> np.ndarray:
-    starts = [BANDS_FROM]
+    starts = [LEAST_INDEXED + 1]
     while starts[-1] < 1 << 40:
-        starts.append(4 * (starts[-1] - 1) // 3 + 1 if len(starts) > 1 else 4 * starts[-1] // 3)
+        starts.append(4 * (starts[-1] - 1) // 3 + 1)
     return np.array(starts, dtype=np.int64)
 
 
@@ -75,7 +82,19 @@ BANDS = _bands()
 
 
 def segments_of_band(band: int) -> int:
-    return int(np.ceil(SLACK * (most_different(int(BANDS[band + 1]) - 1) + 1)))
+    largest = int(BANDS[band + 1]) - 1
+    needed = most_different(largest) + 1
+    if BANDS[band] >= DELETIONS_TO:
+        return int(np.ceil(1.25 * needed + np.sqrt(needed)))
+    return 1 if needed <= 2 else max(8, -(-largest // 3))
+
+
+def band_of(n: int) -> int:
+    return int(np.searchsorted(BANDS, n, "right")) - 1
+
+
+def size_class(n: int) -> int:
+    return int(np.log(n) / np.log(1.02)) % 128
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -100,35 +119,60 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def signatures(shingles: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int]:
-    """Signatures of a set as (hashes, whether it looks them up itself), and how many of its own it may skip (negative:
-    it has too few)."""
+def _cut(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band's segment of each shingle, and where the non-empty segments begin (sorted hashes are in their order)."""
+    segment = ((shingles >> U64(32)) * U64(segments_of_band(band))) >> U64(32)
+    return segment, np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+
+
+def units(shingles: np.ndarray) -> int:
+    """The most that the values of a set's own segments can add up to."""
+    band = band_of(len(shingles))
+    if band < 0:
+        return 0
+    first = _cut(shingles, band)[1]
+    if BANDS[band] >= DELETIONS_TO:
+        return len(first)
+    return len(first) + int((np.diff(np.append(first, len(shingles))) > 1).sum())
+
+
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set with their codes."""
     n = len(shingles)
-    if n < 3:
-        return [], 0
-    out: list[tuple[np.ndarray, bool]] = []
+    hashes, codes = [], []
+    if n < LEAST_INDEXED:
+        return np.empty(0, U64), np.empty(0, np.uint16)
     mixed = mix(shingles)
-    spare = 0
-    if n < TOKENS_FROM:
-        whole = mixed.sum(dtype=U64)
-        out.append((mix(np.array([whole], dtype=U64)), False))
-        if n > 3:
-            out.append((mix(whole - mixed), True))
-    if 4 * n // 3 >= TOKENS_FROM and n < BANDS_FROM:
-        out.append((mixed, n >= TOKENS_FROM))
-        spare = n - most_different(n) - 1 if n >= TOKENS_FROM else 0
-    if 4 * n // 3 >= BANDS_FROM:
-        own = int(np.searchsorted(BANDS, n, "right")) - 1
-        for band in (own, own + 1):
-            if band < 0 or (band > own and 4 * n // 3 < BANDS[band]):
-                continue
-            m = segments_of_band(band)
-            segment = ((shingles >> U64(32)) * U64(m)) >> U64(32)
-            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            out.append((mix(np.add.reduceat(mixed, first) + U64(m)), band == own))
-            if band == own:
-                spare = len(first) - most_different(n) - 1
-    return out, spare
+    own = band_of(n)
+    base = size_class(n) << CLASS
+    for band in (own, own + 1):
+        if band < 0 or (band > own and 4 * n // 3 < BANDS[band]):
+            continue
+        segment, first = _cut(shingles, band)
+        salt = mix(np.array([band], dtype=U64))[0]
+        sums = np.add.reduceat(mixed, first)
+        named = segment[first] + salt
+        code = base | (OWN if band == own else 0)
+        if BANDS[band] >= DELETIONS_TO:
+            hashes.append(mix(sums ^ mix(named)))
+            codes.append(np.full(len(first), code, dtype=np.uint16))
+            continue
+        long = np.diff(np.append(first, n)) > 1
+        number = segment[first].astype(np.uint16) << SEGMENT
+        hashes.append(mix(sums ^ mix(named)))
+        codes.append(number | np.where(long, MULTI, 0).astype(np.uint16) | np.uint16(code))
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        inside = long[which]
+        which = which[inside]
+        hashes.append(mix((sums[which] - mixed[inside]) ^ mix(named[which])))
+        codes.append(number[which] | np.uint16(code | DELETION | MULTI))
+    return np.concatenate(hashes), np.concatenate(codes)
+
+
+def each_shingle(shingles: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Every shingle as a segment of its own."""
+    code = (size_class(len(shingles)) << CLASS) | (OWN if own else 0)
+    return mix(shingles ^ U64(0x5BD1E995)), np.full(len(shingles), code, dtype=np.uint16)
 
 
 @lean
@@ -137,211 +181,163 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(column(batch, "text"))
         keys = np.array([set_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        arrays = [column(batch, "doc"), column(batch, "tag"), *(pa.array(x) for x in (sizes, keys[:, 0], keys[:, 1]))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc", "tag", "n", "k1", "k2"])
+        most = np.array([units(s) for s in sets], dtype=np.int64)
+        arrays = [column(batch, "doc"), column(batch, "tag"), *(pa.array(x) for x in (sizes, keys[:, 0], keys[:, 1], most))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc", "tag", "n", "k1", "k2", "units"])
 
 
-BLOCK = "bucket int, hot boolean, k1 binary, k2 binary, n binary, spare binary, sig binary, at binary"
+BLOCK = "bucket int, hot boolean, node binary, at binary, code binary, sig binary, marks binary"
+BLOCK_NAMES = [c.split()[0] for c in BLOCK.split(", ")]
 
 
 class _Blocks:
-    """Gathers the signatures of a task and lets them out as blocks, one for each bucket."""
+    """Gathers the entries of a task and lets them out as blocks, one for each bucket. An entry names its set by `width`
+    numbers, which a block holds once for each set if that is shorter."""
 
-    def __init__(self, n_buckets: int, signer=signatures):
-        self.n_buckets, self.signer = n_buckets, signer
+    def __init__(self, n_buckets: int, width: int = 1):
+        self.n_buckets, self.width = n_buckets, width
         self.flushes = 0
         self.clear()
 
     def clear(self) -> None:
-        self.nodes: dict[tuple[int, int], int] = {}
-        self.info: list[tuple[int, int, int, int]] = []
+        self.nodes: dict[tuple[int, ...], int] = {}
         self.sigs: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
         self.ats: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, shingles: np.ndarray) -> None:
-        key = set_key(shingles)
-        if key in self.nodes:  # a copy in the same task
+    def add(self, node: tuple[int, ...], hashes: np.ndarray, codes: np.ndarray) -> None:
+        if node in self.nodes or not len(hashes):  # a copy in the same task
             return
-        groups, spare = self.signer(shingles)
-        if not groups:
-            return
-        number = self.nodes[key] = len(self.info)
-        self.info.append((*key, len(shingles), spare))
-        for hashes, own in groups:
-            self.sigs.append(hashes)
-            self.ats.append(np.full(len(hashes), 2 * number + own, dtype=np.uint32))
-            self.held += len(hashes)
+        number = self.nodes[node] = len(self.nodes)
+        self.sigs.append(hashes)
+        self.codes.append(codes)
+        self.ats.append(np.full(len(hashes), number, dtype=np.uint32))
+        self.held += len(hashes)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        sig, at = np.concatenate(self.sigs), np.concatenate(self.ats)
-        info = np.array(self.info, dtype=np.int64)
+        sig, at, code = np.concatenate(self.sigs), np.concatenate(self.ats), np.concatenate(self.codes)
+        nodes = np.array(list(self.nodes), dtype=np.int64).reshape(-1, self.width)
+        self.clear()
         order = np.argsort(sig, kind="stable")
-        sig, at = sig[order], at[order]
+        sig, at, code = sig[order], at[order], code[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
         hot = np.repeat(count >= LOCALLY_HOT, count)
-        bucket = (sig % U64(self.n_buckets)).astype(np.int64)
-        self.clear()
         salt = self.flushes % SALTS
         self.flushes += 1
+        bucket = (sig % U64(self.n_buckets)).astype(np.int64)
         marks = sig[first[count >= LOCALLY_HOT]]
-        cold_sig = np.concatenate([sig[~hot], marks])
-        cold_at = np.concatenate([at[~hot], np.full(len(marks), MARKER, np.uint32)])
-        cold_bucket = np.concatenate([bucket[~hot], (marks % U64(self.n_buckets)).astype(np.int64)])
-        yield from self._blocks(False, cold_bucket, cold_sig, cold_at, info)
+        yield from self._blocks(False, bucket[~hot], sig[~hot], at[~hot], code[~hot], nodes, marks)
         if hot.any():
             moved = (mix(sig[hot] + U64(salt)) % U64(self.n_buckets)).astype(np.int64)
-            yield from self._blocks(True, moved, sig[hot], at[hot], info)
+            yield from self._blocks(True, moved, sig[hot], at[hot], code[hot], nodes, marks[:0])
 
-    def _blocks(self, hot: bool, bucket, sig, at, info) -> Iterator[pa.RecordBatch]:
+    def _blocks(self, hot: bool, bucket, sig, at, code, nodes, marks) -> Iterator[pa.RecordBatch]:
         short = sig >> U64(64 - SIG_BITS)  # the bucket keeps further bits
         order = np.lexsort((short, bucket))
-        bucket, short, at = bucket[order], short[order], at[order]
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-        ends = [*edge[1:], len(bucket)]
-        for a, b in zip(edge, ends, strict=True):
-            own = at[a:b]
-            real = own != MARKER
-            used, local = np.unique(own[real] >> 1, return_inverse=True)
-            numbers = np.full(b - a, MARKER, dtype=np.uint32)
-            numbers[real] = (local.astype(np.uint32) << 1) | (own[real] & 1)
-            narrow = numbers.astype(np.uint16) if len(used) < 32_000 else numbers  # the marker becomes 0xFFFF
+        bucket, short, at, code = bucket[order], short[order], at[order], code[order]
+        home = (marks % U64(self.n_buckets)).astype(np.int64)
+        marks = (marks >> U64(64 - SIG_BITS)).astype("<u8")
+        for number in np.union1d(bucket, home).tolist():
+            a, b = np.searchsorted(bucket, number, "left"), np.searchsorted(bucket, number, "right")
+            used, local = np.unique(at[a:b], return_inverse=True)
+            narrow = len(used) < 1 << 16
+            if len(used) * 8 * self.width + (b - a) * (2 if narrow else 4) < (b - a) * 8 * self.width:
+                table, numbers = nodes[used], (b"2" if narrow else b"4") + local.astype("<u2" if narrow else "<u4").tobytes()
+            else:
+                table, numbers = nodes[at[a:b]], b"0"
             gaps = np.diff(short[a:b], prepend=U64(0))
             wide = len(gaps) > 0 and int(gaps.max()) >= 1 << 32
-            table = info[used]
             values = [
-                *(table[:, i].astype("<i8").tobytes() for i in (0, 1)),
-                table[:, 2].astype("<i4").tobytes(),
-                table[:, 3].astype("<i4").tobytes(),
+                table.astype("<i8").tobytes(),
+                numbers,
+                code[a:b].astype("<u2").tobytes(),
                 (b"8" if wide else b"4") + gaps.astype("<u8" if wide else "<u4").tobytes(),
-                (b"2" if narrow.dtype == np.uint16 else b"4") + narrow.tobytes(),
+                marks[home == number].tobytes(),
             ]
-            arrays = [pa.array([int(bucket[a])], pa.int32()), pa.array([hot])]
-            arrays += [pa.array([v], pa.binary()) for v in values]
-            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "hot", "k1", "k2", "n", "spare", "sig", "at"])
-
-
-def _sign(n_buckets: int):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(n_buckets)
-        for batch in bounded(batches):
-            for shingles in shingle_sets(column(batch, "text")):
-                blocks.add(shingles)
-                if blocks.held >= FLUSH:
-                    yield from blocks.flush()
-        yield from blocks.flush()
-
-    return run
-
-
-FOUND = "kind int, sig long, x1 long, x2 long, nx int, y1 long, y2 long, count int, times int, spare int, own boolean"
-PAIR, TALLY, HOT, POOR = 0, 1, 2, 3
-
-
-def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-    types = {"sig": pa.int64(), "x1": pa.int64(), "x2": pa.int64(), "nx": pa.int32(), "y1": pa.int64(), "y2": pa.int64()}
-    types |= {"count": pa.int32(), "times": pa.int32(), "spare": pa.int32(), "own": pa.bool_()}
-    arrays = [pa.array(np.full(n, kind, np.int32))]
-    for name, kind_of in types.items():
-        got = columns.get(name)
-        arrays.append(pa.nulls(n, kind_of) if got is None else pa.array(got).cast(kind_of))
-    return pa.RecordBatch.from_arrays(arrays, ["kind", *types])
+            arrays = [pa.array([number], pa.int32()), pa.array([hot]), *(pa.array([v], pa.binary()) for v in values)]
+            yield pa.RecordBatch.from_arrays(arrays, BLOCK_NAMES)
 
 
 class _Bucket:
-    def __init__(self, number: int, hot: bool):
-        self.number, self.hot = number, hot
-        self.tables: list[np.ndarray] = []
-        self.sigs: list[np.ndarray] = []
-        self.ats: list[np.ndarray] = []
-        self.nodes = 0
+    """The entries of one bucket from all tasks."""
 
-    def add(self, k1: bytes, k2: bytes, n: bytes, spare: bytes, sig: bytes, at: bytes) -> None:
-        table = np.stack(
-            [np.frombuffer(k1, "<i8"), np.frombuffer(k2, "<i8"), np.frombuffer(n, "<i4"), np.frombuffer(spare, "<i4")],
-            axis=1,
-        )
+    def __init__(self, number: int, hot: bool, width: int):
+        self.number, self.hot, self.width = number, hot, width
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.marks: list[np.ndarray] = []
+
+    def add(self, node: bytes, at: bytes, code: bytes, sig: bytes, marks: bytes) -> None:
+        table = np.frombuffer(node, "<i8").reshape(-1, self.width)
+        if at[:1] != b"0":
+            table = table[np.frombuffer(at[1:], "<u2" if at[:1] == b"2" else "<u4")]
         gaps = np.frombuffer(sig[1:], "<u8" if sig[:1] == b"8" else "<u4").astype(U64)
-        numbers = np.frombuffer(at[1:], "<u2" if at[:1] == b"2" else "<u4")
-        marks = numbers == (0xFFFF if at[:1] == b"2" else MARKER)
-        wide = numbers.astype(np.int64)
-        wide[~marks] += 2 * self.nodes
-        wide[marks] = -1
-        self.tables.append(table)
-        self.sigs.append(np.cumsum(gaps, dtype=U64))
-        self.ats.append(wide)
-        self.nodes += len(table)
+        self.parts.append((table, np.frombuffer(code, "<u2"), np.cumsum(gaps, dtype=U64)))
+        self.marks.append(np.frombuffer(marks, "<u8"))
 
     def gathered(self) -> tuple[np.ndarray, ...]:
-        """Distinct sets, the number of each dictionary entry's set, signatures, their entries, marked signatures."""
-        table, sig, at = np.concatenate(self.tables), np.concatenate(self.sigs), np.concatenate(self.ats)
-        by = np.lexsort((table[:, 1], table[:, 0]))
-        ranked = table[by]
-        new = np.ones(len(table), dtype=bool)
-        new[1:] = (ranked[1:, :2] != ranked[:-1, :2]).any(axis=1)
-        number = np.empty(len(table), dtype=np.int64)
-        number[by] = np.cumsum(new) - 1
-        table = ranked[new]
-        return table, number, sig[at >= 0], at[at >= 0], np.unique(sig[at < 0])
-
-    def found(self) -> Iterator[pa.RecordBatch]:
-        table, number, sig, at, marked = self.gathered()
-        node, own = number[at >> 1], (at & 1).astype(bool)
-        order = np.lexsort((node, sig))
-        sig, node, own = sig[order], node[order], own[order]
+        """Signature, set and code of each entry by (signature, set), copies from several tasks dropped; first entry and
+        number of entries of each signature, and whether it is known to be frequent elsewhere."""
+        node, code, sig = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []
+        order = np.lexsort((node[:, 0], sig))
+        sig, node, code = sig[order], node[order], code[order]
         fresh = np.ones(len(sig), dtype=bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, own = sig[fresh], node[fresh], own[fresh]  # copies from several tasks
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:, 0] != node[:-1, 0])
+        sig, node, code = sig[fresh], node[fresh], code[fresh]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(sig)))
-        also_hot = np.isin(sig[first], marked) | self.hot
+        also_hot = np.isin(sig[first], np.concatenate(self.marks)) | self.hot
+        return sig, node, code, first, count, also_hot
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """Tallies of what sets look up, members of frequent signatures, and pairs from the others."""
+        sig, node, code, first, count, also_hot = self.gathered()
+        if not len(sig):
+            return
+        node = node[:, 0]
+        own = (code & OWN) > 0
         size = np.where(also_hot, np.maximum(count, LOCALLY_HOT), count)
         shared = (count > 1) | also_hot
         per_entry = np.repeat(size, count)
-        mine = np.repeat(shared, count) & own
-        if mine.any():
-            tally, times = np.unique(node[mine] * (1 << 32) + per_entry[mine], return_counts=True)
-            who = table[tally >> 32]
+        whole = (sig.astype(np.int64) << 16) | (self.number & 0xFFFF)  # tells signatures apart across buckets
+        mine = np.flatnonzero(np.repeat(shared, count) & own)
+        if len(mine):
+            multi = (code[mine] & MULTI) > 0
+            segment = ((code[mine] >> SEGMENT) & 63).astype(np.int64)
+            numbered = (code[mine] & (MULTI | DELETION)) > 0
             yield _rows(
                 TALLY,
-                len(tally),
-                x1=who[:, 0],
-                x2=who[:, 1],
-                nx=who[:, 2],
-                count=tally & 0xFFFFFFFF,
-                times=times,
-                spare=who[:, 3],
-            )
-        poor = table[table[:, 3] < 0]
-        if len(poor):
-            yield _rows(POOR, len(poor), x1=poor[:, 0], x2=poor[:, 1])
-        hot = np.repeat(also_hot | (count > COLD), count)
-        if hot.any():
-            who = table[node[hot]]
-            yield _rows(
-                HOT, len(who), sig=sig[hot].view(np.int64), x1=who[:, 0], x2=who[:, 1], nx=who[:, 2], count=per_entry[hot], own=own[hot]
+                len(mine),
+                sig=np.where(numbered, segment, whole[mine]),
+                x=node[mine],
+                count=per_entry[mine],
+                deletion=(code[mine] & DELETION) > 0,
+                multi=multi,
             )
-        yield from self.pairs(table, first[~also_hot], count[~also_hot], node, own)
+        hot = np.flatnonzero(np.repeat(also_hot | (count > COLD), count))
+        if len(hot):
+            yield _rows(HOT, len(hot), sig=sig[hot].view(np.int64), x=node[hot], count=per_entry[hot], own=own[hot])
+        yield from self.pairs(node, code, first[~also_hot], count[~also_hot])
 
-    def pairs(self, table, first, count, node, own) -> Iterator[pa.RecordBatch]:
+    def pairs(self, node, code, first, count) -> Iterator[pa.RecordBatch]:
+        own, deletion, size = (code & OWN) > 0, (code & DELETION) > 0, (code >> CLASS).astype(np.int64)
         xs, ys, counts = [], [], []
-        size = table[:, 2]
         for c in range(2, COLD + 1):
             at = first[count == c]
             for i in range(c - 1):
                 for j in range(i + 1, c) if len(at) else ():
-                    a, b = node[at + i], node[at + j]
-                    a_larger = (size[a] > size[b]) | ((size[a] == size[b]) & (a > b))
-                    x, y = np.where(a_larger, a, b), np.where(a_larger, b, a)
-                    looks = np.where(a_larger, own[at + i], own[at + j])
-                    good = looks & (4 * size[y] >= 3 * size[x])
-                    xs.append(x[good])
-                    ys.append(y[good])
-                    counts.append(np.full(int(good.sum()), c, dtype=np.int64))
+                    a, b = at + i, at + j
+                    larger = ((size[a] - size[b] + 64) & 127) - 64
+                    possible = (abs(larger) <= APART) & ~(deletion[a] & deletion[b])
+                    for p, q, may in ((a, b, larger >= 0), (b, a, larger <= 0)):
+                        good = possible & may & own[p]
+                        xs.append(node[p[good]])
+                        ys.append(node[q[good]])
+                        counts.append(np.full(int(good.sum()), c, dtype=np.int64))
         if not xs:
             return
         x, y, c = np.concatenate(xs), np.concatenate(ys), np.concatenate(counts)
@@ -349,66 +345,101 @@ class _Bucket:
         x, y, c = x[by], y[by], c[by]
         new = np.ones(len(x), dtype=bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        x, y, c = table[x[new]], table[y[new]], c[new]
-        yield _rows(PAIR, len(c), x1=x[:, 0], x2=x[:, 1], y1=y[:, 0], y2=y[:, 1], count=c)
+        yield _rows(PAIR, int(new.sum()), x=x[new], y=y[new], count=c[new])
 
+    def across(self) -> Iterator[pa.RecordBatch]:
+        """How many entries of each set are signatures that a second component holds (or may hold elsewhere)."""
+        _, node, _, first, count, also_hot = self.gathered()
+        if not len(node):
+            return
+        several = np.minimum.reduceat(node[:, 1], first) != np.maximum.reduceat(node[:, 1], first)
+        who, times = np.unique(node[np.repeat(several | also_hot, count), 0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(times)], ["x", "times"])
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
-    bucket = None
-    for batch in batches:
-        columns = [column(batch, c) for c in ("bucket", "hot", "k1", "k2", "n", "spare", "sig", "at")]
-        for r in range(batch.num_rows):
-            number, hot, *data = (c[r].as_py() for c in columns)
-            if bucket is None or (bucket.number, bucket.hot) != (number, hot):
-                if bucket is not None:
-                    yield bucket
-                bucket = _Bucket(number, hot)
-            bucket.add(*data)
-    if bucket is not None:
-        yield bucket
 
+def _over_buckets(width: int, each: Callable[[_Bucket], Iterator[pa.RecordBatch]]):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = None
+        for batch in batches:
+            columns = [column(batch, c) for c in BLOCK_NAMES]
+            for r in range(batch.num_rows):
+                number, hot, *data = (c[r].as_py() for c in columns)
+                if bucket is None or (bucket.number, bucket.hot) != (number, hot):
+                    if bucket is not None:
+                        yield from each(bucket)
+                    bucket = _Bucket(number, hot, width)
+                bucket.add(*data)
+        if bucket is not None:
+            yield from each(bucket)
+
+    return run
 
-@lean
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket in _buckets(batches):
-        yield from bucket.found()
 
+FOUND = "kind int, sig long, x long, y long, count int, own boolean, deletion boolean, multi boolean"
+PAIR, TALLY, HOT = 0, 1, 2
 
-def _each_shingle(shingles: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int]:
-    return [(mix(shingles), True)], 0
+
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    types = {"sig": pa.int64(), "x": pa.int64(), "y": pa.int64(), "count": pa.int32()}
+    types |= {"own": pa.bool_(), "deletion": pa.bool_(), "multi": pa.bool_()}
+    arrays = [pa.array(np.full(n, kind, np.int32))]
+    for name, kind_of in types.items():
+        got = columns.get(name)
+        arrays.append(pa.nulls(n, kind_of) if got is None else pa.array(got).cast(kind_of))
+    return pa.RecordBatch.from_arrays(arrays, ["kind", *types])
 
 
-def _sign_shingles(n_buckets: int):
+def _sign(n_buckets: int, signer: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, opener = _Blocks(n_buckets, _each_shingle), zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [opener.decompress(z) for z in column(batch, "z").to_pylist()]
-            for at in range(0, len(texts), 200):
-                for shingles in shingle_sets(pa.array(texts[at : at + 200], pa.binary()).cast(pa.string())):
-                    blocks.add(shingles)
-                    if blocks.held >= FLUSH:
-                        yield from blocks.flush()
+        blocks = _Blocks(n_buckets)
+        for batch in bounded(batches):
+            for shingles in shingle_sets(column(batch, "text")):
+                if len(shingles):
+                    blocks.add(set_key(shingles)[:1], *signer(shingles))
+                if blocks.held >= FLUSH:
+                    yield from blocks.flush()
         yield from blocks.flush()
 
     return run
 
 
-@lean
-def _loners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket and set, how many shingles no other set holds."""
-    for bucket in _buckets(batches):
-        if bucket.hot:
-            continue
-        table, number, sig, at, marked = bucket.gathered()
-        node = number[at >> 1]
-        order = np.argsort(sig, kind="stable")
-        sig, node = sig[order], node[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-        alone = first[(np.diff(np.append(first, len(sig))) == 1) & ~np.isin(sig[first], marked)]
-        who, times = np.unique(node[alone], return_counts=True)
-        arrays = [pa.array(table[who, 0]), pa.array(table[who, 1]), pa.array(times)]
-        yield pa.RecordBatch.from_arrays(arrays, ["x1", "x2", "times"])
+def tokens_of(low: int, high: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Signs sets of `low` to `high` shingles by every shingle; those with too few segments look theirs up."""
+
+    def sign(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not low <= len(shingles) <= high:
+            return np.empty(0, U64), np.empty(0, np.uint16)
+        return each_shingle(shingles, is_poor(len(shingles), units(shingles)))
+
+    return sign
+
+
+def is_poor(n: int, most: int) -> bool:
+    return n > LEAST_INDEXED and most <= most_different(n)
+
+
+def _opened(opener: zstandard.ZstdDecompressor, packed: list[bytes]) -> list[np.ndarray]:
+    """Shingle sets of compressed texts."""
+    return shingle_sets(pa.array([opener.decompress(z) for z in packed], pa.binary()).cast(pa.string()))
+
+
+def _sign_members(n_buckets: int):
+    """Every shingle of the sets x in component `of`."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, opener = _Blocks(n_buckets, 2), zstandard.ZstdDecompressor()
+        for batch in bounded(batches, "z", 1 << 18):
+            nodes = zip(column(batch, "x").to_pylist(), column(batch, "of").to_pylist(), strict=True)
+            for node, shingles in zip(nodes, _opened(opener, column(batch, "z").to_pylist()), strict=True):
+                blocks.add(node, *each_shingle(shingles, False))
+                if blocks.held >= FLUSH:
+                    yield from blocks.flush()
+        yield from blocks.flush()
+
+    return run
 
 
 @lean
@@ -421,52 +452,36 @@ def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc", "tag", "z"])
 
 
+REMEMBERED = 32
+
+
 @lean
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked pairs. The last sets of either side are kept, as pairs with a leader come in a row."""
     opener = zstandard.ZstdDecompressor()
-    last, last_set = None, None
+    known: OrderedDict[bytes, np.ndarray] = OrderedDict()
     for batch in batches:
-        za, zb = column(batch, "za").to_pylist(), column(batch, "zb").to_pylist()
-        counts = []
-        for at in range(0, len(za), 200):
-            texts = [opener.decompress(z) for z in zb[at : at + 200]]
-            sets = shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()))
-            for z, other in zip(za[at : at + 200], sets, strict=True):
-                if z != last:
-                    last, last_set = z, shingle_sets(pa.array([opener.decompress(z)], pa.binary()).cast(pa.string()))[0]
-                shared = len(last_set) + len(other) - len(np.union1d(last_set, other))
-                apart = len(last_set) - shared
-                rest = np.setdiff1d(last_set, other, assume_unique=True).view(np.int64) if apart <= MOST_REST else None
-                counts.append((shared, linked(len(last_set), len(other), shared), rest))
-        arrays = [column(batch, c) for c in VERIFIED]
-        arrays += [pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.bool_())]
-        arrays.append(pa.array([c[2] for c in counts], pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(arrays, [*VERIFIED, "shared", "linked", "rest"])
-
-
-VERIFIED = ["x1", "x2", "y1", "y2", "a", "b"]
-LINK = "a struct<rep:bigint,rep_tag:bigint>, b struct<rep:bigint,rep_tag:bigint>"
-POOR_BLOCK = 1_000_000
-
-
-def _compare(queries: list[tuple[tuple[int, int], np.ndarray]]):
-    """Links between a block of sets and all documents."""
-    node = pa.struct([("rep", pa.int64()), ("rep_tag", pa.int64())])
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            ids = zip(column(batch, "doc").to_pylist(), column(batch, "tag").to_pylist(), strict=True)
-            links = []
-            for (doc, tag), own in zip(ids, shingle_sets(column(batch, "text")), strict=True):
-                for (rep, rep_tag), other in queries:
-                    if 4 * min(len(own), len(other)) >= 3 * max(len(own), len(other)):
-                        shared = len(own) + len(other) - len(np.union1d(own, other))
-                        if linked(len(own), len(other), shared):
-                            links.append(({"rep": rep, "rep_tag": rep_tag}, {"rep": doc, "rep_tag": tag}))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], node) for i in (0, 1)], ["a", "b"])
-
-    return run
+        sides = [column(batch, c).to_pylist() for c in ("za", "zb")]
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for at in range(0, batch.num_rows, 100):
+            pairs = list(zip(*(side[at : at + 100] for side in sides), strict=True))
+            fresh = [z for z in dict.fromkeys(z for pair in pairs for z in pair) if z not in known]
+            sets = dict(known) | dict(zip(fresh, _opened(opener, fresh), strict=True))
+            for i, (za, zb) in enumerate(pairs):
+                a, b = sets[za], sets[zb]
+                small, large = (a, b) if len(a) <= len(b) else (b, a)
+                if 4 * len(small) < 3 * len(large):
+                    continue
+                place = np.searchsorted(large, small)
+                place[place == len(large)] = 0
+                good[at + i] = linked(len(a), len(b), int((large[place] == small).sum()))
+            for pair in pairs[-REMEMBERED:]:
+                for z in pair:
+                    known[z] = sets[z]
+                    known.move_to_end(z)
+            while len(known) > REMEMBERED:
+                known.popitem(last=False)
+        yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
 
 class JaccardJoin:
@@ -475,33 +490,70 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame):
         self.docs = docs
         self.keyed = with_row_key(docs)
-        self.sets = stored(self.keyed.mapInArrow(_sets_of, "doc long, tag long, n long, k1 long, k2 long"))
+        self.sets = stored(self.keyed.mapInArrow(_sets_of, "doc long, tag long, n long, k1 long, k2 long, units long"))
         full = self.sets.where(F.col("n") > 0)
-        one = full.groupBy("k1", "k2").agg(F.min(F.struct("doc", "tag")).alias("rep"))
-        self.classes = one.select("k1", "k2", F.col("rep.doc").alias("rep"), F.col("rep.tag").alias("rep_tag"))
-
-    @property
-    def n_buckets(self) -> int:
-        return max(1, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        one = full.groupBy("k1", "k2").agg(F.min(F.struct("doc", "tag")).alias("rep"), F.first("n").alias("n"), F.first("units").alias("units"))
+        id_ = F.struct(F.col("rep.doc").alias("rep"), F.col("rep.tag").alias("rep_tag")).alias("id")
+        self.classes = stored(one.select("k1", "k2", id_, "n", "units"))
+        spark = docs.sparkSession
+        shingles = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingles) // PER_BUCKET))
 
     def dealt(self, blocks: DataFrame) -> DataFrame:
         return blocks.repartition(self.n_buckets, "bucket", "hot").sortWithinPartitions("bucket", "hot")
 
-    def signed(self) -> DataFrame:
+    def found(self, signer) -> DataFrame:
         """What the buckets found: candidate pairs, tallies of signature frequencies and frequent signatures."""
-        blocks = self.keyed.select("text").mapInArrow(_sign(self.n_buckets), BLOCK)
-        return stored(self.dealt(blocks).mapInArrow(_find, FOUND))
-
-    def loners(self, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-        """(x1, x2, lone): how many shingles of each of `nodes` no other one of them holds."""
-        blocks = texts.join(nodes, ["x1", "x2"]).select("z").mapInArrow(_sign_shingles(self.n_buckets), BLOCK)
-        counted = self.dealt(blocks).mapInArrow(_loners, "x1 long, x2 long, times long")
-        return counted.groupBy("x1", "x2").agg(F.sum("times").alias("lone"))
-
-    def named(self, key: str, name: str) -> DataFrame:
-        """Representatives by set key."""
-        c = self.classes
-        return c.select(F.col("k1").alias(key + "1"), F.col("k2").alias(key + "2"), F.struct("rep", "rep_tag").alias(name))
+        blocks = self.keyed.select("text").mapInArrow(_sign(self.n_buckets, signer), BLOCK)
+        return stored(self.dealt(blocks).mapInArrow(_over_buckets(1, _Bucket.found), FOUND))
+
+    def limits(self, found: DataFrame, most: str) -> DataFrame:
+        """(x, top): the frequency up to which a set looks signatures up; sets that are done with what nobody else
+        holds are not in it. `most` is the column with what the values of all segments add up to."""
+        tally = found.where(F.col("kind") == TALLY).groupBy("x", "sig")
+        tally = tally.agg(
+            F.max(F.when(~F.col("deletion"), F.col("count"))).alias("one"),
+            F.max(F.when(F.col("deletion"), F.col("count"))).alias("two"),
+            F.max("multi").alias("multi"),
+        )
+        costs = F.array("one", F.when(F.col("multi"), F.greatest("one", "two")))
+        items = tally.select("x", F.explode(F.filter(costs, lambda c: c.isNotNull())).alias("count"))
+        items = items.groupBy("x", "count").agg(F.count("*").alias("times"))
+        ordered = Window.partitionBy("x").orderBy("count")
+        items = items.select(
+            "x", "count", F.sum("times").over(ordered).alias("taken"), F.sum("times").over(Window.partitionBy("x")).alias("all")
+        )
+        sizes = self.classes.groupBy(F.col("k1").alias("x")).agg(F.max("n").alias("n"), F.min(most).alias("most"))
+        need = F.floor(2 * F.col("n") / 7) + 1 - (F.col("most") - F.col("all"))
+        items = items.join(sizes, "x").withColumn("need", need).where(F.col("need") > 0)
+        enough = F.min(F.when(F.col("taken") >= F.col("need"), F.col("count")))
+        return items.groupBy("x").agg(F.coalesce(enough, F.max("count")).alias("top"))
+
+    def looked_up(self, found: DataFrame, most: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs (x, y) from signatures of few sets, lookups (sig, x) of frequent ones, and their members (sig, x)."""
+        limits = stored(self.limits(found, most))
+        cold = found.where(F.col("kind") == PAIR).join(limits, "x").where(F.col("count") <= F.col("top")).select("x", "y")
+        hot = found.where(F.col("kind") == HOT).select("sig", "x", "count", "own")
+        asks = stored(hot.where("own").join(limits, "x").where(F.col("count") <= F.col("top")).select("sig", "x"))
+        return cold, asks, hot.join(asks.select("sig").distinct(), "sig", "left_semi").select("sig", "x")
+
+    def passes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The same over segments and, where sets have too few of them, over single shingles."""
+        parts = [self.looked_up(self.found(signatures), "units")]
+        poor = self.classes.where((F.col("n") > LEAST_INDEXED) & (F.col("units") <= F.floor(2 * F.col("n") / 7)))
+        sizes = poor.agg(F.min("n"), F.max("n")).first()
+        if sizes[0] is not None:
+            parts.append(self.looked_up(self.found(tokens_of(3 * sizes[0] // 4, -(-4 * sizes[1] // 3))), "n"))
+        return tuple(a if len(parts) == 1 else a.unionAll(parts[1][i]) for i, a in enumerate(parts[0]))
+
+    @staticmethod
+    def collapsed(asks: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of frequent signatures with equal members one stays, looked up by all that look up any of them."""
+        told = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "x"), 31)).alias(f"d{k}") for k in (1, 2)]
+        digests = members.groupBy("sig").agg(F.count("*").alias("c"), *told)
+        named = stored(digests.select("sig", F.min("sig").over(Window.partitionBy("c", "d1", "d2")).alias("rep")))
+        asks = asks.join(named, "sig").select(F.col("rep").alias("sig"), "x").distinct()
+        return stored(asks), stored(members.join(named.where(F.col("sig") == F.col("rep")), "sig", "left_semi"))
 
     def zipped(self) -> DataFrame:
         """Compressed texts by id."""
@@ -509,109 +561,58 @@ class JaccardJoin:
         return texts.select(F.struct(F.col("doc").alias("rep"), F.col("tag").alias("rep_tag")).alias("id"), "z")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """`pairs` (x1, x2, y1, y2) with the representatives' (doc, tag) as a and b, the number of common shingles whether
-        they are linked, and the shingles of x that y lacks if they are MOST_REST at most."""
-        x = texts.select("x1", "x2", F.col("id").alias("a"), F.col("z").alias("za"))
-        y = texts.select(F.col("x1").alias("y1"), F.col("x2").alias("y2"), F.col("id").alias("b"), F.col("z").alias("zb"))
-        both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).select(*VERIFIED, "za", "zb")
-        schema = T.StructType([*both.schema.fields[:-2], T.StructField("shared", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("rest", T.ArrayType(T.LongType()))])
+        """Links (a, b) among `pairs` (x, y)."""
+        x = texts.select("x", F.col("id").alias("a"), F.col("z").alias("za"))
+        y = texts.select(F.col("x").alias("y"), F.col("id").alias("b"), F.col("z").alias("zb"))
+        both = pairs.join(x, "x").join(y, "y").select("a", "b", "za", "zb")
+        schema = T.StructType(both.schema.fields[:2])
         return stored(both.mapInArrow(_verify, schema))
 
-    def poor_links(self, found: DataFrame) -> DataFrame | None:
-        """Links of the sets that have too few segments, each compared with all sets."""
-        poor = found.where(F.col("kind") == POOR).select("x1", "x2").distinct()
-        if poor.isEmpty():
-            return None
-        texts = poor.join(self.named("x", "a"), ["x1", "x2"]).join(self.zipped().withColumnRenamed("id", "a"), "a")
-        out, block, size = None, [], 0
-        opener = zstandard.ZstdDecompressor()
-
-        def compared(queries: list[tuple[tuple[int, int], np.ndarray]]) -> DataFrame:
-            return stored(self.keyed.mapInArrow(_compare(queries), LINK))
-
-        for row in texts.select("a", "z").toLocalIterator():
-            shingles = shingle_sets(pa.array([opener.decompress(row["z"])], pa.binary()).cast(pa.string()))[0]
-            block.append(((row["a"]["rep"], row["a"]["rep_tag"]), shingles))
-            size += len(shingles)
-            if size >= POOR_BLOCK:
-                out = compared(block) if out is None else out.unionAll(compared(block))
-                block, size = [], 0
-        if block:
-            out = compared(block) if out is None else out.unionAll(compared(block))
-        return out
-
     def labels(self) -> DataFrame:
         """(node, component) of the representatives that have links."""
-        found = self.signed()
-        tally = found.where(F.col("kind") == TALLY).groupBy("x1", "x2", "count")
-        tally = tally.agg(F.sum("times").alias("times"), F.max("spare").alias("spare"))
-        above = F.sum("times").over(Window.partitionBy("x1", "x2").orderBy(F.desc("count")))
-        # a set skips its most frequent signatures as far as it can spare them; `top` is the first that it cannot
-        limit = tally.select("x1", "x2", "count", "spare", above.alias("above")).where(F.col("above") > F.col("spare"))
-        limit = limit.groupBy("x1", "x2").agg(F.max("count").alias("top"))
-        cold = found.where(F.col("kind") == PAIR).groupBy("x1", "x2", "y1", "y2").agg(F.min("count").alias("count"))
-        cold = cold.join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select("x1", "x2", "y1", "y2")
-        hot = found.where(F.col("kind") == HOT).select(*ROW, "count", "own")
-        asks = stored(hot.where("own").join(limit, ["x1", "x2"]).where(F.col("count") <= F.col("top")).select(*ROW))
-        wanted = stored(hot.join(asks.select("sig").distinct(), "sig", "left_semi").select(*ROW))
+        cold, asks, members = self.passes()
         cold = stored(cold)
-        involved = cold.select("x1", "x2").unionAll(cold.select("y1", "y2")).unionAll(wanted.select("x1", "x2")).distinct()
-        named = self.named("x", "id").join(involved, ["x1", "x2"])
-        texts = stored(named.join(self.zipped(), "id").select("x1", "x2", "id", "z"))
-        # of the shingles that a set alone holds no partner has one
-        lone = stored(self.loners(wanted.select("x1", "x2").distinct(), texts))
-        wanted = stored(wanted.join(lone, ["x1", "x2"], "left").select(*ROW, F.coalesce("lone", F.lit(0)).alias("lone")))
-        asks = stored(wanted.join(asks.select("sig", "x1", "x2"), ["sig", "x1", "x2"], "left_semi"))
-        # the sets with the fewest shingles of their own are likeliest to be linked with the others
-        member = [F.col(c) for c in ("x1", "x2", "nx", "lone")]
-        ends = wanted.groupBy("sig").agg(F.min(F.struct("lone", *member[:3])).alias("lo"), F.max_by(F.struct(*member), "nx").alias("hi"))
-        led_asks = stored(asks.join(ends, "sig"))
-        sides = [
-            led_asks.select("x1", "x2", "nx", "lone", *[F.col(f"{e}.{c}").alias(n) for c, n in RENAMED.items()])
-            for e in ("lo", "hi")
-        ]
-        starred = sides[0].unionAll(sides[1]).where(_possible()).select("x1", "x2", "y1", "y2")
-        starred = starred.where((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2")))
-        tested = self.verified(cold.unionAll(starred).distinct(), texts)
-        links = tested.where("linked").select("a", "b")
-        poor = self.poor_links(found)
-        links = links if poor is None else links.unionAll(poor)
+        asks, members = self.collapsed(asks, members)
+        leaders = members.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        led = asks.join(leaders, "sig")
+        starred = [led.select("x", F.col(c).alias("y")).where(F.col("x") != F.col("y")) for c in ("lo", "hi")]
+        pairs = cold.unionAll(starred[0]).unionAll(starred[1])
+        pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        involved = pairs.select("x").unionAll(pairs.select("y")).unionAll(members.select("x")).distinct()
+        named = self.classes.select(F.col("k1").alias("x"), "id", "n").join(involved, "x")
+        texts = stored(named.join(self.zipped(), "id").select("x", "id", "n", "z"))
+        links = self.verified(pairs, texts)
         labels = connected_components(links)
-        # what sets have in common with the best-known leader of their signatures
-        lead = led_asks.select("sig", "x1", "x2", "nx", F.col("lo.x1").alias("y1"), F.col("lo.x2").alias("y2"))
-        with_lead = lead.join(tested.select("x1", "x2", "y1", "y2", "shared", "rest"), ["x1", "x2", "y1", "y2"], "left")
-        is_lead = (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
-        led = F.when(is_lead, F.col("nx")).otherwise(F.col("shared"))
-        rest = F.when(is_lead, F.array().cast("array<bigint>")).otherwise(F.col("rest"))
-        common = with_lead.select("x1", "x2", F.xxhash64("y1", "y2").alias("lead"), led.alias("led"), rest.alias("rest"))
-        common = common.where(F.col("led").isNotNull()).distinct()
-        known = common.groupBy("lead").agg(F.count("*").alias("sets"))  # the leader that most sets know is taken
-        common = common.join(known, "lead").groupBy("x1", "x2")
-        common = common.agg(F.max_by(F.struct("lead", "led", "rest"), F.struct("sets", "lead")).alias("main")).select("x1", "x2", "main.*")
-        left = self.across(labels, wanted.join(common, ["x1", "x2"], "left"), asks)
+        left = self.apart(labels, texts, asks, members)
         if left.isEmpty():
             return labels
-        return connected_components(links.unionAll(self.verified(left, texts).where("linked").select("a", "b")))
-
-    def across(self, labels: DataFrame, hot: DataFrame, asks: DataFrame) -> DataFrame:
-        """Pairs with a common frequent signature that are still in different components."""
-        known = self.named("x", "node").join(labels, "node").select("x1", "x2", F.xxhash64("component").alias("of"))
-        of = F.coalesce("of", F.xxhash64("x1", "x2")).alias("of")
-        members = stored(hot.join(known, ["x1", "x2"], "left").select("sig", "x1", "x2", "nx", "lone", "lead", "led", "rest", of))
-        mixed = members.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
-        mixed = mixed.where(F.col("lo") != F.col("hi")).select("sig")
-        asking = asks.select("sig", "x1", "x2").join(mixed, "sig", "left_semi").join(members, ["sig", "x1", "x2"])
-        others = members.withColumnsRenamed(RENAMED | {"lead": "ylead", "led": "yled", "rest": "yrest", "of": "yof"})
-        before = (F.col("y1") < F.col("x1")) | ((F.col("y1") == F.col("x1")) & (F.col("y2") < F.col("x2")))
-        smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & before)
-        pairs = asking.join(others, "sig").where((F.col("of") != F.col("yof")) & smaller & _possible() & _possible_beside_leader())
-        return stored(pairs.select("x1", "x2", "y1", "y2").distinct())
+        return connected_components(links.unionAll(self.verified(left, texts)))
+
+    def apart(self, labels: DataFrame, texts: DataFrame, asks: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs with a common frequent signature that are still in different components and may be linked: each must
+        share 3/7 of |x| + |y| with sets of other components."""
+        known = texts.select("x", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        known = known.select("x", "n", F.xxhash64(F.coalesce("component", "id")).alias("of"))
+        placed = stored(members.join(known, "x"))
+        mixed = stored(placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig"))
+        placed = stored(placed.join(mixed, "sig", "left_semi"))
+        several = placed.select("x", "of").distinct()
+        blocks = texts.join(several, "x").select("x", "of", "z").mapInArrow(_sign_members(self.n_buckets), BLOCK)
+        counted = self.dealt(blocks).mapInArrow(_over_buckets(2, _Bucket.across), "x long, times long")
+        wide = counted.groupBy("x").agg(F.sum("times").alias("wide"))
+        rest = stored(placed.join(wide, "x").where(4 * F.col("wide") >= 3 * F.col("n")))
+        asking = asks.join(rest, ["sig", "x"])
+        others = rest.withColumnsRenamed({"x": "y", "n": "ny", "of": "yof", "wide": "ywide"})
+        n, ny = F.col("n"), F.col("ny")
+        may = (F.col("of") != F.col("yof")) & (4 * F.least(n, ny) >= 3 * F.greatest(n, ny))
+        may = may & (7 * F.least("wide", "ywide") >= 3 * (n + ny))
+        pairs = asking.join(others, "sig").where(may)
+        return stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
 
     def components(self) -> DataFrame:
         """(doc, tag, n, component, keeper) of all rows: component is the least doc reachable, and keeper tells the one
         text of each component, or a row without shingles."""
-        labels = self.labels().withColumnRenamed("node", "id")
-        classes = self.named("k", "id").join(labels, "id", "left")
+        classes = self.classes.join(self.labels().withColumnRenamed("node", "id"), "id", "left")
         classes = classes.select("k1", "k2", F.coalesce("component", "id").alias("least"))
         out = self.sets.join(classes, ["k1", "k2"], "left")
         some = F.col("n") > 0
@@ -624,30 +625,6 @@ class JaccardJoin:
         )
 
 
-ROW = ["sig", "x1", "x2", "nx"]
-RENAMED = {"x1": "y1", "x2": "y2", "nx": "ny", "lone": "ylone"}
-
-
-def _possible():
-    """Whether sizes and the shingles that x and y hold alone leave room for a link: both must be able to share
-    3/7 of |x| + |y|."""
-    nx, ny = F.col("nx"), F.col("ny")
-    return 7 * F.least(nx - F.col("lone"), ny - F.col("ylone")) >= 3 * (nx + ny)
-
-
-def _possible_beside_leader():
-    """The same, where it is known what x and y share with one leader: of that they share the smaller part at most, and
-    of the rest what is in both, or where that is long, what neither holds alone."""
-    nx, ny, x, y = F.col("nx"), F.col("ny"), F.col("led"), F.col("yled")
-    loose = F.least(nx - x - F.col("lone"), ny - y - F.col("ylone"))
-    exact = F.size(F.array_intersect("rest", "yrest"))
-    same = F.col("lead") == F.col("ylead")
-    may = (7 * (F.least(x, y) + loose) >= 3 * (nx + ny)) & (
-        F.col("rest").isNull() | F.col("yrest").isNull() | (7 * (F.least(x, y) + exact) >= 3 * (nx + ny))
-    )
-    return F.coalesce(~same | may, F.lit(True))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows."""
 

@@ -214,19 +214,67 @@ def test_jaccard_join_with_frequent_signatures(spark):
     assert Counter(tuple(r) for r in jaccard_join.near_duplicates(frame).collect()) == components_brute(small)
 
 
-def test_jaccard_join_of_sets_with_too_few_segments(spark, docs):
-    join = jaccard_join.JaccardJoin(docs)
-    poor = join.sets.where("n > 0").select(F.lit(jaccard_join.POOR).alias("kind"), F.col("k1").alias("x1"), F.col("k2").alias("x2"))
-    labels = graph.connected_components(join.poor_links(poor)).collect()
-    groups = defaultdict(set)
-    for r in labels:
-        groups[r["component"]].add(r["node"])
-    rows = corpus()
-    want = defaultdict(set)
-    for (_, n, c), times in components_brute(rows).items():
-        if n:
-            want[c].add(times)
-    assert groups and all(len(g) > 1 for g in groups.values())
+def poor_text(n: int, seed: int) -> str:
+    """A text of n shingles that all fall into one segment."""
+    rng, words_ = random.Random(seed), [f"a{seed}", "b", "c", "d"]
+    wanted = None
+    while len(words_) < n + 4:
+        word = f"w{rng.randrange(10**6)}"
+        hashed = jaccard_join.shingle_sets(pa.array([" ".join([*words_[-4:], word])]))[0]
+        segment = jaccard_join._cut(hashed, jaccard_join.band_of(n))[0][0]
+        if wanted in (None, segment):
+            wanted = segment
+            words_.append(word)
+    return " ".join(words_)
+
+
+def test_jaccard_join_of_sets_with_too_few_segments(spark):
+    texts = []
+    for k, n in enumerate((7, 8, 10, 13, 16)):
+        text = poor_text(n, k)
+        only = jaccard_join.shingle_sets(pa.array([text]))[0]
+        assert jaccard_join.is_poor(n, jaccard_join.units(only))
+        texts += [text, text + " more", text.rsplit(" ", 1)[0] + " other", text.split(" ", 2)[2], text]
+    texts += [f"some other text number {i} of a few words in a row" for i in range(20)]
+    small = list(enumerate(texts))
+    frame = spark.createDataFrame(small, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(frame).collect())
+    assert got == components_brute(small)
+    assert sum(d != c for d, _, c in got) >= 15
+
+
+def test_any_values_above_the_bound_find_a_linked_partner():
+    rng = np.random.default_rng(4)
+    sizes = [4, 5, 6, 7, 8, 10, 13, 17, 22, 29, 40, 60, 88, 89, 110, 117, 118, 150, 156, 157, 300, 700]
+    for n in sizes:
+        for _ in range(40):
+            x = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            gone = int(rng.integers(0, jaccard_join.most_different(n) + 1))
+            y = np.delete(x, rng.choice(n, gone, replace=False))
+            room = [k for k in range(n - len(y) + 1) if jaccard_join.linked(n, len(y) + k, len(y))]
+            y = np.sort(np.append(y, rng.integers(0, 1 << 64, int(rng.choice(room)) if room else 0, dtype=np.uint64)))
+            if not room or (len(y) == n and gone == 0):
+                continue
+            (hx, cx), (hy, cy) = jaccard_join.signatures(x), jaccard_join.signatures(y)
+            mine = (cx & jaccard_join.OWN) > 0
+            hx, cx = hx[mine], cx[mine]
+            most = jaccard_join.units(x)
+            if jaccard_join.is_poor(n, most):
+                continue
+            # values of the segments, in any order, until they exceed the bound
+            whole = np.flatnonzero((cx & jaccard_join.DELETION) == 0)
+            steps = [(i, 1) for i in whole] + [(i, 2) for i in whole if cx[i] & jaccard_join.MULTI]
+            value = dict.fromkeys(whole.tolist(), 0)
+            for k in rng.permutation(len(steps))[: jaccard_join.most_different(n) + 1]:
+                value[int(steps[k][0])] += 1
+            looked = set()
+            for i, v in value.items():
+                if v:
+                    looked.add(int(hx[i]))
+                if v > 1:
+                    same = (cx & jaccard_join.DELETION > 0) & (cx >> jaccard_join.SEGMENT == cx[i] >> jaccard_join.SEGMENT)
+                    looked |= set(hx[same].tolist())
+            assert looked & set(hy.tolist()), (n, len(y), gone)
 
 
 def test_drop_near_duplicates_keeps_one_of_each_group(docs, rows):
