@@ -19,10 +19,11 @@ the same join once more with every shingle a segment of its own, against the set
 
 Signatures travel as blocks, one row for each task and bucket. Signatures that one task alone sees often are dealt
 over several buckets. Within a bucket, signatures of up to `COLD` sets yield pairs; more frequent ones yield their
-members, which are handled in three steps: signatures with equal members collapse into one; members are compared with two
-leaders of each signature; and what is left in different components is compared across components only, among sets
-that share at least 3/4 of their shingles with other components (no partner is possible below that). A group of g near
-copies costs about g comparisons. Every candidate pair is verified on the shingle sets of its whole texts (64-bit hashes
+members, which are handled in steps: signatures with equal members collapse into one; members are compared with two
+leaders of each signature; sets left in different components stay only if 3/4 of their shingles are known to other
+components (no partner is possible below that), are compared with the best-known leader of each signature, and then with
+each other by what they lack and have beside that leader. A group of g near copies costs about g comparisons.
+Every candidate pair is verified on the shingle sets of its whole texts (64-bit hashes
 of shingles; equal texts by 128 bits of their sets, candidates by 64).
 
 Defined results: null texts, empty ones and those without words have no shingles and are linked with nothing; rows that
@@ -455,33 +456,63 @@ def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 REMEMBERED = 32
 
 
-@lean
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Linked pairs. The last sets of either side are kept, as pairs with a leader come in a row."""
-    opener = zstandard.ZstdDecompressor()
-    known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-    for batch in batches:
+class _Remembered:
+    """Shingle sets of compressed texts; the last ones are kept, as pairs with a leader come in a row."""
+
+    def __init__(self) -> None:
+        self.opener = zstandard.ZstdDecompressor()
+        self.known: OrderedDict[bytes, np.ndarray] = OrderedDict()
+
+    def pairs(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sides = [column(batch, c).to_pylist() for c in ("za", "zb")]
-        good = np.zeros(batch.num_rows, dtype=bool)
         for at in range(0, batch.num_rows, 100):
             pairs = list(zip(*(side[at : at + 100] for side in sides), strict=True))
-            fresh = [z for z in dict.fromkeys(z for pair in pairs for z in pair) if z not in known]
-            sets = dict(known) | dict(zip(fresh, _opened(opener, fresh), strict=True))
-            for i, (za, zb) in enumerate(pairs):
-                a, b = sets[za], sets[zb]
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                if 4 * len(small) < 3 * len(large):
-                    continue
-                place = np.searchsorted(large, small)
-                place[place == len(large)] = 0
-                good[at + i] = linked(len(a), len(b), int((large[place] == small).sum()))
-            for pair in pairs[-REMEMBERED:]:
-                for z in pair:
-                    known[z] = sets[z]
-                    known.move_to_end(z)
-            while len(known) > REMEMBERED:
-                known.popitem(last=False)
-        yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
+            fresh = [z for z in dict.fromkeys(z for pair in pairs for z in pair) if z not in self.known]
+            sets = dict(self.known) | dict(zip(fresh, _opened(self.opener, fresh), strict=True))
+            for za, zb in pairs:
+                yield sets[za], sets[zb]
+            for z in (z for pair in pairs[-REMEMBERED:] for z in pair):
+                self.known[z] = sets[z]
+                self.known.move_to_end(z)
+            while len(self.known) > REMEMBERED:
+                self.known.popitem(last=False)
+
+
+def _held(some: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which of `some` are in the sorted set `by`."""
+    place = np.searchsorted(by, some)
+    place[place == len(by)] = 0
+    return by[place] == some
+
+
+@lean
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked pairs."""
+    remembered = _Remembered()
+    for batch in batches:
+        good = [
+            4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and linked(len(a), len(b), int(_held(a, b).sum()))
+            for a, b in remembered.pairs(batch)
+        ]
+        yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+
+@lean
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set beside its leader; `lacks` is a bitmap over the leader's shingles."""
+    remembered = _Remembered()
+    names = ["x", "y", "n", "ny", "wide", "a", "b"]
+    for batch in batches:
+        told: list[tuple] = []
+        for own, lead in remembered.pairs(batch):
+            lacks = ~_held(lead, own)
+            shared = int((~lacks).sum())
+            bits = np.packbits(np.pad(lacks, (0, -len(lacks) % 64))).view(np.int64)
+            told.append((linked(len(own), len(lead), shared), len(lead) - shared, len(own) - shared, bits))
+        columns = [[t[i] for t in told] for i in range(4)]
+        arrays = [column(batch, c) for c in names]
+        arrays += [pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, [*names, "linked", "less", "more", "lacks"])
 
 
 class JaccardJoin:
@@ -517,17 +548,12 @@ class JaccardJoin:
             F.max("multi").alias("multi"),
         )
         costs = F.array("one", F.when(F.col("multi"), F.greatest("one", "two")))
-        items = tally.select("x", F.explode(F.filter(costs, lambda c: c.isNotNull())).alias("count"))
-        items = items.groupBy("x", "count").agg(F.count("*").alias("times"))
-        ordered = Window.partitionBy("x").orderBy("count")
-        items = items.select(
-            "x", "count", F.sum("times").over(ordered).alias("taken"), F.sum("times").over(Window.partitionBy("x")).alias("all")
-        )
+        costs = tally.select("x", F.filter(costs, lambda c: c.isNotNull()).alias("c")).groupBy("x")
+        costs = costs.agg(F.sort_array(F.flatten(F.collect_list("c"))).alias("costs"))  # two for a segment at most
         sizes = self.classes.groupBy(F.col("k1").alias("x")).agg(F.max("n").alias("n"), F.min(most).alias("most"))
-        need = F.floor(2 * F.col("n") / 7) + 1 - (F.col("most") - F.col("all"))
-        items = items.join(sizes, "x").withColumn("need", need).where(F.col("need") > 0)
-        enough = F.min(F.when(F.col("taken") >= F.col("need"), F.col("count")))
-        return items.groupBy("x").agg(F.coalesce(enough, F.max("count")).alias("top"))
+        need = F.floor(2 * F.col("n") / 7) + 1 - (F.col("most") - F.size("costs"))
+        costs = costs.join(sizes, "x").withColumn("need", need.cast("int")).where(F.col("need") > 0)
+        return costs.select("x", F.element_at("costs", F.least("need", F.size("costs"))).alias("top"))
 
     def looked_up(self, found: DataFrame, most: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Pairs (x, y) from signatures of few sets, lookups (sig, x) of frequent ones, and their members (sig, x)."""
@@ -582,32 +608,64 @@ class JaccardJoin:
         named = self.classes.select(F.col("k1").alias("x"), "id", "n").join(involved, "x")
         texts = stored(named.join(self.zipped(), "id").select("x", "id", "n", "z"))
         links = self.verified(pairs, texts)
-        labels = connected_components(links)
-        left = self.apart(labels, texts, asks, members)
-        if left.isEmpty():
-            return labels
-        return connected_components(links.unionAll(self.verified(left, texts)))
-
-    def apart(self, labels: DataFrame, texts: DataFrame, asks: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs with a common frequent signature that are still in different components and may be linked: each must
-        share 3/7 of |x| + |y| with sets of other components."""
+        placed = self.apart(connected_components(links), texts, members)
+        if placed.isEmpty():
+            return connected_components(links)
+        beside = self.beside_leaders(placed, texts)
+        links = links.unionAll(beside.where("linked").select("a", "b"))
+        left = self.across(connected_components(links), beside)
+        return connected_components(links if left.isEmpty() else links.unionAll(self.verified(left, texts)))
+
+    def apart(self, labels: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
+        """(sig, x, n, of, wide): members of frequent signatures that span several components. `wide` counts the
+        shingles that sets of other components hold too; with less than 3/4 of its own a set has no partner there."""
         known = texts.select("x", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
         known = known.select("x", "n", F.xxhash64(F.coalesce("component", "id")).alias("of"))
         placed = stored(members.join(known, "x"))
-        mixed = stored(placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig"))
+        mixed = placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig")
         placed = stored(placed.join(mixed, "sig", "left_semi"))
         several = placed.select("x", "of").distinct()
         blocks = texts.join(several, "x").select("x", "of", "z").mapInArrow(_sign_members(self.n_buckets), BLOCK)
         counted = self.dealt(blocks).mapInArrow(_over_buckets(2, _Bucket.across), "x long, times long")
         wide = counted.groupBy("x").agg(F.sum("times").alias("wide"))
-        rest = stored(placed.join(wide, "x").where(4 * F.col("wide") >= 3 * F.col("n")))
-        asking = asks.join(rest, ["sig", "x"])
-        others = rest.withColumnsRenamed({"x": "y", "n": "ny", "of": "yof", "wide": "ywide"})
-        n, ny = F.col("n"), F.col("ny")
-        may = (F.col("of") != F.col("yof")) & (4 * F.least(n, ny) >= 3 * F.greatest(n, ny))
-        may = may & (7 * F.least("wide", "ywide") >= 3 * (n + ny))
-        pairs = asking.join(others, "sig").where(may)
-        return stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        return stored(placed.join(wide, "x").where(4 * F.col("wide") >= 3 * F.col("n")))
+
+    def beside_leaders(self, placed: DataFrame, texts: DataFrame) -> DataFrame:
+        """Sets beside the leader of each of their signatures, the member with the largest share of its shingles
+        known elsewhere: whether they are linked, how many shingles of the leader x lacks and which, and how many more x has."""
+        best = F.max_by("x", F.struct(F.col("wide") / F.col("n"), "x")).alias("y")
+        led = placed.join(placed.groupBy("sig").agg(best), "sig").select("x", "y", "n", "of", "wide").distinct()
+        x = texts.select("x", F.col("id").alias("a"), F.col("z").alias("za"))
+        y = texts.select(F.col("x").alias("y"), F.col("id").alias("b"), F.col("n").alias("ny"), F.col("z").alias("zb"))
+        both = led.join(x, "x").join(y, "y").select("x", "y", "n", "ny", "wide", "a", "b", "za", "zb")
+        more = [("linked", T.BooleanType()), ("less", T.LongType()), ("more", T.LongType()), ("lacks", T.ArrayType(T.LongType()))]
+        schema = T.StructType([*both.schema.fields[:-2], *(T.StructField(n, t) for n, t in more)])
+        return stored(both.mapInArrow(_compare, schema))
+
+    def across(self, labels: DataFrame, beside: DataFrame) -> DataFrame:
+        """Pairs of sets beside one leader that are in different components and may be linked. What differs from the
+        leader in both or neither is common to both; two sets that differ from it in nothing common are linked only
+        if both are linked with it, so one of each pair is not in its component."""
+        node = labels.withColumnRenamed("component", "c")
+        of = beside.join(node.withColumnRenamed("node", "a"), "a", "left").withColumn("of", F.xxhash64(F.coalesce("c", "a"))).drop("c")
+        of = of.join(node.withColumnRenamed("node", "b"), "b", "left").withColumn("lead_of", F.xxhash64(F.coalesce("c", "b")))
+        # shingles beside the leader's that sets of other components may hold; outside its component x holds no
+        # shingle alone that the leader has
+        loose = F.when(F.col("of") == F.col("lead_of"), F.least("more", "wide")).otherwise(
+            F.greatest(F.lit(0), F.col("more") - (F.col("n") - F.col("wide")))
+        )
+        rows = stored(of.select("x", "y", "n", "ny", "of", "lead_of", "wide", "less", "lacks", loose.alias("loose")))
+        others = rows.select("y", *[F.col(c).alias("o_" + c) for c in ("x", "n", "of", "wide", "less", "lacks", "loose")])
+        outside = rows.where(F.col("of") != F.col("lead_of"))
+        n, m = F.col("n"), F.col("o_n")
+        neither = F.aggregate(
+            F.zip_with("lacks", "o_lacks", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, c: s + c
+        )
+        common = F.col("ny") - F.col("less") - F.col("o_less") + neither + F.least("loose", "o_loose")
+        may = (F.col("of") != F.col("o_of")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
+        may = may & (7 * F.least("wide", "o_wide") >= 3 * (n + m)) & (7 * common >= 3 * (n + m))
+        pairs = outside.join(others, "y").where(may)
+        return stored(pairs.select(F.least("x", "o_x").alias("x"), F.greatest("x", "o_x").alias("y")).distinct())
 
     def components(self) -> DataFrame:
         """(doc, tag, n, component, keeper) of all rows: component is the least doc reachable, and keeper tells the one
