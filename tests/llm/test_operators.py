@@ -304,7 +304,7 @@ def test_connected_components(spark):
 
 
 def test_sharding(spark, docs, rows, empty):
-    got = sharding.assign_shards(docs, n_shards=6, parcels_per_shard=16, pieces_per_shard=4).collect()
+    got = sharding.assign_shards(docs, n_shards=6, parcels_per_shard=16, slices_per_shard=4).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((t or "").encode()) + 16, __import__("zlib").crc32((t or "").encode())) for _, t, *_ in rows)
     slots = defaultdict(list)
@@ -314,6 +314,34 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_sharding_keeps_groups_whole_and_sizes_near_equal(spark):
+    rng = random.Random(3)
+    texts = ["a text that many rows share " * 6] * 240  # below the capacity of a shard in bytes and rows
+    texts += [f"pair {i} " * 9 for i in range(300) for _ in range(2)]
+    texts += [f"text {i} " * rng.randint(1, 40) for i in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sharding.assign_shards(frame, n_shards=8).collect()
+    of_text, sizes = defaultdict(set), Counter()
+    for r in got:
+        of_text[texts[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in of_text.values())
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+    slots = Counter((r["shard"], r["slot"]) for r in got)
+    assert set(slots.values()) == {1} and all((s, k) in slots for s, n in Counter(r["shard"] for r in got).items() for k in range(n))
+
+
+def test_sharding_divides_only_what_no_shard_can_hold(spark):
+    texts = ["one text for half of all rows"] * 500 + [f"text number {i} of them all" for i in range(500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.assign_shards(frame, n_shards=10).collect()
+    assert len({r["shard"] for r in got if texts[r["doc_id"]] == texts[0]}) <= sharding.parts_of(0.52, 10)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= 1.15 * min(sizes.values())
+
+
 def test_packing_goes_where_the_product_is_highest():
     rng = np.random.default_rng(4)
     loads = rng.random((200, 3))
