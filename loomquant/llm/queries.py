@@ -95,7 +95,7 @@ FROM f JOIN tier ON f.source IS NOT DISTINCT FROM tier.source
 """
 
 
-def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def span_digest(found: DataFrame, kinds: tuple[str, ...], *more: str) -> DataFrame:
     """Counts by base kind, the digest of the base spans and all spans as text; `spans` is sorted already."""
 
     def told(spans):
@@ -107,7 +107,7 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     counts = [count(k) for k in kinds]
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
-        "doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), *more
     )
 
 
@@ -124,7 +124,7 @@ def matches_sql(kind: str, pattern: str) -> str:
   WHERE m <> ''"""
 
 
-def spans_sql(found: str, base: tuple[str, ...], added: tuple[str, ...]) -> str:
+def spans_sql(found: str, base: tuple[str, ...], added: tuple[str, ...], scores: str = "") -> str:
     """The digest columns from rows (doc_id, kind, a, b) of the CTEs in `found` (the last one is named s)."""
     kinds = (*base, *added)
     names = ", ".join(f"'{k}'" for k in base)
@@ -133,11 +133,12 @@ def spans_sql(found: str, base: tuple[str, ...], added: tuple[str, ...]) -> str:
     return f"""
 WITH {found}
 SELECT doc_id, {', '.join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in base)},
-  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(all_spans, '') AS spans
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(all_spans, '') AS spans{", coalesce(scores, '') AS scores" if scores else ""}
 FROM documents LEFT JOIN (
   SELECT doc_id, {counts},
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {place}, b) FILTER (kind IN ({names})) AS base_spans,
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {place}, b) AS all_spans
+    {f", string_agg({scores}, ',' ORDER BY a, {place}, b) AS scores" if scores else ""}
   FROM s GROUP BY doc_id) USING (doc_id)
 """
 
@@ -197,7 +198,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE_KINDS)
+    found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    scores = F.transform("spans", lambda s: F.format_string("%.1f", s["score"]))
+    return span_digest(found.withColumn("scores", F.concat_ws(",", scores)), pii.BASE_KINDS, "scores")
+
+
+def pii_score_sql() -> str:
+    """The score of a span of `s`, in tenths, from its kind and the words `around` it."""
+    start = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pii.START.items())
+    near = " ".join(
+        f"WHEN '{k}' THEN regexp_matches(around, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(w.split())})([^\\p{{L}}\\p{{N}}_]|$)')"
+        for k, w in pii.NEARBY.items()
+    )
+    fours = "kind = 'iban' AND regexp_full_match(m, '[A-Z0-9]{4}( [A-Z0-9]{4})+( [A-Z0-9]{1,3})?')"
+    return f"""least({pii.MOST}, CASE kind {start} END + CASE WHEN CASE kind {near} END THEN {pii.BOOST} ELSE 0 END
+    + CASE WHEN {fours} THEN {pii.GROUPED} ELSE 0 END)"""
 
 
 DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -214,9 +229,7 @@ good AS (SELECT doc_id, kind, a, max(b) AS b FROM cut WHERE length(m) BETWEEN 15
   list_prepend(0, list_transform(string_split(m[5:] || m[1:4], ''),
     lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)),
   lambda t, v: (t * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1 GROUP BY doc_id, kind, a),
-near AS (SELECT n.*, {LOWER.format("substring(text, greatest(a - 48, 0) + 1, a - greatest(a - 48, 0)) || ' ' || substring(text, b + 1, 48)")} AS around
-  FROM n JOIN documents USING (doc_id)),
-s AS (
+valid AS (
   SELECT doc_id, kind, a, b FROM e UNION ALL
   SELECT doc_id, kind, a, b FROM i WHERE len(list_filter(string_split(m, '.'),
     lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 0) > 255)) = 0 UNION ALL
@@ -225,11 +238,17 @@ s AS (
       WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0 UNION ALL
   SELECT doc_id, kind, a, b FROM p WHERE length({DIGITS}) BETWEEN 9 AND 15 UNION ALL
   SELECT doc_id, kind, a, b FROM good UNION ALL
-  SELECT doc_id, kind, a, b FROM near WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00'
-    AND m[8:11] <> '0000' AND (around LIKE '%ssn%' OR around LIKE '%social security%' OR around LIKE '%taxpayer%')
-)""",
+  SELECT doc_id, kind, a, b FROM n WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00'
+    AND m[8:11] <> '0000'
+), near AS (
+  SELECT v.*, substring(text, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS m,
+    {LOWER.format("substring(text, greatest(a - 48, 0) + 1, a - greatest(a - 48, 0)) || ' ' || substring(text, b + 1, 48)")} AS around
+  FROM valid v JOIN documents USING (doc_id)
+), scored AS (SELECT *, {pii_score_sql()} AS score FROM near),
+s AS (SELECT * FROM scored WHERE score >= {pii.MIN_SCORE} OR kind IN ({", ".join(f"'{k}'" for k in pii.BASE_KINDS)}))""",
     pii.BASE_KINDS,
     ("iban", "ssn"),
+    "printf('%.1f', score / 10.0)",
 )
 
 

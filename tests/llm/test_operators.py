@@ -22,6 +22,7 @@ from loomquant.llm import (
     line_dedup,
     pii,
     preference_quality,
+    queries,
     secret_scan,
     sharding,
     substring_dedup,
@@ -489,6 +490,20 @@ PII = [
 ]
 
 
+CONTEXTS = {  # context words are whole words of four languages; an IBAN needs them or its usual print
+    "classnotes 123-45-6789": [],
+    "his SSN: 123-45-6789": [("ssn", 0.6)],
+    "numéro de sécurité 123-45-6789": [("ssn", 0.6)],
+    "GB82WEST12345698765432 is a part number": [],
+    "das Konto GB82WEST12345698765432": [("iban", 0.7)],
+    "GB82 WEST 1234 5698 7654 32 alone": [("iban", 0.6)],
+    "un virement, GB82 WEST 1234 5698 7654 32": [("iban", 0.9)],
+    "hotel a@b.cd": [("email", 0.9)],
+    "correo a@b.cd": [("email", 1.0)],
+    "etelé 10.0.0.1, ships": [("ip", 0.6)],
+}
+
+
 def test_pii(spark, empty):
     rng = random.Random(3)
     fuzz = ["".join(rng.choice("a.@-+ 0123459()é") for _ in range(60)) for _ in range(400)]
@@ -497,10 +512,30 @@ def test_pii(spark, empty):
     kinds = [{s[0] for s in pii.scan(t)} for t in PII]
     assert "iban" in kinds[4] and len([s for s in pii.scan(PII[4]) if s[0] == "iban"]) == 1
     assert "ssn" in kinds[5] and "ssn" not in kinds[6]
+    score = {t: [(s[0], s[3]) for s in pii.scan(t)] for t in CONTEXTS}
+    assert list(score.values()) == list(CONTEXTS.values())
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(PII)], "doc_id long, text string")
+    clash = spark.createDataFrame([(1, "a@b.cd", "own"), (1, "a@b.cd", "own"), (None, None, None)], "doc_id long, text string, spans string")
+    got = [(r["spans"], len(r["spans_"])) for r in pii.find_pii(clash, keep=["doc_id", "spans"]).collect()]
+    assert Counter(got) == Counter({("own", 1): 2, (None, 0): 1})
     assert pii.find_pii(frame, keep=["doc_id"]).count() == len(PII) and pii.find_pii(empty, keep=["doc_id"]).count() == 0
 
 
+def test_pii_sql_on_awkward_texts(spark):
+    import duckdb
+    import pandas as pd
+    from compare import assert_same
+
+    rows = [(i, t) for i, t in enumerate([*CONTEXTS, *(t for t in PII if t is None or len(t) < 1000)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_pii(frame, keep=["doc_id"])
+    scores = F.concat_ws(",", F.transform("spans", lambda s: F.format_string("%.1f", s["score"])))
+    got = queries.span_digest(found.withColumn("scores", scores), pii.BASE_KINDS, "scores").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert_same(got, con.sql(queries.OP7_SQL).df())
+
+
 def test_preference_quality_on_held_out_documents(spark):
     from compare import DATA
 
