@@ -348,14 +348,44 @@ class _Bucket:
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         yield _rows(PAIR, int(new.sum()), x=x[new], y=y[new], count=c[new])
 
-    def across(self) -> Iterator[pa.RecordBatch]:
-        """How many entries of each set are signatures that a second component holds (or may hold elsewhere)."""
+    def across(self, n_parts: int) -> Iterator[pa.RecordBatch]:
+        """How many entries of each set are signatures that a second component holds (or may hold elsewhere), as one
+        row for each part of the sets."""
         _, node, _, first, count, also_hot = self.gathered()
         if not len(node):
             return
         several = np.minimum.reduceat(node[:, 1], first) != np.maximum.reduceat(node[:, 1], first)
         who, times = np.unique(node[np.repeat(several | also_hot, count), 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(times)], ["x", "times"])
+        part = (mix(who.view(U64)) % U64(n_parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.diff(part[by], prepend=-1))
+        held = [by[a:b] for a, b in zip(edge, [*edge[1:], len(by)], strict=True)]
+        packed = [[x[h].astype("<i8").tobytes() for h in held] for x in (who, times)]
+        arrays = [pa.array(part[by[edge]], pa.int32()), *(pa.array(x, pa.binary()) for x in packed)]
+        yield pa.RecordBatch.from_arrays(arrays, ["part", "x", "times"])
+
+
+@lean
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, wide) summed over the buckets, from rows sorted by part."""
+    part, held = None, []
+
+    def told() -> pa.RecordBatch:
+        who, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        sets, number = np.unique(who, return_inverse=True)
+        total = np.bincount(number, weights=times).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(total)], ["x", "wide"])
+
+    for batch in batches:
+        rows = zip(*(column(batch, c).to_pylist() for c in ("part", "x", "times")), strict=True)
+        for number, who, times in rows:
+            if number != part and held:
+                yield told()
+                held = []
+            part = number
+            held.append((np.frombuffer(who, "<i8"), np.frombuffer(times, "<i8")))
+    if held:
+        yield told()
 
 
 def _over_buckets(width: int, each: Callable[[_Bucket], Iterator[pa.RecordBatch]]):
@@ -626,8 +656,9 @@ class JaccardJoin:
         placed = stored(placed.join(mixed, "sig", "left_semi"))
         several = placed.select("x", "of").distinct()
         blocks = texts.join(several, "x").select("x", "of", "z").mapInArrow(_sign_members(self.n_buckets), BLOCK)
-        counted = self.dealt(blocks).mapInArrow(_over_buckets(2, _Bucket.across), "x long, times long")
-        wide = counted.groupBy("x").agg(F.sum("times").alias("wide"))
+        n = self.n_buckets
+        counted = self.dealt(blocks).mapInArrow(_over_buckets(2, lambda b: b.across(n)), "part int, x binary, times binary")
+        wide = counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sum_parts, "x long, wide long")
         return stored(placed.join(wide, "x").where(4 * F.col("wide") >= 3 * F.col("n")))
 
     def beside_leaders(self, placed: DataFrame, texts: DataFrame) -> DataFrame:
