@@ -1,16 +1,18 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by Spark's higher-order functions.
 
-Encoding is one narrow stage. A first Arrow function splits each text by the tokenizer's pattern, replaces words that
-are single tokens by their rank and every other word by a number, and sends each distinct word of the task once, as
-an array of byte ranks, ahead of the documents that use it. The fold runs in the JVM on these rows: `aggregate`
-repeats "merge the leftmost adjacent pair of least rank", looking pair ranks up in a literal map (an array of hash
-slots, since a literal MAP is searched linearly). A second Arrow function puts documents together from merged words
-and decodes by concatenating the tokens' byte strings. A task forgets its words after `max_words` of them, which
-bounds memory without changing results; nothing is broadcast but the rank table, whose size the vocabulary fixes.
+Each word of the whole table is folded once, however many documents and tasks have it. A first Arrow function splits
+texts by the tokenizer's pattern and numbers the distinct words of a block of documents; documents become arrays of
+these numbers. Words that are tokens themselves need no fold; the others go, as blocks, to buckets by their hash. There a
+second Arrow function tells distinct words apart and hands them over as arrays of byte ranks. The fold runs in the JVM on
+these: `aggregate` repeats "merge the leftmost adjacent pair of least rank", looking pair ranks up in a literal map (an
+array of hash slots, since a literal MAP is searched linearly), and decoding concatenates the tokens' binary pieces. A
+third function sends each block what its words have become, and a last one puts the documents of a block together. A block
+ends after `max_words` distinct words or `BLOCK_BYTES` of numbers, which bounds memory without changing results; nothing
+is broadcast but rank table and pieces, whose size the vocabulary fixes.
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded one by one; an empty table gives no
-rows; other columns pass through. Words of more than `long_bytes` bytes are merged by the same rule in Python with a
-heap, as the fold takes time quadratic in the length of a word.
+rows; other columns pass through. Ranks above 131,071 raise an error. Words of more than `long_bytes` bytes are merged by the
+same rule in Python with a heap, as the fold takes time quadratic in the length of a word.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -25,6 +28,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +37,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .words import bounded, column, lean
 
-LEFT = 1 << 17
+RANK_BITS = 17
+LEFT = 1 << RANK_BITS
 NO_RANK = 1 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,16 +105,18 @@ def merge(word: bytes, vocabulary: Vocabulary) -> list[int]:
 
 
 def rank_table(pairs: dict[tuple[int, int], int]) -> list[int]:
-    """A flat hash table of key * 65536 + rank in which every key stands in one of two slots (0: free)."""
+    """A flat hash table of key << RANK_BITS | rank in which every key stands in one of two slots (0: free)."""
+    if any(max(pair) >= LEFT or rank >= LEFT for pair, rank in pairs.items()):
+        raise ValueError(f"ranks must stay below {LEFT}")
     size = 1 << (3 * max(1, len(pairs))).bit_length()
     out = [0] * size
     for (left, right), rank in pairs.items():
-        item, slot = ((left * LEFT + right) << 16) | rank, _slots(left, right, size)[0]
+        item, slot = ((left * LEFT + right) << RANK_BITS) | rank, _slots(left, right, size)[0]
         for _ in range(1000):
             item, out[slot] = out[slot], item
             if not item:
                 break
-            one, two = _slots((item >> 16) // LEFT, (item >> 16) % LEFT, size)
+            one, two = _slots((item >> RANK_BITS) // LEFT, (item >> RANK_BITS) % LEFT, size)
             slot = two if slot == one else one
         else:
             raise ValueError("the pairs of this vocabulary don't fit the table")
@@ -133,7 +142,7 @@ def fold_merges(word: Column, table: Column, size: int) -> Column:
         two = F.get(table, (left * F.lit(7_919) + right * F.lit(65_537) + F.lit(17)).bitwiseAND(F.lit(size - 1)))
 
         def rank(item: Column, other: Column) -> Column:
-            return F.when(F.shiftright(item, 16) == key, item.bitwiseAND(F.lit(0xFFFF))).otherwise(other)
+            return F.when(F.shiftright(item, RANK_BITS) == key, item.bitwiseAND(F.lit(LEFT - 1))).otherwise(other)
 
         return rank(one, rank(two, F.lit(NO_RANK)))
 
@@ -163,136 +172,260 @@ def fold_merges(word: Column, table: Column, size: int) -> Column:
     return F.when(n < 2, ids).otherwise(F.aggregate(F.slice(ids, F.lit(2), n), start, step)["ids"])
 
 
+def pieces_of(ids: Column, blob: Column, ends: Column) -> Column:
+    """The bytes that ids stand for: their pieces, cut out of `blob`, one after the other."""
+
+    def piece(i: Column) -> Column:
+        start = F.get(ends, i)
+        return F.substring(blob, start + 1, F.get(ends, i + 1) - start)
+
+    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, piece(i.cast("int"))))
+
+
 class _Numbers(dict):
-    """Word to its code: the rank of a word that is one token, or -1, -2, ... in order of first use."""
+    """Word to its number in the block, in order of first use."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self) -> None:
         super().__init__()
-        self.ranks = ranks
-        self.fresh: list[bytes] = []
-        self.count = 0
+        self.words: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        data = word.encode()
-        code = self.ranks.get(data)
-        if code is None:
-            self.count += 1
-            code = -self.count
-            self.fresh.append(data)
-        self[word] = code
-        return code
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+
+DOC, KNOWN, WORDS = 0, 1, 2
+
+
+def _pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress well."""
+    return _pack(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _open_numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(_open(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _pack_lists(sizes: np.ndarray, joined: bytes) -> bytes:
+    """Lists of bytes, as their number, sizes and contents."""
+    return _pack(len(sizes).to_bytes(4, "little") + np.asarray(sizes).astype("<u4").tobytes() + joined)
+
+
+def _open_lists(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """Ends of the lists (with a leading zero) and their contents."""
+    raw = _open(packed)
+    n = int.from_bytes(raw[:4], "little")
+    return np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)]), raw[4 + 4 * n :]
+
+
+def _split(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, max_words: int, n_buckets: int):
+    """Documents as numbers of their block's words, what is known of these, and the words that need a fold by bucket."""
+    names = [*schema.names[: len(keep)], "__key", "__kind", "__block", "__data"]
+
+    def rows(n: int, kept: list | None, key, kind: int, block: int, data: list[bytes]) -> pa.RecordBatch:
+        arrays = kept or [pa.nulls(n, schema.field(i).type) for i in range(len(keep))]
+        arrays = [*arrays, pa.array(key, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(data, pa.binary())], names)
+
+    def finished(numbers: _Numbers, block: int) -> Iterator[pa.RecordBatch]:
+        words = [w.encode() for w in numbers.words]
+        known = np.fromiter((vocabulary.ranks.get(w, -1) for w in words), np.int64, len(words))
+        fold = np.flatnonzero(known < 0)
+        bucket = np.fromiter((zlib.crc32(words[i]) for i in fold.tolist()), np.int64, len(fold)) % n_buckets
+        known[fold] = -1 - bucket
+        yield rows(1, None, [block], KNOWN, block, [_pack_numbers((known & 0xFFFFFFFF).astype(np.uint32))])
+        by = np.argsort(bucket, kind="stable")
+        edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        keys, data = [], []
+        for a, b in zip(edge, [*edge[1:], len(by)], strict=True):
+            some = [words[i] for i in fold[by[a:b]].tolist()]
+            keys.append(-1 - int(bucket[by[a]]))
+            data.append(_pack_lists(np.array([len(w) for w in some]), b"".join(some)))
+        if keys:
+            yield rows(len(keys), None, keys, WORDS, block, data)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(vocabulary.pattern).findall
+        numbers, held = _Numbers(), 0
+        block = TaskContext.get().partitionId() << 32
+        for batch in bounded(batches, limit=1 << 20):
+            codes = [
+                np.fromiter(map(numbers.__getitem__, find(text) if text else ()), np.uint32)
+                for text in column(batch, "text").to_pylist()
+            ]
+            n = batch.num_rows
+            yield rows(n, [column(batch, c) for c in keep], [block] * n, DOC, block, [_pack_numbers(c) for c in codes])
+            held += sum(4 * len(c) for c in codes)
+            if len(numbers) >= max_words or held >= BLOCK_BYTES:
+                yield from finished(numbers, block)
+                numbers, held, block = _Numbers(), 0, block + 1
+        if numbers:
+            yield from finished(numbers, block)
 
+    return run
 
-_DOC, _WORDS, _FORGET = 0, 1, 2
 
+_NESTED = pa.struct([("ids", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
+_ASKED = [("bucket", pa.int64()), ("seq", pa.int32()), ("block", pa.int64()), ("asked", pa.binary())]
+_ASKED += [("words", pa.list_(_NESTED)), ("longs", pa.list_(pa.binary()))]
+CHUNK = 500
 
-def _split(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, max_words: int, long_bytes: int):
+
+def _distinct(vocabulary: Vocabulary, long_bytes: int):
+    """Per bucket its distinct words, CHUNK to a row, and for each block which of them it asked for. Rows of a bucket are
+    numbered, so that the next function can tell whether any is missing or out of order."""
     byte_ranks = np.array(vocabulary.byte_ranks(), dtype=np.int64)
     of_bytes = np.full((256, 256), NO_RANK, dtype=np.int64)
     for (left, right), rank in vocabulary.pairs.items():
         if len(vocabulary.pieces[left]) == len(vocabulary.pieces[right]) == 1:
             of_bytes[vocabulary.pieces[left][0], vocabulary.pieces[right][0]] = rank
+    schema = pa.schema(_ASKED)
 
-    def rows(kind: int, words: list[bytes]) -> pa.RecordBatch:
-        short = [w if len(w) <= long_bytes else b"" for w in words]
-        raw = np.frombuffer(b"".join(short), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int32)
+    def nested(words: list[bytes]) -> pa.Array:
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
         inner = np.ones(len(raw), dtype=bool)  # bytes followed by another one of their word
         inner[ends[1:][np.diff(ends) > 0] - 1] = False
         pair_ends = np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - 1, 0))]).astype(np.int32)
         at = np.flatnonzero(inner)
-        nested = pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ranks[raw], pa.int64())),
-                pa.ListArray.from_arrays(pa.array(pair_ends), pa.array(of_bytes[raw[at], raw[at + 1]], pa.int64())),
-            ],
-            names=["ids", "ranks"],
-        )
-        chunks = pa.array(np.unique(np.append(np.arange(0, len(words), 500), len(words))), pa.int32())
-        lists = pa.ListArray.from_arrays(chunks, nested)
-        longs = [
-            [w if len(w) > long_bytes else None for w in words[a:b]]
-            for a, b in zip(chunks.to_pylist(), chunks.to_pylist()[1:], strict=False)
-        ]
-        n = len(lists)
-        arrays = [pa.nulls(n, schema.field(c).type) for c in keep]
-        arrays += [pa.array([kind] * n, pa.int32()), lists, pa.nulls(n, pa.binary())]
-        arrays += [pa.array(longs, pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ranks[raw], pa.int64()))
+        ranks = pa.ListArray.from_arrays(pa.array(pair_ends), pa.array(of_bytes[raw[at], raw[at + 1]], pa.int64()))
+        return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays([ids, ranks], names=["ids", "ranks"]))
+
+    def row(bucket: int, seq: int, block: int | None, asked: bytes | None, words: pa.Array | None, longs) -> pa.RecordBatch:
+        words = pa.nulls(1, schema.field("words").type) if words is None else words
+        plain = zip((bucket, seq, block, asked), schema.types[:4], strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in plain), words, pa.array([longs], schema.types[5])], schema=schema)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(vocabulary.pattern).findall
-        numbers = _Numbers(vocabulary.ranks)
-        for batch in bounded(batches, limit=1 << 20):
-            codes = [
-                np.fromiter(map(numbers.__getitem__, find(text)), np.int32).tobytes() if text else b""
-                for text in column(batch, "text").to_pylist()
-            ]
-            if numbers.fresh:
-                yield rows(_WORDS, numbers.fresh)
-                numbers.fresh = []
-            n = batch.num_rows
-            arrays = [column(batch, c) for c in keep]
-            arrays += [pa.array([_DOC] * n, pa.int32()), pa.nulls(n, schema.field("__words").type)]
-            arrays += [pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-            if numbers.count >= max_words:
-                numbers = _Numbers(vocabulary.ranks)
-                arrays = [pa.nulls(1, f.type) for f in schema]
-                arrays[len(keep)] = pa.array([_FORGET], pa.int32())
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        of_bucket: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            columns = (column(batch, c).to_pylist() for c in ("__key", "__kind", "__block", "__data"))
+            for key, kind, block, data in zip(*columns, strict=True):
+                if kind == WORDS:
+                    of_bucket.setdefault(-1 - key, []).append((block, data))
+        for bucket in sorted(of_bucket):
+            numbers: dict[bytes, int] = {}
+            asked = []
+            for block, data in sorted(of_bucket.pop(bucket)):
+                ends, raw = _open_lists(data)
+                at = ends.tolist()
+                some = [numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(at, at[1:], strict=False)]
+                asked.append((block, _pack_numbers(np.array(some))))
+            words, seq = list(numbers), 0
+            for a in range(0, len(words), CHUNK):
+                some = words[a : a + CHUNK]
+                longs = [w if len(w) > long_bytes else None for w in some]
+                yield row(bucket, seq, None, None, nested([w if len(w) <= long_bytes else b"" for w in some]), longs)
+                seq += 1
+            for block, which in asked:
+                yield row(bucket, seq, block, which, None, None)
+                seq += 1
 
     return run
 
 
-def _assemble(vocabulary: Vocabulary, keep: list[str], prefix: str, ids_out: bool):
-    pieces = vocabulary.pieces
+REPLY = "__key long, __bucket long, __ids binary, __bytes binary"
+
+
+def _reply(vocabulary: Vocabulary):
+    """For each block and bucket the ids and the bytes of the words that it asked for."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = [i.to_bytes(4, "little") for i in range(len(pieces))]
-        words_ids: list[bytes] = []
-        words_bytes: list[bytes] = []
+        now, due = None, 0
+        ids: list[bytes] = []
+        decoded: list[bytes] = []
         for batch in batches:
-            kinds = column(batch, "__kind").to_pylist()
-            docs = []
-            n_tokens, ids_sha, decoded_sha, ids_all = [], [], [], []
-            merged, longs, codes = (column(batch, c) for c in ("__ids", "__long", "__codes"))
-            for r, kind in enumerate(kinds):
-                if kind == _FORGET:
-                    words_ids, words_bytes = [], []
-                elif kind == _WORDS:
-                    lists = merged[r].values
-                    flat = lists.flatten().to_numpy().astype("<u4")
-                    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
-                    data, tokens = flat.tobytes(), list(map(pieces.__getitem__, flat.tolist()))
-                    for a, b, word in zip(ends[:-1], ends[1:], longs[r].as_py(), strict=True):
-                        if word is not None:
-                            ids = merge(word, vocabulary)
-                            words_ids.append(np.array(ids, dtype="<u4").tobytes())
-                            words_bytes.append(b"".join([pieces[i] for i in ids]))
+            out: list[tuple] = []
+            columns = [column(batch, c) for c in ("bucket", "seq", "block", "asked", "ids", "bytes", "longs")]
+            for r in range(batch.num_rows):
+                bucket, seq, block, asked = (c[r].as_py() for c in columns[:4])
+                if bucket != now:
+                    now, due, ids, decoded = bucket, 0, [], []
+                if seq != due:
+                    raise RuntimeError(f"row {seq} of bucket {bucket} came where row {due} was due")
+                due += 1
+                if block is None:
+                    lists = columns[4][r].values
+                    data = lists.flatten().to_numpy().astype("<u4").tobytes()
+                    ends = np.concatenate([[0], 4 * np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+                    folded = zip(ends, ends[1:], columns[5][r].as_py(), columns[6][r].as_py(), strict=False)
+                    for a, b, text, word in folded:
+                        if word is None:
+                            ids.append(data[a:b])
+                            decoded.append(text)
                         else:
-                            words_ids.append(data[4 * a : 4 * b])
-                            words_bytes.append(b"".join(tokens[a:b]))
+                            own = merge(word, vocabulary)
+                            ids.append(np.array(own, dtype="<u4").tobytes())
+                            decoded.append(b"".join([vocabulary.pieces[i] for i in own]))
                 else:
-                    code = np.frombuffer(codes[r].as_py(), np.int32).tolist()
-                    ids = b"".join([single[c] if c >= 0 else words_ids[~c] for c in code])
-                    data = b"".join([pieces[c] if c >= 0 else words_bytes[~c] for c in code])
-                    docs.append(r)
-                    n_tokens.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    decoded_sha.append(hashlib.sha256(data).hexdigest())
-                    if ids_out:
-                        ids_all.append(np.frombuffer(ids, "<u4").astype(np.int32))
-            if docs:
-                arrays = [column(batch, c).take(pa.array(docs)) for c in keep]
-                arrays += [pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
-                names = [*keep, *(prefix + c for c in ("n_tokens", "ids_sha256", "decoded_sha256"))]
-                if ids_out:
-                    arrays.append(pa.array(ids_all, pa.list_(pa.int32())))
-                    names.append(prefix + "ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    which = _open_numbers(asked).tolist()
+                    packed = []
+                    for of in (ids, decoded):
+                        some = [of[i] for i in which]
+                        packed.append(_pack_lists(np.array([len(x) for x in some]), b"".join(some)))
+                    out.append((block, bucket, *packed))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["__key", "__bucket", "__ids", "__bytes"])
+
+    return run
+
+
+def _assemble(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, ids_out: bool):
+    """The documents of a block from its words' numbers."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = left["__kind"].to_numpy()
+        docs = left.filter(pa.array(kinds == DOC))
+        known = left.filter(pa.array(kinds == KNOWN))["__data"].to_pylist()
+        if not docs.num_rows:
+            return schema.empty_table()
+        ranks = _open_numbers(known[0]).view(np.int32) if known else np.empty(0, np.int32)
+        ids: list[bytes] = [b""] * len(ranks)
+        decoded: list[bytes] = [b""] * len(ranks)
+        for i in np.flatnonzero(ranks >= 0).tolist():
+            ids[i], decoded[i] = int(ranks[i]).to_bytes(4, "little"), vocabulary.pieces[ranks[i]]
+        folded = np.flatnonzero(ranks < 0)
+        by = folded[np.argsort(-1 - ranks[folded], kind="stable")]  # by bucket, then in order of first use
+        buckets = -1 - ranks[by]
+        answered = 0
+        for bucket, *packed in zip(*(right[c].to_pylist() for c in ("__bucket", "__ids", "__bytes")), strict=True):
+            a, b = np.searchsorted(buckets, [bucket, bucket + 1]).tolist()
+            for of, data in zip((ids, decoded), packed, strict=True):
+                ends, raw = _open_lists(data)
+                at = ends.tolist()
+                for i, start, end in zip(by[a:b].tolist(), at, at[1:], strict=False):
+                    of[i] = raw[start:end]
+            answered += b - a
+        if answered != len(by):
+            raise RuntimeError(f"{len(by) - answered} words of a block have no ids")
+        n_tokens, ids_sha, decoded_sha, ids_all = [], [], [], []
+        for data in docs["__data"].to_pylist():
+            code = _open_numbers(data).tolist()
+            own = b"".join(map(ids.__getitem__, code))
+            n_tokens.append(len(own) // 4)
+            ids_sha.append(hashlib.sha256(own).hexdigest())
+            decoded_sha.append(hashlib.sha256(b"".join(map(decoded.__getitem__, code))).hexdigest())
+            if ids_out:
+                ids_all.append(np.frombuffer(own, "<u4").astype(np.int32))
+        arrays = [docs[c] for c in docs.column_names[: len(keep)]]
+        arrays += [pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
+        arrays += [pa.array(ids_all, pa.list_(pa.int32()))] if ids_out else []
+        return pa.Table.from_arrays(arrays, schema=schema)
 
     return run
 
@@ -305,32 +438,41 @@ def encode(
     prefix: str = "",
     ids_out: bool = False,
     max_words: int = 1 << 18,
-    long_bytes: int = 256,
+    long_bytes: int = 2048,
 ) -> DataFrame:
     """`keep` columns with n_tokens, the digest of the ids (little-endian unsigned 32 bits), the digest of the bytes
     they decode to, and with `ids_out` the ids."""
-    kept = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = [T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    more = [("__key", T.LongType()), ("__kind", T.IntegerType()), ("__block", T.LongType()), ("__data", T.BinaryType())]
+    split_schema = T.StructType([*kept, *(T.StructField(k, t) for k, t in more)])
+    source = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], "text")
+    names = [f.name for f in kept]
+    split = _split(vocabulary, names, to_arrow_schema(split_schema), max_words, 4 * n)
+    # read twice, written once: both readers have the same exchange
+    dealt = source.mapInArrow(split, split_schema).repartition(n, "__key")
+
     longs = T.ArrayType(T.LongType())
     words = T.ArrayType(T.StructType([T.StructField("ids", longs), T.StructField("ranks", longs)]))
-    split_schema = T.StructType(
-        [
-            *kept,
-            T.StructField("__kind", T.IntegerType()),
-            T.StructField("__words", words),
-            T.StructField("__codes", T.BinaryType()),
-            T.StructField("__long", T.ArrayType(T.BinaryType())),
-        ]
-    )
-    source = [*keep, *(["text"] if "text" not in keep else [])]
-    arrow = to_arrow_schema(split_schema)
-    split = docs.select(*source).mapInArrow(_split(vocabulary, keep, arrow, max_words, long_bytes), split_schema)
+    plain = [("bucket", T.LongType()), ("seq", T.IntegerType()), ("block", T.LongType()), ("asked", T.BinaryType())]
+    asked_schema = T.StructType([*(T.StructField(k, t) for k, t in plain), T.StructField("words", words), T.StructField("longs", T.ArrayType(T.BinaryType()))])
+    asked = dealt.mapInArrow(_distinct(vocabulary, long_bytes), asked_schema)
     flat = rank_table(vocabulary.pairs)
     table = F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
     # bound once: the plan, and so every task, carries one copy of the literal
-    folded = _let(table, lambda t: F.transform("__words", lambda w: fold_merges(w, t, len(flat))))
+    folded = _let(table, lambda t: F.transform("words", lambda w: fold_merges(w, t, len(flat))))
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])]).tolist()
+    starts = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<int>")
+    blob = F.lit(b"".join(vocabulary.pieces))
+    decoded = _let(starts, lambda e: F.transform("ids", lambda i: pieces_of(i, blob, e)))
+    merged = asked.select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs")
+    merged = merged.select("bucket", "seq", "block", "asked", "ids", decoded.alias("bytes"), "longs")
+    replies = merged.mapInArrow(_reply(vocabulary), REPLY)
+
     extra = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     extra += [("ids", T.ArrayType(T.IntegerType()))] if ids_out else []
-    fields = [docs.schema[c] for c in keep] + [T.StructField(prefix + n, t) for n, t in extra]
-    return split.select(*keep, "__kind", folded.alias("__ids"), "__codes", "__long").mapInArrow(
-        _assemble(vocabulary, keep, prefix, ids_out), T.StructType(fields)
-    )
+    out = T.StructType([*kept, *(T.StructField(prefix + c, t) for c, t in extra)])
+    both = dealt.groupBy("__key").cogroup(replies.repartition(n, "__key").groupBy("__key"))
+    whole = both.applyInArrow(_assemble(vocabulary, names, to_arrow_schema(out), ids_out), out)
+    return whole.select(*[F.col(a).alias(b) for a, b in zip(names, keep, strict=True)], *[prefix + c for c, _ in extra])
