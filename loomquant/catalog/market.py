@@ -195,7 +195,7 @@ def every_tick(spark, d):
     return domain.ticks(spark, d).select("symbol", "ts")
 
 
-EVENTS = f"{TICKS}, ev AS (SELECT symbol, ts, price AS p0 FROM ticks WHERE ord % 7 = 0)"
+EVENTS = f"{TICKS}, ev AS (SELECT symbol, ts, price AS p0 FROM ticks)"
 BARRIERS = f"""{EVENTS}, vb AS (SELECT ev.symbol, ev.ts, ev.p0, min(t.ts) AS t1 FROM ev JOIN ticks t ON t.symbol = ev.symbol AND t.ts >= ev.ts + INTERVAL 5 HOUR GROUP BY 1, 2, 3)"""
 
 
@@ -279,7 +279,7 @@ def by_return(spark, d):
     return rounded(weights.weights_by_return(domain.spans(spark, d), close), "weight")
 
 
-UNIQUE = f"""{CONC}, uq AS (SELECT s.symbol, s.id, s.start, avg(1.0e0 / greatest(c, 1)) AS u FROM spans s JOIN conc ON conc.symbol = s.symbol AND conc.ts BETWEEN s.start AND s."end" GROUP BY 1, 2, 3)"""
+UNIQUE = f"""{CONC}, uq AS (SELECT s.symbol, s.id, s.start, round(avg(1.0e0 / greatest(c, 1)), 11) AS u FROM spans s JOIN conc ON conc.symbol = s.symbol AND conc.ts BETWEEN s.start AND s."end" GROUP BY 1, 2, 3)"""
 
 
 @C.add("weights__average_uniqueness", f"WITH {UNIQUE} SELECT symbol, id, {r('u')} AS uniqueness FROM uq")
@@ -310,7 +310,7 @@ def bar_spans(spark, d):
     return o.select(F.col("o_orderkey").alias("label"), (F.col("o_orderkey") * 3 % 2500).alias("start"), (F.col("o_orderkey") * 3 % 2500 + F.col("o_custkey") % 20).alias("end"))
 
 
-IND = """bs AS (SELECT o_orderkey AS label, o_orderkey * 3 % 2500 AS s, o_orderkey * 3 % 2500 + o_custkey % 20 AS e FROM orders WHERE o_orderkey <= 2000),
+IND = """bs AS (SELECT o_orderkey AS label, o_orderkey * 3 % 2500 AS s, o_orderkey * 3 % 2500 + o_custkey % 20 AS e FROM orders),
 ind AS (SELECT label, unnest(range(s, e + 1)) AS bar FROM bs), cnt AS (SELECT bar, count(*) AS c FROM ind GROUP BY bar)"""
 
 

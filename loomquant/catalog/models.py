@@ -127,7 +127,7 @@ def sequential(spark, d):
     f"""WITH {TICKS}, s AS (SELECT *, price - lag(price) OVER w AS c, row_number() OVER w - 1 AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, ord)),
 t AS (SELECT *, coalesce(last_value(CASE WHEN c <> 0 THEN sign(c) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, ord ROWS UNBOUNDED PRECEDING), 0) AS sg, (n // 100 + 1) * 100 - 1 AS bar_end FROM s)
 SELECT symbol, bar_end, max(ts) AS ts, {r('avg(volume)')} AS average_tick_size, {r('sum(sg)')} AS tick_rule_sum, {r('sum(price * volume) / sum(volume)')} AS vwap,
-  string_agg(CASE WHEN sg = 1 THEN 'a' WHEN sg = -1 THEN 'b' ELSE 'c' END, '' ORDER BY n) AS message FROM t WHERE bar_end < 1500 GROUP BY 1, 2""",
+  string_agg(CASE WHEN sg = 1 THEN 'a' WHEN sg = -1 THEN 'b' ELSE 'c' END, '' ORDER BY n) AS message FROM t GROUP BY 1, 2""",
 )
 def bar_features(spark, d):
     t = domain.ticks(spark, d)
@@ -631,7 +631,7 @@ def viz_regime(spark, d):
     return domain.ticks(spark, d).select("ord", frames.regime("price", 100.0).alias("regime"))
 
 
-@C.add("frames__indicator", "SELECT CAST(bar AS BIGINT) AS bar_index, max(CAST(label = 'x' AS INT)) AS x, max(CAST(label = 'y' AS INT)) AS y FROM (SELECT event_id % 50 AS bar, CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS label FROM events WHERE event_id % 7 = 0) GROUP BY 1")
+@C.add("frames__indicator", "SELECT CAST(bar AS BIGINT) AS bar_index, max(CAST(label = 'x' AS INT)) AS x, max(CAST(label = 'y' AS INT)) AS y FROM (SELECT event_id % 50 AS bar, CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS label FROM events) GROUP BY 1")
 def indicator_frame(spark, d):
     e = domain.read(spark, d, "events")
     return frames.indicator_frame(e.select((F.col("event_id") % 50).alias("bar"), F.when(F.col("user_id") % 2 == 0, "x").otherwise("y").alias("label")), ["x", "y"])

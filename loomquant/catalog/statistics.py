@@ -171,7 +171,7 @@ def tick_pairs(spark, d):
 
 @C.add(
     "codependence__distance_correlation",
-    f"""WITH {TICKS}, f AS (SELECT symbol, ord, price AS x, volume AS y FROM ticks WHERE ord % 20 = 0),
+    f"""WITH {TICKS}, f AS (SELECT symbol, ord, price AS x, volume AS y FROM ticks),
 p AS (SELECT a.symbol, a.ord AS i, b.ord AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM f a JOIN f b USING (symbol)),
 c AS (SELECT symbol, dx - avg(dx) OVER (PARTITION BY symbol, i) - avg(dx) OVER (PARTITION BY symbol, j) + avg(dx) OVER (PARTITION BY symbol) AS a,
   dy - avg(dy) OVER (PARTITION BY symbol, i) - avg(dy) OVER (PARTITION BY symbol, j) + avg(dy) OVER (PARTITION BY symbol) AS b FROM p)
@@ -203,8 +203,7 @@ def info(spark, d):
     return rounded(found, "mutual_info", "normalized_mutual_info", "variation", "normalized_variation")
 
 
-END, SADF_END = "1996-01-01", "1995-09-01"  # of the SQL only, where self-joins make the quadratic statistics slow
-LOGP = f"{OHLCV}, lp AS (SELECT symbol, ts, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ohlcv WHERE ts < TIMESTAMP '{END}')"
+LOGP = f"{OHLCV}, lp AS (SELECT symbol, ts, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ohlcv)"
 
 
 def log_prices(spark, d):
@@ -238,7 +237,7 @@ def csw_two(spark, d):
     return rounded(rounded(breaks.chu_stinchcombe_white(log_prices(spark, d), "two_sided"), "stat", digits=5), "critical_value")
 
 
-SADF_EXP = f"""WITH {OHLCV}, a AS (SELECT symbol, ln(close) AS lp, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM ohlcv WHERE ts < TIMESTAMP '{SADF_END}'),
+SADF_EXP = f"""WITH {OHLCV}, a AS (SELECT symbol, ln(close) AS lp, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM ohlcv),
 z AS (SELECT symbol, idx - 3 AS i, CAST(idx - 3 AS DOUBLE) AS x, ln(lp) AS y FROM a WHERE idx >= 3),
 c AS (SELECT symbol, i, x, y, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(x * y) OVER w AS sxy, sum(y * y) OVER w AS syy FROM z WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 q AS (SELECT e.symbol, e.i, CAST(e.i + 1 - s.i AS DOUBLE) AS n, e.sx - s.sx + s.x AS sx, e.sy - s.sy + s.y AS sy, e.sxx - s.sxx + s.x * s.x AS sxx, e.sxy - s.sxy + s.x * s.y AS sxy, e.syy - s.syy + s.y * s.y AS syy

@@ -43,3 +43,19 @@ def concurrency(points: DataFrame, spans: DataFrame, *, start: str = "start", en
     w = Window.partitionBy("_by").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     counted = marks.unionByName(moves).select("_row", F.sum("_d").over(w).alias(name))
     return counted.where(F.col("_row").isNotNull()).select("_row.*", name)
+
+
+def span_sums(spans: DataFrame, points: DataFrame, value: str, *, key: list[str], start: str = "start", end: str = "end", at: str = "ts", by: str = "symbol", open_start: bool = False) -> DataFrame:
+    """(key, total, n): sum of `value` and number of points with start <= at <= end of each span (start < at with
+    `open_start`), from running sums at both ends, so no span meets its points. Spans without points are left out."""
+    none = F.lit(None).cast(spans.select(F.struct(*key).alias("k")).schema["k"].dataType)
+    rows = points.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(at).alias("_t"), F.lit(1).alias("_o"), none.alias("_key"), F.lit(0).alias("_sign"), F.col(value).alias("_v"), F.lit(1).alias("_n"))
+    live = spans.where(F.col(start) <= F.col(end))
+    edges = [(start, 2 if open_start else 0, -1), (end, 2, 1)]  # before or after the points at the same time
+    for when, order, sign in edges:
+        edge = live.select(F.col(by).alias("_by"), F.col(when).alias("_t"), F.lit(order).alias("_o"), F.struct(*key).alias("_key"), F.lit(sign).alias("_sign"), F.lit(0.0).alias("_v"), F.lit(0).alias("_n"))
+        rows = rows.unionByName(edge)
+    w = Window.partitionBy("_by").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select("_key", "_sign", F.sum("_v").over(w).alias("_v"), F.sum("_n").over(w).alias("_n")).where(F.col("_key").isNotNull())
+    out = run.groupBy("_key").agg(F.sum(F.col("_sign") * F.col("_v")).alias("total"), F.sum(F.col("_sign") * F.col("_n")).alias("n"))
+    return out.where(F.col("n") > 0).select("_key.*", "total", "n")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timejoin import concurrency, range_join
+from .timejoin import concurrency, span_sums
 
 num_concurrent_events = concurrency
 
@@ -19,8 +19,7 @@ def weights_by_return(spans: DataFrame, close: DataFrame) -> DataFrame:
     counted = concurrency(close.select("symbol", "ts", "close"), spans)
     shares = counted.select("symbol", "ts", (F.ln(F.try_divide(F.col("close"), F.lag("close").over(w))) / F.greatest("concurrent", F.lit(1))).alias("r"))
     own = spans.select("symbol", "id", "start", "end")
-    inside = range_join(own, shares, start="start", end="end", at="ts", open_start=True)
-    raw = inside.groupBy("symbol", "id").agg(F.abs(F.sum("r")).alias("raw"))
+    raw = span_sums(own, shares, "r", key=["symbol", "id"], open_start=True).select("symbol", "id", F.abs("total").alias("raw"))
     kept = own.select("symbol", "id").join(raw, ["symbol", "id"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     total = kept.groupBy("symbol").agg(F.sum("raw").alias("t"), F.count("*").alias("n"))
     return kept.join(total, "symbol").select("symbol", "id", F.try_divide(F.col("raw") * F.col("n"), F.col("t")).alias("weight"))
@@ -30,8 +29,9 @@ def average_uniqueness(spans: DataFrame, close: DataFrame) -> DataFrame:
     """(symbol, id, start, uniqueness): mean over the span of one over the number of spans alive."""
     counted = concurrency(close.select("symbol", "ts"), spans)
     own = spans.select("symbol", "id", "start", "end")
-    inside = range_join(own, counted, start="start", end="end", at="ts")
-    mean = inside.groupBy("symbol", "id").agg(F.avg(1 / F.greatest("concurrent", F.lit(1))).alias("uniqueness"))
+    shares = counted.select("symbol", "ts", (1 / F.greatest("concurrent", F.lit(1))).alias("share"))
+    # running sums carry noise of the last digits, which must not decide ties of a later rounding
+    mean = span_sums(own, shares, "share", key=["symbol", "id"]).select("symbol", "id", F.round(F.col("total") / F.col("n"), 11).alias("uniqueness"))
     return own.select("symbol", "id", "start").join(mean, ["symbol", "id"], "left").withColumn("uniqueness", F.coalesce("uniqueness", F.lit(0.0)))
 
 
