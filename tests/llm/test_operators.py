@@ -452,15 +452,36 @@ def test_substring_dedup(docs, rows, empty):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in texts)
 
 
-def test_log_compacts(spark, docs):
+def test_index_goes_on_from_its_folder(spark, docs, rows, tmp_path):
+    """Two calls over two halves give what one call over all gives, and the second opens what the first has left."""
+    half = sorted(key(r[0]) for r in rows)[len(rows) // 2]
+    low = F.coalesce("doc_id", F.lit(-(1 << 63))) <= half
+    first = substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index")
+    got = [tuple(r) for r in first.add(docs.where(low), keep=["doc_id"]).collect()]
+    again = substring_dedup.FingerprintIndex.open(spark, f"{tmp_path}/index")
+    assert again.runs == first.runs and again.window == 50
+    got += [tuple(r) for r in substring_dedup.dedup_substrings(docs.where(~low), keep=["doc_id"], index=again).collect()]
+    assert Counter(got) == substring_brute(rows)
+    # what came earlier counts, whatever the ids: a copy under a smaller id loses its words
+    copy = docs.where("n_words = 4").select((F.col("doc_id") * 0 - 5).cast("long").alias("doc_id"), "text")
+    lost = [r for r in again.add(copy, keep=["doc_id"]).collect()]
+    assert lost and all(r["n_words"] == r["n_removed"] or r["n_words"] < 50 for r in lost)
+
+
+def test_runs_are_merged_by_tier_and_joined_as_they_lie(spark, docs):
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
-    found = index.fingerprints_of(docs).cache()
-    parts = [found.where(F.pmod("doc", F.lit(5)) == i) for i in range(5)]
-    for part in parts:
-        index.append(part)
-        assert len(index.runs) <= 2
-    want = found.groupBy("fp").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"))
-    assert index.entries().exceptAll(want).count() == 0 and want.exceptAll(index.entries()).count() == 0
+    found = index.fingerprints_of(docs).distinct().cache()
+    for i in range(5):
+        index.append(found.where(F.pmod("doc", F.lit(5)) == i))
+        assert len({r[0] for r in index.runs}) == len(index.runs)
+    assert sorted(r[0] for r in index.runs) == [0, 2]
+    assert index.entries().exceptAll(found).count() == 0 and found.exceptAll(index.entries()).count() == 0
+    for run in index.runs:
+        with index._sorted_runs():
+            joined = index._run(run).hint("merge").join(found.select("fp").distinct().hint("merge"), "fp")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+        run_side = plan[plan.index("SortMergeJoin") : plan.index("FileScan parquet")]
+        assert "Bucketed: true" in plan and "Sort [" not in run_side and "Exchange" not in run_side
 
 
 def pii_brute(text):
