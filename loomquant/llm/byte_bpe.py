@@ -198,12 +198,15 @@ class _Numbers(dict):
 DOC, KNOWN, WORDS = 0, 1, 2
 
 
+_PACKER, _OPENER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _PACKER.compress(raw)
 
 
 def _open(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+    return _OPENER.decompress(packed)
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
