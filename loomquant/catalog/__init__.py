@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import flagship, market, models, rolling, statistics
+from . import flagship, market, models, research, rolling, statistics
 
-MODULES = (flagship, market, rolling, statistics, models)
+MODULES = (flagship, market, rolling, statistics, models, research)
 
 
 def queries():

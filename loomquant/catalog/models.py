@@ -70,7 +70,7 @@ def reserve(spark, d):
 
 @C.add("bet_sizing__reserve_fit")
 def reserve_fit(spark, d):
-    fit = signals.fit_reserve(domain.spans(spark, d), runs=20)
+    fit = signals.fit_reserve(domain.spans(spark, d), runs=100)
     return spark.createDataFrame([fit], "mu1 double, mu2 double, sigma1 double, sigma2 double, p1 double")
 
 
@@ -176,23 +176,62 @@ def variance(spark, d):
     return rounded(portfolio_variance(cov, p.select("asset").distinct().withColumn("weight", F.lit(0.2))), "variance")
 
 
-def register_allocation(name: str, build):
-    @C.add(f"portfolio__{name}")
+#: Gauss-Jordan elimination of the augmented matrix [[...], ...] that `a` has as m; `x` has the list of solutions. Covariances
+#: are positive definite, so no rows have to be exchanged.
+SOLVE = """g AS (SELECT 1 AS k, m FROM a UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k
+  THEN list_transform(row, lambda v: v / m[k][k]) ELSE list_transform(row, lambda v, j: v - row[k] * m[k][j] / m[k][k]) END) FROM g WHERE k <= len(m)),
+x AS (SELECT list_transform(m, lambda row: row[-1]) AS x FROM g WHERE k = len(m) + 1)"""
+MU = "mu AS (SELECT asset, avg(ret) * 252 AS mu FROM lr GROUP BY asset)"
+
+
+def solved_sql(right: str, cov: str = COV) -> str:
+    """(n, asset, mu, s) with s the solution of cov * s = right, an expression of mu."""
+    return f"""{cov}, {MU}, rows AS (SELECT a, list_append(list(cov ORDER BY b), any_value({right})) AS row FROM cov JOIN mu ON a = mu.asset GROUP BY a),
+a AS (SELECT list(row ORDER BY a) AS m FROM rows), {SOLVE}, names AS (SELECT asset, mu, row_number() OVER (ORDER BY asset) AS n FROM mu),
+w AS (SELECT asset, mu, x[n] AS s FROM names, x)"""
+
+
+SIMPLE_COV = COV.replace("ln(price / lag(price) OVER (PARTITION BY asset ORDER BY ts))", "price / lag(price) OVER (PARTITION BY asset ORDER BY ts) - 1")
+
+
+def two_solutions_sql(cov: str) -> str:
+    """(asset, mu, si, sm, a, b, c): solutions for ones and for the means, and their products."""
+    one, mean = solved_sql("1e0", cov), solved_sql("mu", cov)
+    return f"""one AS (WITH RECURSIVE {one} SELECT * FROM w), mean AS (WITH RECURSIVE {mean} SELECT * FROM w),
+both_ AS (SELECT one.asset, one.mu, one.s AS si, mean.s AS sm FROM one JOIN mean USING (asset)),
+t AS (SELECT *, sum(si) OVER () AS a, sum(sm) OVER () AS b, sum(mu * sm) OVER () AS c FROM both_)"""
+
+
+def register_allocation(name: str, build, sql: str | None = None):
+    @C.add(f"portfolio__{name}", sql)
     def query(spark, d):
         got = build(domain.prices(spark, d))
         return rounded(got.frame(spark), "weight")
 
 
-register_allocation("min_volatility", lambda p: portfolio.allocate(p, "min_volatility", bounds=(0.0, 1.0)))
-register_allocation("max_sharpe", lambda p: portfolio.allocate(p, "max_sharpe"))
-register_allocation("efficient_risk", lambda p: portfolio.allocate(p, "efficient_risk", target_return=0.05))
-register_allocation("cla_min_volatility", lambda p: portfolio.cla_allocate(p, "min_volatility"))
+def tangent_sql(right: str, cov: str = COV) -> str:
+    return f"WITH RECURSIVE {solved_sql(right, cov)} SELECT asset, {r('s / sum(s) OVER ()')} AS weight FROM w"
+
+
+register_allocation("min_volatility", lambda p: portfolio.allocate(p, "min_volatility", bounds=(0.0, 1.0)), tangent_sql("1e0"))
+register_allocation("max_sharpe", lambda p: portfolio.allocate(p, "max_sharpe"), tangent_sql("mu"))
+register_allocation(
+    "efficient_risk",
+    lambda p: portfolio.allocate(p, "efficient_risk", target_return=0.05),
+    f"WITH {two_solutions_sql(COV)} SELECT asset, {r('((c - b * 0.05) * si + (a * 0.05 - b) * sm) / (a * c - b * b)')} AS weight FROM t",
+)
+register_allocation("cla_min_volatility", lambda p: portfolio.cla_allocate(p, "min_volatility"), tangent_sql("1e0", SIMPLE_COV))
 register_allocation("hrp", portfolio.allocate_hrp)
 for _metric in portfolio.HCAA_METRICS:
     register_allocation(f"hcaa_{_metric}", lambda p, m=_metric: portfolio.allocate_hcaa(p, m))
 
 
-@C.add("portfolio__cla_frontier")
+@C.add(
+    "portfolio__cla_frontier",
+    f"""WITH {two_solutions_sql(SIMPLE_COV)}, u AS (SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, max(mu) AS top FROM t),
+k AS (SELECT i, b / a + (top - b / a) * i / 99e0 AS m, a, b, c FROM u, range(100) r(i))
+SELECT {r('sqrt((a * m * m - 2 * b * m + c) / (a * c - b * b))')} AS volatility, {r("m")} AS "return", CAST(i AS VARCHAR) AS point_id FROM k""",
+)
 def frontier(spark, d):
     points = portfolio.cla_allocate(domain.prices(spark, d), "efficient_frontier", bounds=None)
     return rounded(frames.frontier_frame(spark, [float(p.risk) for p in points], [float(p.expected) for p in points]), "volatility", "return")
@@ -339,7 +378,15 @@ pandas_query("importance__mdi_bootstrap", lambda: learning.bootstrap_mdi(*small_
 pandas_query("importance__substitution", lambda: learning.substitution_report(validation.LinearProbability(), *small_xy(), _NAMES, _SPLITS))
 
 
-@C.add("cv__linear_probability_fit")
+NORMAL = "[1e0, q, dc, tx, ep]"
+
+
+@C.add(
+    "cv__linear_probability_fit",
+    f"""WITH RECURSIVE {XY}, v AS (SELECT {NORMAL} AS f, y FROM xy), cells AS (SELECT i, j, sum(f[i] * CASE WHEN j = 6 THEN y ELSE f[j] END) + CASE WHEN i = j THEN 1e-3 ELSE 0 END AS c
+  FROM v, range(1, 6) a(i), range(1, 7) b(j) GROUP BY 1, 2), rows AS (SELECT i, list(c ORDER BY j) AS row FROM cells GROUP BY i), a AS (SELECT list(row ORDER BY i) AS m FROM rows), {SOLVE}
+SELECT (['intercept', 'q', 'dc', 'tx', 'ep'])[n] AS name, {r('x[n]')} AS coef FROM x, range(1, 6) t(n)""",
+)
 def linear_fit(spark, d):
     coef = validation.fit_linear_probability(xy(spark, d), FEATURES, "y")
     return rounded(spark.createDataFrame([(n, float(c)) for n, c in zip(["intercept", *FEATURES], coef, strict=True)], "name string, coef double"), "coef")

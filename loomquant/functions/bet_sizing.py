@@ -98,3 +98,12 @@ def single_bet_size_mixed(c: Column, fit: tuple[float, float, float, float, floa
     """Bet size of the signed concurrency c under a fitted mixture (mu1, mu2, sigma1, sigma2, p1)."""
     at, zero = cdf_mixture(*fit, c), cdf_mixture(*fit, 0.0)
     return F.when(c >= 0, (at - zero) / (1 - zero)).otherwise((at - zero) / zero)
+
+
+def aligned(**inputs: float | list[float]) -> list[dict[str, float]]:
+    """Rows of inputs of one length; a single number goes to every row. Empty and ragged inputs are errors."""
+    lists = {k: list(v) if hasattr(v, "__len__") else [float(v)] for k, v in inputs.items()}
+    n = max((len(v) for v in lists.values()), default=0)
+    if odd := {k: len(v) for k, v in lists.items() if len(v) not in (1, n) or not v}:
+        raise ValueError(f"inputs of length {odd} beside {n}")
+    return [{k: float(v[i if len(v) > 1 else 0]) for k, v in lists.items()} for i in range(n)]

@@ -116,6 +116,14 @@ def _binned(df: DataFrame, x: str, y: str, n_bins: int, by: str) -> DataFrame:
     return df.select(by, bin_of(x).alias("bx"), bin_of(y).alias("by_")).groupBy(by, "bx", "by_").agg(F.count("*").alias("c"))
 
 
+def histogram(df: DataFrame, x: str, n_bins: int, *, by: str = "symbol") -> DataFrame:
+    """(symbol, bin, count) of all bins of equal width from the least to the greatest value, which is in the last bin; a
+    constant series is in the last bin."""
+    cells = _binned(df, x, x, n_bins, by).select(by, F.col("bx").alias("bin"), F.col("c").alias("count"))
+    grid = cells.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
+    return grid.join(cells.withColumn("bin", F.col("bin").cast("long")), [by, "bin"], "left").select(by, "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
 def histogram2d(df: DataFrame, x: str, y: str, n_bins: int, *, by: str = "symbol") -> DataFrame:
     """(symbol, bin_x, bin_y, count) of the bins that are not empty."""
     return _binned(df, x, y, n_bins, by).select(by, F.col("bx").alias("bin_x"), F.col("by_").alias("bin_y"), F.col("c").alias("count"))

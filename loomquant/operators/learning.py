@@ -46,8 +46,8 @@ def average_pairwise_correlation(predictions: DataFrame) -> DataFrame:
 
 
 def bootstrap_indices(spark, n: int, size: int, seed: int) -> DataFrame:
-    """(draw, idx) with replacement."""
-    return spark.range(size).select(F.col("id").alias("draw"), F.floor(F.rand(seed) * n).alias("idx"))
+    """(draw, idx) with replacement; a draw depends on the seed and its number only."""
+    return spark.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("idx"))
 
 
 def bagging_regression(bags: DataFrame, rows: DataFrame) -> DataFrame:

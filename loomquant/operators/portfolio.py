@@ -197,6 +197,84 @@ def cla_allocate(prices: DataFrame, solution: str = "cla_turning_points", *, bou
     raise ValueError(f"unknown solution {solution!r}")
 
 
+@dataclass
+class TurningPoint:
+    """Weights at a value of lambda (risk tolerance) where an asset enters or leaves a bound."""
+
+    weights: np.ndarray
+    tolerance: float
+    free: list[int] = field(default_factory=list)
+
+
+def critical_line(mu: np.ndarray, cov: np.ndarray, bounds: np.ndarray, tol: float = 1e-10) -> list[TurningPoint]:
+    """All turning points of the bounded frontier, from the largest mean down to the least variance. On a segment the
+    weights of the free assets are affine in lambda, so the next event is the largest lambda below at which a free asset
+    meets a bound or a bound asset wants to leave it. Points that a rounding error has put off the budget or the bounds are
+    left out."""
+    lower, upper = bounds[:, 0], bounds[:, 1]
+    if not np.isfinite(bounds).all() or (lower > upper).any() or lower.sum() > 1 or upper.sum() < 1:
+        raise ValueError("the bounds leave no weights that sum to 1")
+    n = len(mu)
+    w = lower.astype(float).copy()
+    free: list[int] = []
+    for i in np.argsort(-mu, kind="stable").tolist():  # the largest mean that the bounds allow
+        room = 1 - w.sum()
+        if room <= tol:
+            break
+        w[i] += min(room, upper[i] - lower[i])
+        free = [i]
+    points = [TurningPoint(w.copy(), np.inf, list(free))]
+
+    def line(held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Free weights as base + lambda * slope."""
+        inverse = np.linalg.inv(cov[np.ix_(held, held)])
+        rest = [i for i in range(n) if i not in held]
+        one = np.ones(len(held))
+        fixed = inverse @ cov[np.ix_(held, rest)] @ w[rest] if rest else np.zeros(len(held))
+        total = one @ inverse @ one
+        base = -fixed + inverse @ one * (1 - w[rest].sum() + fixed.sum()) / total
+        slope = inverse @ mu[held] - inverse @ one * (one @ inverse @ mu[held]) / total
+        return base, slope
+
+    now = np.inf
+    for _ in range(20 * n + 20):
+        best: tuple[float, int, float | None] = (0.0, -1, None)
+        base, slope = line(free)
+        if len(free) > 1:
+            for k, i in enumerate(free):
+                if abs(slope[k]) > tol:
+                    bound = lower[i] if slope[k] > 0 else upper[i]
+                    at = (bound - base[k]) / slope[k]
+                    if tol < at < now - tol and at > best[0]:
+                        best = (at, i, float(bound))
+        for i in (i for i in range(n) if i not in free and upper[i] - lower[i] > tol):
+            b, s = line([*free, i])
+            if abs(s[-1]) > tol:
+                at = (w[i] - b[-1]) / s[-1]
+                if tol < at < now - tol and at > best[0]:
+                    best = (at, i, None)
+        at, i, bound = best
+        w[free] = base + at * slope
+        if i < 0:  # least variance
+            points.append(TurningPoint(w.copy(), 0.0, list(free)))
+            break
+        now = at
+        if bound is None:
+            free = [*free, i]
+        else:
+            w[i] = bound
+            free = [f for f in free if f != i]
+        points.append(TurningPoint(w.copy(), at, list(free)))
+    kept = [p for p in points if abs(p.weights.sum() - 1) < 1e-6 and (p.weights >= lower - 1e-6).all() and (p.weights <= upper + 1e-6).all()]
+    return [p for k, p in enumerate(kept) if k == 0 or p.weights @ mu <= kept[k - 1].weights @ mu + 1e-12]
+
+
+def min_variance_bounded(cov: np.ndarray, bounds: np.ndarray, mu: np.ndarray | None = None) -> np.ndarray:
+    """The bounded weights of least variance: the last turning point."""
+    means = np.arange(len(cov), 0, -1.0) * 1e-3 if mu is None else mu
+    return critical_line(means, cov, bounds)[-1].weights
+
+
 # Hierarchies
 
 

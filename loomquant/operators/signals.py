@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bet_sizing import discrete_signal, get_signal, single_bet_size_mixed
-from ..functions.normal import norm_cdf
+from ..functions.normal import norm_cdf, norm_ppf
 from .timejoin import concurrency
 
 
@@ -53,27 +53,29 @@ def fit_two_normals(values: np.ndarray, counts: np.ndarray, *, runs: int = 100,
     several starts."""
     rng = np.random.default_rng(seed)
     w = counts / counts.sum()
-    mean, sd = (w * values).sum(), np.sqrt((w * (values - (w * values).sum()) ** 2).sum()) or 1.0
-    best = None
-    for _ in range(runs):
-        mu, sigma, p = rng.choice(values, 2) + rng.normal(0, 0.1 * sd, 2), np.array([sd, sd]), float(rng.uniform(0.3, 0.7))
-        last = -np.inf
-        for _ in range(iterations):
-            z = (values[:, None] - mu) / sigma
-            dens = np.exp(-0.5 * z * z) / (sigma * np.sqrt(2 * np.pi)) * np.array([p, 1 - p])
-            total = dens.sum(axis=1) + 1e-300
-            ll = float((w * np.log(total)).sum())
-            share = dens / total[:, None] * w[:, None]
-            mass = share.sum(axis=0) + 1e-300
-            mu = (share * values[:, None]).sum(axis=0) / mass
-            sigma = np.maximum(np.sqrt((share * (values[:, None] - mu) ** 2).sum(axis=0) / mass), 1e-4 * sd)
-            p = float(mass[0] / mass.sum())
-            if abs(ll - last) < epsilon:
-                break
-            last = ll
-        if best is None or ll > best[0]:
-            best = (ll, mu, sigma, p)
-    _, mu, sigma, p = best
+    sd = np.sqrt((w * (values - (w * values).sum()) ** 2).sum()) or 1.0
+    mu = rng.choice(values, (runs, 2)) + rng.normal(0, 0.1 * sd, (runs, 2))
+    sigma, p = np.full((runs, 2), sd), rng.uniform(0.3, 0.7, runs)
+    last, going = np.full(runs, -np.inf), np.ones(runs, dtype=bool)
+    v, share_of = values[None, :, None], w[None, :, None]
+    for _ in range(iterations):  # all starts at once; one that has settled is left as it is
+        m, s = mu[going, None, :], sigma[going, None, :]
+        z = (v - m) / s
+        dens = np.exp(-0.5 * z * z) / (s * np.sqrt(2 * np.pi)) * np.stack([p[going], 1 - p[going]], axis=1)[:, None, :]
+        total = dens.sum(axis=2) + 1e-300
+        ll = (w * np.log(total)).sum(axis=1)
+        share = dens / total[:, :, None] * share_of
+        mass = share.sum(axis=1) + 1e-300
+        mu[going] = (share * v).sum(axis=1) / mass
+        sigma[going] = np.maximum(np.sqrt((share * (v - mu[going, None, :]) ** 2).sum(axis=1) / mass), 1e-4 * sd)
+        p[going] = mass[:, 0] / mass.sum(axis=1)
+        settled = np.abs(ll - last[going]) < epsilon
+        last[going] = ll
+        going[np.flatnonzero(going)[settled]] = False
+        if not going.any():
+            break
+    best = int(np.argmax(last))
+    mu, sigma, p = mu[best], sigma[best], float(p[best])
     order = np.argsort(mu)
     return float(mu[order[0]]), float(mu[order[1]]), float(sigma[order[0]]), float(sigma[order[1]]), p if order[0] == 0 else 1 - p
 
@@ -103,8 +105,10 @@ def strategy_failure(outcomes: DataFrame, *, target_sharpe: float, years: float,
     base = base.withColumn("needed", implied_precision_asymmetric(F.lit(target_sharpe), F.col("frequency"), F.col("win"), F.col("loss")))
     size = F.greatest(F.lit(1.0), F.floor(F.col("frequency") * horizon))
     drawn = base.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    # normal limit of the binomial share, cut to [0, 1]
-    noise = F.sqrt(F.col("precision") * (1 - F.col("precision")) / size) * F.randn(seed)
+    # normal limit of the binomial share, cut to [0, 1]; a draw depends on seed, symbol and number only, not on partitions
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "symbol", "_i"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = drawn.withColumn("_u", uniform)
+    noise = F.sqrt(F.col("precision") * (1 - F.col("precision")) / size) * norm_ppf("_u")
     drawn = drawn.withColumn("_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("precision") + noise)))
     keys = ["symbol", "win", "loss", "precision", "frequency", "needed"]
     moments = drawn.groupBy("symbol").agg(F.greatest(1.06 * F.stddev_samp("_p") * draws**-0.2, F.lit(1e-3)).alias("_h"))

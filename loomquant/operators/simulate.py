@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +86,20 @@ def no_stable_optimum(surface: DataFrame, phi: float, *, min_gap: float = 0.1, m
     return s.select((F.col("best") - F.col("median")).alias("gap"), "std", (flat | F.lit(abs(phi) >= near_walk)).alias("no_stable_optimum"))
 
 
+def otr_workflow(prices: DataFrame, *, n_paths: int, horizon: int, profit: list[float], stop: list[float], max_holding: int, seed: int = 0) -> tuple[OuParams, DataFrame, DataFrame, DataFrame]:
+    """Calibrates one symbol's prices (symbol, ts, price), simulates paths from its equilibrium and searches the mesh of
+    barriers. Returns the parameters, the surface, its best rule and whether there is a stable optimum."""
+    fits = calibrate_ou(prices).limit(2).collect()
+    if len(fits) != 1:
+        raise ValueError("the workflow takes the prices of one symbol")
+    fit = fits[0]
+    if not fit["stationary"]:
+        raise ValueError("the prices do not revert to a mean")
+    params = OuParams(fit["phi"], fit["equilibrium"], fit["sigma"])
+    surface = rule_surface(ou_paths(prices.sparkSession, params, params.equilibrium, n_paths, horizon, seed), profit, stop, max_holding)
+    return params, surface, best_rule(surface), no_stable_optimum(surface, params.phi)
+
+
 # Two-normal mixtures from moments
 
 
@@ -151,10 +166,10 @@ def fit_moments(moments: list[float], *, epsilon: float = 1e-5, factor: float =
     sd = math.sqrt(max(centered_moment(moments, 2), 0.0))
     best: list[tuple[float, ...]] = []
     least = math.inf
-    for i in range(1, max(2, int(1 / max(epsilon, 1e-4)))):
-        mu2, p = moments[0] + i * max(epsilon, 1e-4) * factor * sd, float(rng.uniform(0, 1))
+    for i in range(1, max(2, int(1 / epsilon))):
+        mu2, p = moments[0] + i * epsilon * factor * sd, float(rng.uniform(0, 1))
         found = None
-        for _ in range(min(max_iter, 200)):
+        for _ in range(max_iter):
             nxt = _step(moments, mu2, p, variant == 2)
             if nxt is None:
                 break
@@ -330,3 +345,25 @@ def run_parallel(spark: SparkSession, atoms: list, callback: Callable[[list], fl
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([float(callback(atoms[r["a"] : r["b"]]))])], ["part", "value"])
 
     return [r["value"] for r in table.mapInArrow(run, "part int, value double").orderBy("part").collect()]
+
+
+@dataclass
+class Dispatched:
+    """A parallel run that goes on in the background."""
+
+    future: Future
+
+    def is_finished(self) -> bool:
+        return self.future.done()
+
+    def wait(self, timeout: float | None = None) -> list[float]:
+        """Results in order; an error of a part is raised here."""
+        return self.future.result(timeout)
+
+
+def dispatch(spark: SparkSession, atoms: list, callback: Callable[[list], float], *, parts: int = 8, strategy: str = "linear") -> Dispatched:
+    """run_parallel on a thread of its own; Spark schedules its job beside others."""
+    pool = ThreadPoolExecutor(1)
+    future = pool.submit(run_parallel, spark, atoms, callback, parts=parts, strategy=strategy)
+    pool.shutdown(wait=False)
+    return Dispatched(future)

@@ -128,8 +128,7 @@ def average_holding_period(positions: DataFrame, *, value: str = "position") ->
 
 
 def quantile_higher(df: DataFrame, value: str, q: float, *, by: str = "symbol", name: str = "quantile") -> DataFrame:
-    """(symbol, quantile): the value at rank ceil(q (n - 1)) from 0. Only the q share of the rows at the nearer end is
-    ranked."""
+    """(symbol, quantile): the value at rank ceil(q (n - 1)) from 0, by one sort of each symbol."""
     if not 0 <= q <= 1:
         raise ValueError("q must be within [0, 1]")
     w = Window.partitionBy(by)

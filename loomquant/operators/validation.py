@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 
 
 def train_times(spans: DataFrame, tests: DataFrame) -> DataFrame:
-    """Training spans (start, end) that neither start in, end in, nor envelop a test span: an anti join on the overlap
-    after tests have been merged into disjoint intervals, so that each span looks at one interval only."""
-    w = Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("end").over(w)
-    group = F.sum(F.coalesce((F.col("start") > F.col("_top")).cast("int"), F.lit(1))).over(Window.orderBy("start", "end"))
-    merged = tests.select("start", "end", top.alias("_top")).withColumn("_g", group).groupBy("_g").agg(F.min("start").alias("_s"), F.max("end").alias("_e"))
-    clash = (F.col("start") <= F.col("_e")) & (F.col("end") >= F.col("_s"))
-    few = merged.count() <= 100_000
-    return spans.join(F.broadcast(merged) if few else merged, clash, "left_anti")
+    """Training spans (start, end) that neither start in, end in, nor envelop a test span. A span overlaps a test span if
+    some test span that starts by its end reaches to its start, and the tests by a time reach as far as their greatest end
+    so far: one running maximum over both sides in order of time, and no span meets a test span. The axis (timestamps) is cut
+    into days; what reaches into a day from before it is a running maximum over the days, which are few and broadcast."""
+    day = F.date_trunc("day", F.col("_t"))
+    sides = tests.where(F.col("start") <= F.col("end")).select(F.col("start").alias("_t"), F.lit(0).alias("_k"), F.col("end").alias("_reach"))
+    row = F.struct(*spans.columns)
+    marks = spans.select(F.col("end").alias("_t"), F.lit(1).alias("_k"), row.alias("_row"))
+    sides = sides.withColumn("_row", F.lit(None).cast(marks.schema["_row"].dataType))
+    both = sides.unionByName(marks, allowMissingColumns=True).withColumn("_day", day)
+    reach = both.where("_k = 0").groupBy("_day").agg(F.max("_reach").alias("_reach"))
+    before = F.max("_reach").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = both.select("_day").distinct().join(reach, "_day", "left").select("_day", before.alias("_before"))
+    run = F.max("_reach").over(Window.partitionBy("_day").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("_run", run).where("_k = 1").join(F.broadcast(days), "_day")
+    far = F.greatest("_run", "_before")
+    return inside.where(far.isNull() | (far < F.col("_row.start"))).select("_row.*")
 
 
 def fold_of(n: int, folds: int) -> np.ndarray:
@@ -62,14 +70,18 @@ def purged_kfold(starts: np.ndarray, ends: np.ndarray, folds: int, pct_embargo:
 
 
 def walk_forward(starts: np.ndarray, ends: np.ndarray, min_train: int, test_size: int, step: int, pct_embargo: float = 0.0) -> Splits:
-    """Growing training sets before test windows that step ahead."""
+    """Growing training sets before test windows that step ahead; the last window may be shorter."""
+    if min_train < 1 or test_size < 1 or step < 1:
+        raise ValueError("training size, test size and step are at least 1")
     n, out = len(starts), []
     embargo = math.ceil(pct_embargo * n)
-    for begin in range(min_train, n - test_size + 1, step):
+    for begin in range(min_train, n, step):
         test = np.zeros(n, dtype=bool)
         test[begin : begin + test_size] = True
         keep = purge(starts, ends, test, embargo)
         keep[begin:] = False
+        if not keep.any():
+            raise ValueError(f"purging leaves nothing to train on before row {begin}")
         out.append((np.flatnonzero(keep), np.flatnonzero(test)))
     return out
 
@@ -117,6 +129,46 @@ def run_splits(spark: SparkSession, splits: Splits, evaluate: Callable[[np.ndarr
     return table.mapInArrow(run, "split int, idx long, ret double")
 
 
+Evaluator = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def run_walk_forward(spark: SparkSession, starts: np.ndarray, ends: np.ndarray, evaluate: Evaluator, notes: dict[str, str], *, min_train: int, test_size: int, step: int, pct_embargo: float = 0.0) -> DataFrame:
+    """(split, n, mean, std, sharpe, trained) of each window of a walk-forward backtest."""
+    check_safeguards(notes)
+    return _with_sizes(spark, walk_forward(starts, ends, min_train, test_size, step, pct_embargo), evaluate)
+
+
+def run_cross_validation(spark: SparkSession, starts: np.ndarray, ends: np.ndarray, evaluate: Evaluator, notes: dict[str, str], *, folds: int, pct_embargo: float = 0.0) -> DataFrame:
+    """(split, n, mean, std, sharpe, trained) of each purged fold."""
+    check_safeguards(notes)
+    return _with_sizes(spark, purged_kfold(starts, ends, folds, pct_embargo), evaluate)
+
+
+def _with_sizes(spark: SparkSession, splits: Splits, evaluate: Evaluator) -> DataFrame:
+    sizes = spark.createDataFrame([(i, len(train)) for i, (train, _) in enumerate(splits)], "split int, trained long")
+    return summarize(run_splits(spark, splits, evaluate)).join(F.broadcast(sizes), "split")
+
+
+def path_distribution(returns: DataFrame, n: int, groups: int, paths: list[dict[int, int]]) -> DataFrame:
+    """(path, n, mean, std, sharpe) of combinatorial paths: each path strings together, group by group, the returns
+    (split, idx, ret) of the split that it takes the group from."""
+    spark = returns.sparkSession
+    group = fold_of(n, groups)
+    edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
+    rows = [(p, s, edges[g], edges[g + 1]) for p, taken in enumerate(paths) for g, s in taken.items()]
+    pieces = F.broadcast(spark.createDataFrame(rows, "path int, split int, a long, b long"))
+    joined = returns.join(pieces, "split").where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b")))
+    return summarize(joined.select(F.col("path").alias("split"), "ret")).withColumnRenamed("split", "path")
+
+
+def run_cpcv(spark: SparkSession, starts: np.ndarray, ends: np.ndarray, evaluate: Evaluator, notes: dict[str, str], *, groups: int, test_groups: int, pct_embargo: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Split summaries and the distribution of the Sharpe ratio over paths."""
+    check_safeguards(notes)
+    splits, _, paths = cpcv(starts, ends, groups, test_groups, pct_embargo)
+    returns = run_splits(spark, splits, evaluate)
+    return summarize(returns), path_distribution(returns, len(starts), groups, paths)
+
+
 SAFEGUARDS = ("hypothesis", "data_window", "selection_bias", "costs", "leakage")
 
 
@@ -184,8 +236,20 @@ def draw_params(space: dict[str, tuple], n: int, seed: int) -> list[dict]:
     return out
 
 
+def cross_val_scores(spark: SparkSession, build: Callable[[], object], x: np.ndarray, y: np.ndarray, splits: Splits, scoring: str = "neg_log_loss", weight: np.ndarray | None = None) -> DataFrame:
+    """(split, score) of one model, a task for each split."""
+    return _scores(spark, lambda _: build(), [{}], x, y, splits, scoring, weight).select("split", "score")
+
+
 def search(spark: SparkSession, build: Callable[[dict], object], params: list[dict], x: np.ndarray, y: np.ndarray, splits: Splits, scoring: str = "neg_log_loss", weight: np.ndarray | None = None) -> tuple[dict, DataFrame]:
-    """Scores every parameter set on every split, one task for each pair; the best mean score wins, the last on ties."""
+    """Scores every parameter set on every split; the best mean score wins, the last on ties."""
+    means = _scores(spark, build, params, x, y, splits, scoring, weight).groupBy("params").agg(F.avg("score").alias("score"))
+    best = max(means.collect(), key=lambda r: (r["score"], r["params"]))
+    return params[best["params"]], means
+
+
+def _scores(spark: SparkSession, build: Callable[[dict], object], params: list[dict], x: np.ndarray, y: np.ndarray, splits: Splits, scoring: str, weight: np.ndarray | None) -> DataFrame:
+    """(params, split, score): one task for each pair."""
     pairs = [(i, j) for i in range(len(params)) for j in range(len(splits))]
     table = spark.createDataFrame(pairs, "params int, split int").repartition(max(1, len(pairs)), "params", "split")
 
@@ -198,10 +262,7 @@ def search(spark: SparkSession, build: Callable[[dict], object], params: list[di
                 value = score(y[test], model.predict_proba(x[test]), scoring, None if weight is None else weight[test])
                 yield pa.RecordBatch.from_arrays([pa.array([r["params"]], pa.int32()), pa.array([r["split"]], pa.int32()), pa.array([value])], ["params", "split", "score"])
 
-    scores = table.mapInArrow(run, "params int, split int, score double")
-    means = scores.groupBy("params").agg(F.avg("score").alias("score"))
-    best = max(means.collect(), key=lambda r: (r["score"], r["params"]))
-    return params[best["params"]], means
+    return table.mapInArrow(run, "params int, split int, score double")
 
 
 class LinearProbability:

@@ -46,6 +46,16 @@ class WarningState:
         self.counts: dict[int, int] = {}
         self.squares = 0
 
+    @property
+    def completed_buckets(self) -> int:
+        """Full buckets in the window."""
+        return len(self.buckets)
+
+    @property
+    def window_length(self) -> int:
+        """Events in the venue window."""
+        return len(self.venues)
+
     def vpin(self, buy: float, sell: float) -> float | None:
         """One event may fill several buckets; the imbalance is summed over the pieces."""
         c = self.config
