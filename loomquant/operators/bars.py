@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.ohlcv import clean_ohlcv, interval_seconds
-from .ordered import add_columns
+from .ordered import scan
 
 ORDER = ["ts", "ord"]
 
@@ -18,75 +18,107 @@ def _positive(value: float, name: str) -> None:
         raise ValueError(f"{name} must be finite and positive")
 
 
-def resetting_sum_bars(values: np.ndarray, threshold: float) -> np.ndarray:
-    """Bar of each row: a bar closes with the row on which its sum reaches the threshold, and the next starts at 0. The
-    trailing partial bar is -1."""
-    out = np.full(len(values), -1, dtype=np.int64)
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    start, bar = 0, 0
-    while start < len(values):
-        end = int(np.searchsorted(total[1:], total[start] + threshold, "left"))
-        end = max(end, start)
-        if end >= len(values):
-            break
-        out[start : end + 1] = bar
-        start, bar = end + 1, bar + 1
-    return out
-
-
-def time_bar_ids(stamps_us: np.ndarray, interval_us: int) -> np.ndarray:
-    """A bar starts with its first trade; the trade at or after the interval closes it and belongs to it. The trailing
-    partial bar stays."""
-    out = np.empty(len(stamps_us), dtype=np.int64)
-    start, bar = 0, 0
-    while start < len(stamps_us):
-        end = int(np.searchsorted(stamps_us, stamps_us[start] + interval_us, "left"))
-        end = min(max(end, start + 1), len(stamps_us) - 1) if end < len(stamps_us) else len(stamps_us) - 1
-        out[start : end + 1] = bar
-        start, bar = end + 1, bar + 1
-    return out
-
-
-def run_bar_ids(prices: np.ndarray, length: int) -> np.ndarray:
-    """Closes after `length` ticks in a row in one direction; a zero tick keeps the direction; each bar starts anew."""
-    out = np.full(len(prices), -1, dtype=np.int64)
-    step = np.sign(np.diff(prices, prepend=prices[:1]))
-    start, bar, run, sign = 0, 0, 0, 0.0
-    for i in range(len(prices)):
-        if i > start:
-            s = step[i] or sign
-            if s:
-                run = run + 1 if s == sign else 1
-                sign = s
-        if run >= length:
-            out[start : i + 1] = bar
-            start, bar, run, sign = i + 1, bar + 1, 0, 0.0
-    return out
-
-
-def imbalance_bar_ids(prices: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
-    """Closes when the signed weights of a bar reach the threshold; a bar's first trade counts 0."""
-    out = np.full(len(prices), -1, dtype=np.int64)
-    step = np.sign(np.diff(prices, prepend=prices[:1]))
-    start, bar, total, sign = 0, 0, 0.0, 0.0
-    for i in range(len(prices)):
-        if i > start:
-            sign = step[i] or sign
-            total += sign * weights[i]
-        if abs(total) >= threshold:
-            out[start : i + 1] = bar
-            start, bar, total, sign = i + 1, bar + 1, 0.0, 0.0
-    return out
-
-
-def _with_ids(ticks: DataFrame, ids) -> DataFrame:
+class SumBars:
+    """Bars of rows whose sum reaches the threshold: the row that reaches it closes the bar, and the next starts at 0."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.bar, self.carried = threshold, 0, 0.0
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bar of each row, and whether the row closes it."""
+        n = len(values)
+        bars, closes = np.empty(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        total = np.concatenate([[0.0], np.cumsum(values)])
+        at = 0
+        while at < n:
+            end = int(np.searchsorted(total[at + 1 :], total[at] + self.threshold - self.carried, "left")) + at
+            bars[at : end + 1] = self.bar
+            if end >= n:
+                self.carried += float(total[n] - total[at])
+                break
+            closes[end] = True
+            at, self.bar, self.carried = end + 1, self.bar + 1, 0.0
+        return bars, closes
+
+
+class TimeBars:
+    """A bar starts with its first trade; the trade at or after the interval closes it and belongs to it."""
+
+    def __init__(self, interval_us: int):
+        self.interval, self.bar, self.began = interval_us, 0, None
+
+    def __call__(self, stamps_us: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, at = len(stamps_us), 0
+        bars = np.empty(n, dtype=np.int64)
+        while at < n:
+            after = at
+            if self.began is None:
+                self.began, after = int(stamps_us[at]), at + 1
+            end = after + int(np.searchsorted(stamps_us[after:], self.began + self.interval, "left"))
+            bars[at : end + 1] = self.bar
+            if end >= n:
+                break
+            at, self.bar, self.began = end + 1, self.bar + 1, None
+        return bars, np.ones(n, dtype=bool)  # the last bar stays as it is
+
+
+class SignedBars:
+    """Bars that follow the direction of prices; a zero tick keeps the direction, each bar starts anew with a trade that
+    counts nothing. `length` closes after so many ticks in a row in one direction, `threshold` when signed weights reach it."""
+
+    def __init__(self, *, length: int | None = None, threshold: float = 0.0):
+        self.length, self.threshold = length, threshold
+        self.bar, self.before, self.fresh = 0, None, True
+        self.sign = self.total = 0.0
+        self.run = 0
+
+    def __call__(self, prices: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        n = len(prices)
+        bars, closes = np.empty(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        step = np.sign(np.diff(prices, prepend=prices[0] if self.before is None else self.before))
+        self.before = prices[-1]
+        for i in range(n):
+            bars[i] = self.bar
+            if not self.fresh:
+                direction = step[i] or self.sign
+                if direction:
+                    self.run = self.run + 1 if direction == self.sign else 1
+                    self.sign = direction
+                if weights is not None:
+                    self.total += direction * weights[i]
+            self.fresh = False
+            if self.run >= self.length if self.length is not None else abs(self.total) >= self.threshold:
+                closes[i] = True
+                self.bar, self.fresh = self.bar + 1, True
+                self.sign = self.total = 0.0
+                self.run = 0
+        return bars, closes
+
+
+def _with_ids(ticks: DataFrame, start, values) -> DataFrame:
+    """Ticks with the bar they are in and whether they close it. `values` picks what the kernel sees."""
     narrow = ticks.select("symbol", "ts", "ord", "price", "volume")
-    marked = add_columns(narrow, lambda c: {"bar_id": ids(c)}, {"bar_id": T.LongType()}, by=["symbol"], order=ORDER)
-    return marked.where(F.col("bar_id") >= 0)
 
+    def kernel():
+        state = start()
 
-def build_bars(marked: DataFrame) -> DataFrame:
-    """Canonical bars of ticks with a bar_id."""
+        def step(c):
+            bars, closes = state(*values(c))
+            return {"bar_id": bars, "closes": closes}
+
+        return step
+
+    return scan(narrow, kernel, {"bar_id": T.LongType(), "closes": T.BooleanType()}, by=["symbol"], order=ORDER)
+
+
+def build_closed_bars(marked: DataFrame) -> DataFrame:
+    """Bars of ticks with bar_id and closes; a bar that no tick closes is left out."""
+    closed = build_bars(marked, F.max("closes").alias("_closed"))
+    return closed.where("_closed").drop("_closed")
+
+
+def build_bars(marked: DataFrame, *more) -> DataFrame:
+    """Canonical bars of ticks with a bar_id, with `more` aggregates."""
     at = F.struct("ts", "ord")
     bars = marked.groupBy("symbol", "bar_id").agg(
         F.max("ts").alias("ts"),
@@ -98,6 +130,7 @@ def build_bars(marked: DataFrame) -> DataFrame:
         F.min("ts").alias("start_ts"),
         F.count("*").alias("n_obs"),
         F.sum(F.col("price") * F.col("volume")).alias("dollar_value"),
+        *more,
     )
     return bars.withColumn("adj_close", F.col("close"))
 
@@ -113,22 +146,22 @@ def tick_bars(ticks: DataFrame, n: int) -> DataFrame:
 
 def volume_bars(ticks: DataFrame, volume: float) -> DataFrame:
     _positive(volume, "volume per bar")
-    return build_bars(_with_ids(ticks, lambda c: resetting_sum_bars(c["volume"], volume)))
+    return build_closed_bars(_with_ids(ticks, lambda: SumBars(volume), lambda c: (c["volume"],)))
 
 
 def dollar_bars(ticks: DataFrame, value: float) -> DataFrame:
     _positive(value, "dollar value per bar")
-    return build_bars(_with_ids(ticks, lambda c: resetting_sum_bars(c["price"] * c["volume"], value)))
+    return build_closed_bars(_with_ids(ticks, lambda: SumBars(value), lambda c: (c["price"] * c["volume"],)))
 
 
 def time_bars(ticks: DataFrame, interval: str = "1d") -> DataFrame:
     micros = interval_seconds(interval) * 1_000_000
-    return build_bars(_with_ids(ticks, lambda c: time_bar_ids(c["ts"].astype("datetime64[us]").astype(np.int64), micros)))
+    return build_closed_bars(_with_ids(ticks, lambda: TimeBars(micros), lambda c: (c["ts"].astype("datetime64[us]").astype(np.int64),)))
 
 
 def run_bars(ticks: DataFrame, length: int) -> DataFrame:
     _positive(length, "run length")
-    return build_bars(_with_ids(ticks, lambda c: run_bar_ids(c["price"], length)))
+    return build_closed_bars(_with_ids(ticks, lambda: SignedBars(length=length), lambda c: (c["price"],)))
 
 
 def imbalance_bars(ticks: DataFrame, threshold: float, kind: str = "tick") -> DataFrame:
@@ -140,7 +173,7 @@ def imbalance_bars(ticks: DataFrame, threshold: float, kind: str = "tick") -> Da
     }
     if kind not in weights:
         raise ValueError(f"unknown imbalance {kind!r}")
-    return build_bars(_with_ids(ticks, lambda c: imbalance_bar_ids(c["price"], weights[kind](c), threshold)))
+    return build_closed_bars(_with_ids(ticks, lambda: SignedBars(threshold=threshold), lambda c: (c["price"], weights[kind](c))))
 
 
 def _as_ticks(ohlcv: DataFrame, ordinal: str | None) -> DataFrame:

@@ -7,22 +7,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import add_columns
+from .ordered import scan
 
 
-def cusum_flags(close: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+class Cusum:
     """Symmetric CUSUM of log returns; only the side that is breached starts again, the lower one is looked at first."""
-    out = np.zeros(len(close), dtype=bool)
-    up = down = 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):  # prices of 0 give steps without a size
-        returns = np.nan_to_num(np.diff(np.log(close), prepend=np.nan), nan=0.0, posinf=0.0, neginf=0.0)
-    for i in range(1, len(close)):
-        up, down = max(0.0, up + returns[i]), min(0.0, down + returns[i])
-        if down < -threshold[i]:
-            down, out[i] = 0.0, True
-        elif up > threshold[i]:
-            up, out[i] = 0.0, True
-    return out
+
+    def __init__(self) -> None:
+        self.up = self.down = 0.0
+        self.before = np.nan
+
+    def __call__(self, close: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(close), dtype=bool)
+        with np.errstate(divide="ignore", invalid="ignore"):  # prices of 0 give steps without a size
+            logs = np.log(close)
+            returns = np.nan_to_num(np.diff(logs, prepend=self.before), nan=0.0, posinf=0.0, neginf=0.0)
+        first = np.isnan(self.before)
+        self.before = logs[-1]
+        up, down = self.up, self.down
+        for i in range(1 if first else 0, len(close)):
+            up, down = max(0.0, up + returns[i]), min(0.0, down + returns[i])
+            if down < -threshold[i]:
+                down, out[i] = 0.0, True
+            elif up > threshold[i]:
+                up, out[i] = 0.0, True
+        self.up, self.down = up, down
+        return out
 
 
 def cusum_filter(prices: DataFrame, threshold: float | str) -> DataFrame:
@@ -31,13 +41,18 @@ def cusum_filter(prices: DataFrame, threshold: float | str) -> DataFrame:
         raise ValueError("threshold must be finite and positive")
     columns = ["symbol", "ts", "ord", "close", *([threshold] if isinstance(threshold, str) else [])]
 
-    def kernel(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        h = c[threshold] if isinstance(threshold, str) else np.full(len(c["close"]), threshold)
-        if np.isnan(h.astype(float)).any():
-            raise ValueError("missing threshold")
-        return {"fires": cusum_flags(c["close"], h)}
+    def start():
+        state = Cusum()
+
+        def step(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            h = c[threshold] if isinstance(threshold, str) else np.full(len(c["close"]), threshold)
+            if np.isnan(h.astype(float)).any():
+                raise ValueError("missing threshold")
+            return {"fires": state(c["close"], h)}
+
+        return step
 
-    marked = add_columns(prices.select(*columns), kernel, {"fires": T.BooleanType()}, by=["symbol"], order=["ts", "ord"])
+    marked = scan(prices.select(*columns), start, {"fires": T.BooleanType()}, by=["symbol"], order=["ts", "ord"])
     return marked.where("fires").drop("fires")
 
 

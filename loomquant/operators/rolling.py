@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normal import norm_cdf
-from .ordered import add_columns
+from .ordered import add_columns, scan
 
 def by_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -64,35 +64,52 @@ def yang_zhang_vol(df: DataFrame, window: int, name: str = "yang_zhang") -> Data
     return parts.withColumn(name, F.sqrt(total / (window - 1))).drop("_a", "_b", "_r")
 
 
-def ewma_values(values: np.ndarray, window: int) -> np.ndarray:
+class Ewma:
     """Weighted means with weights (1 - alpha)^k over all rows so far, alpha = 2 / (window + 1)."""
-    decay = 1 - 2 / (window + 1)
-    out = np.empty(len(values))
-    total = weight = 0.0
-    for i, x in enumerate(values.tolist()):
-        total, weight = x + decay * total, 1 + decay * weight
-        out[i] = total / weight
-    return out
+
+    def __init__(self, window: int):
+        self.decay = 1 - 2 / (window + 1)
+        self.total = self.weight = 0.0
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(values))
+        for i, x in enumerate(values.tolist()):
+            self.total, self.weight = x + self.decay * self.total, 1 + self.decay * self.weight
+            out[i] = self.total / self.weight
+        return out
+
+
+class EwStd:
+    """Exponentially weighted deviation that starts at 0 with the first value."""
+
+    def __init__(self, span: int):
+        self.alpha = 2 / (span + 1)
+        self.mean: float | None = None
+        self.variance = 0.0
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(values))
+        for i, r in enumerate(values.tolist()):
+            if self.mean is None:
+                self.mean = r
+            else:
+                delta = r - self.mean
+                self.mean += self.alpha * delta
+                self.variance = (1 - self.alpha) * (self.variance + self.alpha * delta * delta)
+            out[i] = math.sqrt(self.variance)
+        return out
+
+
+def _scanned(df: DataFrame, value: str, name: str, start) -> DataFrame:
+    def kernel():
+        state = start()
+        return lambda c: {name: state(c[value])}
+
+    return scan(df, kernel, {name: T.DoubleType()}, by=["symbol"], order=["ts"])
 
 
 def ewma(df: DataFrame, value: str, window: int, name: str = "ewma") -> DataFrame:
-    return add_columns(df, lambda c: {name: ewma_values(c[value], window)}, {name: T.DoubleType()}, by=["symbol"], order=["ts"])
-
-
-def ew_std(returns: np.ndarray, span: int) -> np.ndarray:
-    """Exponentially weighted deviation that starts at 0 with the first return."""
-    alpha = 2 / (span + 1)
-    out = np.empty(len(returns))
-    mean, variance = 0.0, 0.0
-    for i, r in enumerate(returns.tolist()):
-        if i == 0:
-            mean = r
-        else:
-            delta = r - mean
-            mean += alpha * delta
-            variance = (1 - alpha) * (variance + alpha * delta * delta)
-        out[i] = math.sqrt(variance)
-    return out
+    return _scanned(df, value, name, lambda: Ewma(window))
 
 
 def daily_vol(df: DataFrame, lookback: int, name: str = "daily_vol") -> DataFrame:
@@ -100,7 +117,7 @@ def daily_vol(df: DataFrame, lookback: int, name: str = "daily_vol") -> DataFram
     stamped = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     day_old = Window.partitionBy("symbol").orderBy("_us").rangeBetween(Window.unboundedPreceding, -86_400_000_000)
     with_ret = stamped.withColumn("_ret", F.try_divide(F.col("close"), F.last("close").over(day_old)) - 1).where(F.col("_ret").isNotNull())
-    return add_columns(with_ret, lambda c: {name: ew_std(c["_ret"], lookback)}, {name: T.DoubleType()}, by=["symbol"], order=["ts"]).drop("_us", "_ret")
+    return _scanned(with_ret, "_ret", name, lambda: EwStd(lookback)).drop("_us", "_ret")
 
 
 def fracdiff_weights(d: float, size: int) -> list[float]:

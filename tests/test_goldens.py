@@ -89,7 +89,7 @@ def test_triple_barrier(spark):
 
 
 def test_filters_fire():
-    assert filters.cusum_flags(np.array([100.0, 103.0, 103.1, 99.0, 99.1]), np.full(5, 0.02)).tolist() == [False, True, False, True, False]
+    assert filters.Cusum()(np.array([100.0, 103.0, 103.1, 99.0, 99.1]), np.full(5, 0.02)).tolist() == [False, True, False, True, False]
 
 
 def test_sampling_goldens(spark):
@@ -154,7 +154,7 @@ def test_entropies():
 
 
 def test_rolling_goldens():
-    assert rolling.ewma_values(np.array([1205.0, 1005.0]), 2)[0] == 1205 and len(rolling.fracdiff_weights_ffd(0.9, 1e-3, 100)) == 12
+    assert rolling.Ewma(2)(np.array([1205.0, 1005.0]))[0] == 1205 and len(rolling.fracdiff_weights_ffd(0.9, 1e-3, 100)) == 12
     y = np.random.default_rng(1).normal(size=60)
     w = rolling.fracdiff_weights(0.4, 60)
     assert rolling.frac_diff_values(y, 0.4, 0.99)[-1] == pytest.approx(float(np.dot(w, y)))
