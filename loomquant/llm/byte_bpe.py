@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .words import bounded, column, lean
+from .words import bounded, column, give_back, lean
 
 RANK_BITS = 17
 LEFT = 1 << RANK_BITS
@@ -77,6 +77,10 @@ class Vocabulary:
                     out[left, right] = rank
         return out
 
+    @cached_property
+    def slots(self) -> list[int]:
+        return rank_table(self.pairs)
+
     def byte_ranks(self) -> list[int]:
         return [self.ranks[bytes([b])] for b in range(256)]
 
@@ -108,7 +112,7 @@ def rank_table(pairs: dict[tuple[int, int], int]) -> list[int]:
     """A flat hash table of key << RANK_BITS | rank in which every key stands in one of two slots (0: free)."""
     if any(max(pair) >= LEFT or rank >= LEFT for pair, rank in pairs.items()):
         raise ValueError(f"ranks must stay below {LEFT}")
-    size = 1 << (3 * max(1, len(pairs))).bit_length()
+    size = 1 << (2 * max(1, len(pairs))).bit_length()
     out = [0] * size
     for (left, right), rank in pairs.items():
         item, slot = ((left * LEFT + right) << RANK_BITS) | rank, _slots(left, right, size)[0]
@@ -433,6 +437,19 @@ def _assemble(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, ids_ou
     return run
 
 
+def _literals(vocabulary: Vocabulary) -> pa.Table:
+    """One row: the slots of the rank map, the pieces one after the other, and where each begins (and the last ends)."""
+    pieces = vocabulary.pieces
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    return pa.table(
+        {
+            "slots": pa.array([vocabulary.slots], pa.list_(pa.int64())),
+            "ends": pa.array([ends.tolist()], pa.list_(pa.int32())),
+            "blob": pa.array([b"".join(pieces)], pa.binary()),
+        }
+    )
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -461,16 +478,15 @@ def encode(
     plain = [("bucket", T.LongType()), ("seq", T.IntegerType()), ("block", T.LongType()), ("asked", T.BinaryType())]
     asked_schema = T.StructType([*(T.StructField(k, t) for k, t in plain), T.StructField("words", words), T.StructField("longs", T.ArrayType(T.BinaryType()))])
     asked = dealt.mapInArrow(_distinct(vocabulary, long_bytes), asked_schema)
-    flat = rank_table(vocabulary.pairs)
-    table = F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
-    # bound once: the plan, and so every task, carries one copy of the literal
-    folded = _let(table, lambda t: F.transform("words", lambda w: fold_merges(w, t, len(flat))))
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])]).tolist()
-    starts = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<int>")
-    blob = F.lit(b"".join(vocabulary.pieces))
-    decoded = _let(starts, lambda e: F.transform("ids", lambda i: pieces_of(i, blob, e)))
-    merged = asked.select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs")
+    # the literals are scalar subqueries: the optimizer puts their values where they are used, and plans stay short
+    literals = spark.createDataFrame(_literals(vocabulary))
+    size = len(vocabulary.slots)
+    asked = asked.withColumns({c: literals.select(c).scalar() for c in literals.columns})
+    folded = _let(F.col("slots"), lambda t: F.transform("words", lambda w: fold_merges(w, t, size)))
+    decoded = _let(F.col("ends"), lambda e: F.transform("ids", lambda i: pieces_of(i, F.col("blob"), e)))
+    merged = asked.select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs", "ends", "blob")
     merged = merged.select("bucket", "seq", "block", "asked", "ids", decoded.alias("bytes"), "longs")
+    give_back()
     replies = merged.mapInArrow(_reply(vocabulary), REPLY)
 
     extra = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

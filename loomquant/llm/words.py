@@ -19,7 +19,8 @@ import pyarrow as pa
 U64 = np.uint64
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Returns what the allocators hold unused to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -33,7 +34,7 @@ def lean(run):
     def each(batches):
         for batch in batches:
             yield batch
-            _give_back()
+            give_back()
 
     @functools.wraps(run)
     def wrapped(batches):
@@ -41,7 +42,7 @@ def lean(run):
             yield from run(each(batches))
         finally:
             gc.collect()
-            _give_back()
+            give_back()
 
     return wrapped
 
