@@ -727,11 +727,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of `docs` of which one stays for each component (the least doc_id's; of rows that repeat doc_id and text,
     one). Rows without shingles all stay."""
-    marks = JaccardJoin(docs).components().where("keeper").groupBy("doc", "tag").agg(F.max("n").alias("__n"))
-    marks = marks.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
-    keyed = docs.select(
-        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64("text").alias("__tag")
-    )
-    nth = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy(F.xxhash64(*docs.columns)))
-    joined = keyed.join(marks, ["__doc", "__tag"]).withColumn("__nth", nth)
-    return joined.where((F.col("__nth") == 1) | (F.col("__n") == 0)).select(*docs.columns)
+    mark = "__near"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    doc, tag, n, nth = (f"{mark}_{c}" for c in ("doc", "tag", "n", "nth"))
+    marks = JaccardJoin(docs).components().where("keeper").groupBy(F.col("doc").alias(doc), F.col("tag").alias(tag)).agg(F.max("n").alias(n))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(doc), F.xxhash64("text").alias(tag))
+    order = F.row_number().over(Window.partitionBy(doc, tag).orderBy(F.xxhash64(*docs.columns)))
+    joined = keyed.join(marks, [doc, tag]).withColumn(nth, order)
+    return joined.where((F.col(nth) == 1) | (F.col(n) == 0)).select(*docs.columns)

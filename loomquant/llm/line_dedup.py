@@ -8,10 +8,11 @@ and position. Ranges are cut on the whole tuple, so one key that a third of all
 partitions. Each task streams its range: the first document of a key keeps its lines, the second waits until
 another document shows up, later ones drop at once. Only the first and the last key of a partition can go on
 elsewhere; their rows are settled by a summary of at most six rows for each partition. The result is a compressed
-keep bitmap for each document that loses lines; text travels only where a bitmap is applied.
+keep bitmap for each document that loses lines; hashes are sorted without their texts, and texts are shuffled once, to meet
+the bitmaps.
 
 Defined results: null or empty text is one empty line; a null doc_id counts as one document below all others;
-rows that share a doc_id are one document for counting, each judged on its own lines; an empty table gives no rows.
+rows that share a doc_id are one document for counting, each judged on its own lines; an empty table gives no rows. doc_id must be castable to long.
 """
 
 from __future__ import annotations

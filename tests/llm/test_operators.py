@@ -343,6 +343,11 @@ def test_sharding_divides_only_what_no_shard_can_hold(spark):
     assert max(sizes.values()) <= 1.15 * min(sizes.values())
 
 
+def test_packing_ties_go_to_the_first_shard():
+    assert sharding.pack(np.ones((4, 3)), 4).tolist() == [0, 1, 2, 3]
+    assert sharding.pack(np.zeros((2, 3)), 3).tolist() == [0, 0] and len(sharding.pack(np.zeros((0, 3)), 3)) == 0
+
+
 def test_packing_goes_where_the_product_is_highest():
     rng = np.random.default_rng(4)
     loads = rng.random((200, 3))
@@ -572,6 +577,49 @@ def test_preference_quality_on_held_out_documents(spark):
     assert preference_quality.score_documents(odd, flat, keep=["doc_id"]).where("abs(score - 0.3) < 1e-9").count() == 3
 
 
+def test_preference_fit_is_logistic_regression_on_pairs():
+    """The weights make the ridge loss of the same pairs least, and the threshold is the quantile of quality 0."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(80, 4))
+    quality = (rows @ [1.0, -2.0, 0.5, 0.0] + rng.normal(0, 1, 80) > -0.5).astype(int)
+    got = preference_quality.fit(rows, quality, cut=0.3, max_pairs=500, ridge=1.0)
+    z = (rows - got.center) / got.scale
+    pairs = np.random.default_rng(20)
+    good, poor = np.flatnonzero(quality == 1), np.flatnonzero(quality == 0)
+    n = min(500, len(good) * len(poor))
+    d = z[pairs.choice(good, n)] - z[pairs.choice(poor, n)]
+
+    def loss(w):
+        return np.log1p(np.exp(-d @ w)).sum() + 0.5 * w @ w
+
+    assert all(loss(got.weights) <= loss(got.weights + 0.01 * rng.normal(size=4)) for _ in range(200))
+    assert got.threshold == pytest.approx(np.quantile(z @ got.weights, len(poor) / 80))
+    assert (got.score(rows) >= 0.3).sum() == ((z @ got.weights) >= got.threshold).sum()
+
+
+def test_preference_quality_on_awkward_tables(spark):
+    import zlib
+
+    rows = [(i, " ".join(f"{'good' if i % 3 else 'b#d'}{(i * k) % 17}" for k in range(30))) for i in range(60)]
+    rows += [(None, None), (7, rows[7][1]), (61, ""), (62, "word " * 60_000)]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    ranker = preference_quality.fit_ranker(docs, labels)
+    got = preference_quality.score_documents(docs, ranker, keep=["doc_id", "score"]).collect()
+    assert len(got) == len(rows) and all(r["score"] == "mine" and 0 <= r["score_"] <= 1 for r in got)
+    assert len({r["score_"] for r in got if r["doc_id"] == 7}) == 1  # a repeated row
+    assert len({r["score_"] for r in got if r["doc_id"] in (None, 61)}) == 1  # null and empty
+    again = preference_quality.fit_ranker(docs.repartition(7), labels.repartition(2))
+    assert np.allclose(again.weights, ranker.weights)
+    flags = {r["doc_id"]: r["h"] for r in docs.select("doc_id", preference_quality.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(flags[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(60)) and flags[None] is False
+    # labels of held-out documents change nothing
+    turned = labels.withColumn("quality", F.when(preference_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.allclose(preference_quality.fit_ranker(docs, turned).weights, ranker.weights)
+    nothing = docs.where("false")
+    assert preference_quality.score_documents(nothing, preference_quality.fit_ranker(nothing, labels), keep=["doc_id"]).count() == 0
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     from loomquant.llm.queries import tokenizer
