@@ -437,19 +437,6 @@ def _assemble(vocabulary: Vocabulary, keep: list[str], schema: pa.Schema, ids_ou
     return run
 
 
-def _literals(vocabulary: Vocabulary) -> pa.Table:
-    """One row: the slots of the rank map, the pieces one after the other, and where each begins (and the last ends)."""
-    pieces = vocabulary.pieces
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-    return pa.table(
-        {
-            "slots": pa.array([vocabulary.slots], pa.list_(pa.int64())),
-            "ends": pa.array([ends.tolist()], pa.list_(pa.int32())),
-            "blob": pa.array([b"".join(pieces)], pa.binary()),
-        }
-    )
-
-
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -478,13 +465,15 @@ def encode(
     plain = [("bucket", T.LongType()), ("seq", T.IntegerType()), ("block", T.LongType()), ("asked", T.BinaryType())]
     asked_schema = T.StructType([*(T.StructField(k, t) for k, t in plain), T.StructField("words", words), T.StructField("longs", T.ArrayType(T.BinaryType()))])
     asked = dealt.mapInArrow(_distinct(vocabulary, long_bytes), asked_schema)
-    # the literals are scalar subqueries: the optimizer puts their values where they are used, and plans stay short
-    literals = spark.createDataFrame(_literals(vocabulary))
+    # the rank map is a scalar subquery: the optimizer puts its value where it is used, and plans stay short
+    literal = spark.createDataFrame(pa.table({"slots": pa.array([vocabulary.slots], pa.list_(pa.int64()))}))
     size = len(vocabulary.slots)
-    asked = asked.withColumns({c: literals.select(c).scalar() for c in literals.columns})
     folded = _let(F.col("slots"), lambda t: F.transform("words", lambda w: fold_merges(w, t, size)))
-    decoded = _let(F.col("ends"), lambda e: F.transform("ids", lambda i: pieces_of(i, F.col("blob"), e)))
-    merged = asked.select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs", "ends", "blob")
+    merged = asked.withColumn("slots", literal.scalar()).select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs")
+    edges = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])]).tolist()
+    ends = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<int>")
+    blob = F.lit(b"".join(vocabulary.pieces))
+    decoded = _let(ends, lambda e: F.transform("ids", lambda i: pieces_of(i, blob, e)))
     merged = merged.select("bucket", "seq", "block", "asked", "ids", decoded.alias("bytes"), "longs")
     give_back()
     replies = merged.mapInArrow(_reply(vocabulary), REPLY)
