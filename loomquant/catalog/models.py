@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import norm_cdf_sql, norm_ppf_sql
 from ..operators import entropy, etf, learning, portfolio, signals, simulate, validation
 from ..plans import frames, pipeline
 from ..sources import domain
 from ..streaming import early_warning
 from .base import PRICES, SPANS, TICKS, Catalog, r, rounded
-from .statistics import SIGNAL, returns
+from .statistics import RET, SIGNAL, returns
 
 C = Catalog()
 
@@ -74,9 +75,20 @@ def reserve_fit(spark, d):
     return spark.createDataFrame([fit], "mu1 double, mu2 double, sigma1 double, sigma2 double, p1 double")
 
 
-@C.add("strategy_risk__failure_probability")
+@C.add(
+    "strategy_risk__failure_probability",
+    f"""WITH {RET}, b AS (SELECT symbol, avg(ret) FILTER (ret > 0) AS win, avg(ret) FILTER (ret <= 0) AS loss, avg(CAST(ret > 0 AS DOUBLE)) AS p, count(*) / 6e0 AS f FROM ret GROUP BY 1),
+q AS (SELECT *, (f + 1) * pow(win - loss, 2) AS qa, (2 * f * loss - (win - loss)) * (win - loss) AS qb, f * loss * loss AS qc FROM b),
+z AS (SELECT *, list_min(list_filter([(-qb - sqrt(greatest(qb * qb - 4 * qa * qc, 0))) / (2 * qa), (-qb + sqrt(greatest(qb * qb - 4 * qa * qc, 0))) / (2 * qa)], lambda x: x >= 0 AND x <= 1 AND (win - loss) * x + loss >= 0)) AS needed FROM q WHERE qb * qb - 4 * qa * qc >= 0),
+u AS (SELECT z.*, (i - 0.5e0) / 500 AS u FROM z, range(1, 501) t(i)),
+s AS (SELECT *, least(1e0, greatest(0e0, p + sqrt(p * (1 - p) / greatest(1, floor(f * 2))) * {norm_ppf_sql('u')})) AS drawn FROM u),
+h AS (SELECT symbol, greatest(1.06 * stddev_samp(drawn) * pow(500, -0.2), 1e-3) AS h FROM s GROUP BY 1)
+SELECT symbol, {r('win')} AS win, {r('loss')} AS loss, {r('p')} AS "precision", {r('f')} AS frequency, {r('needed')} AS needed, {r('avg(CAST(drawn <= needed AS DOUBLE))')} AS empirical,
+  {r(f"avg({norm_cdf_sql('((needed - drawn) / h)')})")} AS smoothed FROM s JOIN h USING (symbol) GROUP BY symbol, win, loss, p, f, needed""",
+)
 def failure(spark, d):
-    return signals.strategy_failure(returns(spark, d), target_sharpe=1.0, years=6.0)
+    found = signals.strategy_failure(returns(spark, d), target_sharpe=1.0, years=6.0)
+    return rounded(found, "win", "loss", "precision", "frequency", "needed", "empirical", "smoothed")
 
 
 # Entropies
@@ -248,7 +260,18 @@ def onc(spark, d):
 # ETF trick, futures
 
 
-@C.add("etf__trick")
+@C.add(
+    "etf__trick",
+    f"""WITH RECURSIVE o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS security, arg_min(o_totalprice, o_orderkey) AS op, arg_max(o_totalprice, o_orderkey) AS cl FROM orders GROUP BY 1, 2),
+f AS (SELECT dd.date, ss.security, coalesce(op, 150000e0) AS op, coalesce(cl, 150000e0) AS cl, CASE WHEN dd.date[6:7] < '07' THEN 0.2e0 ELSE length(ss.security) / 20e0 END AS al
+  FROM (SELECT DISTINCT date FROM o) dd CROSS JOIN (SELECT DISTINCT security FROM o) ss LEFT JOIN o ON o.date = dd.date AND o.security = ss.security),
+l AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, list(op ORDER BY security) AS o, list(cl ORDER BY security) AS c, list(al ORDER BY security) AS a, sum(abs(al)) AS g FROM f GROUP BY date),
+w AS (SELECT CAST(1 AS BIGINT) AS i, x.date, 1e0 AS k, list_transform(x.a, lambda v, j: v / (y.o[j] * x.g)) AS held, false AS changed, x.a AS before, true AS first FROM l x JOIN l y ON y.i = 2 WHERE x.i = 1
+UNION ALL SELECT i, date, k + list_sum(list_transform(now, lambda h, j: h * (c[j] - (CASE WHEN changed THEN o[j] ELSE c0[j] END) + 0.5e0))), now, first OR list_sum(list_transform(a, lambda v, j: abs(v - before[j]))) > 0, a, false
+  FROM (SELECT x.i, x.date, w.k, w.changed, w.before, w.first, x.a, x.c, x.o, p.c AS c0, CASE WHEN w.changed THEN list_transform(x.a, lambda v, j: v * w.k / (y.o[j] * x.g)) ELSE w.held END AS now
+    FROM w JOIN l x ON x.i = w.i + 1 JOIN l y ON y.i = w.i + 2 JOIN l p ON p.i = w.i))
+SELECT date, {r('k')} AS value FROM w""",
+)
 def etf_trick(spark, d):
     o = domain.read(spark, d, "orders")
     by = o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("security"))
@@ -340,10 +363,15 @@ def cpcv_paths(spark, d):
     return spark.createDataFrame([(6, 2, len(splits), len(paths))], "groups int, test_groups int, splits int, paths int")
 
 
-@C.add("backtest__cpcv_performance")
+@C.add(
+    "backtest__cpcv_performance",
+    f"""WITH k AS (SELECT CAST(row_number() OVER (ORDER BY x, y) - 1 AS INT) AS split, x, y FROM range(6) a(x), range(6) b(y) WHERE x < y),
+x AS (SELECT split, sin(i) / 100 + 0.001e0 AS ret FROM k, range(600) t(i) WHERE i // 100 IN (x, y))
+SELECT split, count(*) AS n, {r('avg(ret)')} AS mean, {r('stddev_samp(ret)')} AS std, {r('avg(ret) / stddev_samp(ret) * sqrt(count(*))')} AS sharpe FROM x GROUP BY 1""",
+)
 def cpcv_run(spark, d):
     splits, _, _ = validation.cpcv(*span_arrays(), 6, 2, 0.01)
-    return validation.summarize(validation.run_splits(spark, splits, lambda train, test: np.sin(test) / 100 + 0.001))
+    return rounded(validation.summarize(validation.run_splits(spark, splits, lambda train, test: np.sin(test) / 100 + 0.001)), "mean", "std", "sharpe")
 
 
 XY = "xy AS (SELECT l_quantity AS q, l_discount AS dc, l_tax AS tx, l_extendedprice / 10000 AS ep, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS y FROM lineitem)"
@@ -563,10 +591,13 @@ def exact(spark, d):
     return simulate.solve_exact(spark, v, a * b - c * c + b).select("a", "b", "c", "objective")
 
 
+PATHS = """p AS (SELECT CAST([] AS BIGINT[]) AS trades, CAST([] AS BIGINT[]) AS inventories, CAST(0 AS BIGINT) AS inv UNION ALL
+  SELECT list_append(trades, t), list_append(inventories, inv + t), inv + t FROM p, (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS t) WHERE len(trades) < 4 AND inv + t BETWEEN -2 AND 2)"""
+
+
 @C.add(
     "combinatorial__trading_paths",
-    """WITH RECURSIVE p AS (SELECT CAST([] AS BIGINT[]) AS trades, CAST([] AS BIGINT[]) AS inventories, CAST(0 AS BIGINT) AS inv UNION ALL
-  SELECT list_append(trades, t), list_append(inventories, inv + t), inv + t FROM p, (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS t) WHERE len(trades) < 4 AND inv + t BETWEEN -2 AND 2)
+    f"""WITH RECURSIVE {PATHS}
 SELECT array_to_string(trades, ',') AS trades, array_to_string(inventories, ',') AS inventories FROM p WHERE len(trades) = 4 AND inv = 0""",
 )
 def paths(spark, d):
@@ -574,7 +605,12 @@ def paths(spark, d):
     return got.select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("trades", "inventories")])
 
 
-@C.add("combinatorial__trajectory")
+@C.add(
+    "combinatorial__trajectory",
+    f"""WITH RECURSIVE {PATHS}, o AS (SELECT trades, list_sum(list_transform(inventories, lambda v, i: v * ([0.01e0, -0.02e0, 0.03e0, 0.01e0])[i] - 0.001e0 * v * v - 0.001e0 * abs(trades[i])
+  - CASE WHEN trades[i] <> 0 THEN 0.0005e0 ELSE 0 END)) - 0.1e0 * abs(inv) AS objective FROM p WHERE len(trades) = 4 AND inv = 0)
+SELECT array_to_string(trades, ',') AS trades, {r('objective')} AS objective FROM o ORDER BY o.objective DESC, o.trades LIMIT 1""",
+)
 def trajectory(spark, d):
     got = simulate.trading_paths(spark, 4, (-1, 1), (-2, 2), terminal=0)
     best = simulate.solve_trajectory(got, simulate.path_objective([0.01, -0.02, 0.03, 0.01], risk=0.001, impact=0.001, ticket=0.0005, terminal=0.1))
@@ -605,12 +641,27 @@ def warning_events(spark, d):
 CONFIG = early_warning.WarningConfig(50.0, 10, 50, 0.35, 0.13)
 
 
-@C.add("streaming__replay")
+#: Buckets are cut where the running volume passes multiples of 50 (volumes are whole); an event of 10 or less is in two at
+#: most.
+REPLAY = f"""{TICKS}, e AS (SELECT symbol AS stream, ord, CAST(volume AS BIGINT) AS v, CASE WHEN user_id % 3 = 0 THEN 0.6e0 ELSE 0.4e0 END AS g, user_id % 8 AS venue FROM ticks WHERE price > 0),
+cum AS (SELECT *, row_number() OVER w AS n, CAST(sum(v) OVER w AS BIGINT) AS t, list(venue) OVER (PARTITION BY stream ORDER BY ord ROWS 49 PRECEDING) AS last FROM e WINDOW w AS (PARTITION BY stream ORDER BY ord)),
+piece AS (SELECT stream, t, v, g, unnest(range((t - v) // 50, (t - 1) // 50 + 1)) AS k FROM cum),
+b AS (SELECT stream, k, sum((least(t, 50 * k + 50) - greatest(t - v, 50 * k)) * g) / 50 AS value, sum(least(t, 50 * k + 50) - greatest(t - v, 50 * k)) AS filled FROM piece GROUP BY 1, 2),
+w AS (SELECT stream, k, avg(value) OVER (PARTITION BY stream ORDER BY k ROWS 9 PRECEDING) AS vpin FROM b WHERE filled = 50),
+s AS (SELECT c.stream, c.ord, w.vpin, CASE WHEN n >= 50 THEN list_sum(list_transform(range(8), lambda x: pow(len(list_filter(last, lambda y: y = x)), 2))) / 2500 END AS hhi
+  FROM cum c LEFT JOIN w ON w.stream = c.stream AND w.k = c.t // 50 - 1 AND w.k >= 9),
+snap AS (SELECT *, 0.5 * (vpin / 0.35 + hhi / 0.13) AS score, coalesce(vpin >= 0.35 AND hhi >= 0.13, false) AS alert FROM s)"""
+
+
+@C.add("streaming__replay", f"WITH {REPLAY} SELECT stream, ord, {r('vpin')} AS vpin, {r('hhi')} AS hhi, {r('score')} AS score, alert FROM snap")
 def replay(spark, d):
     return rounded(early_warning.replay(warning_events(spark, d), CONFIG), "vpin", "hhi", "score")
 
 
-@C.add("streaming__summary")
+@C.add(
+    "streaming__summary",
+    f"WITH {REPLAY} SELECT stream, count(*) AS events, count(*) FILTER (alert) AS alerts, {r('arg_max_null(vpin, ord)')} AS vpin, {r('arg_max_null(hhi, ord)')} AS hhi, {r('arg_max_null(score, ord)')} AS score FROM snap GROUP BY 1",
+)
 def summary(spark, d):
     return rounded(early_warning.summary(early_warning.replay(warning_events(spark, d), CONFIG)), "vpin", "hhi", "score")
 

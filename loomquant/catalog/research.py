@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import bars, dependence, ensembles, portfolio, simulate, validation
+from ..operators import bars, dependence, ensembles, importance, portfolio, simulate, validation
 from ..sources import domain, ohlcv
 from .base import OHLCV, Catalog, r, rounded
 from .market import BAR_SQL, CLEAN, NUMBERED, RAW, raw_ohlcv, sum_bars_sql, told
@@ -151,6 +151,62 @@ def cpcv_distribution(spark, d):
     return told_runs(run[1])
 
 
+# Importance of features over all line items, in four folds
+
+IMP = ["q", "dc", "tx", "ep"]
+LINES4 = """v AS (SELECT l_orderkey * 8 + l_linenumber AS id, min(l_quantity) AS q, min(l_discount) AS dc, min(l_tax) AS tx, min(l_extendedprice) / 10000 AS ep,
+  CASE WHEN max(l_returnflag) = 'R' THEN 1e0 ELSE 0e0 END AS y, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) % 4 AS fold FROM lineitem GROUP BY 1),
+f AS (SELECT DISTINCT fold FROM v)"""
+GAUSS = """g AS (SELECT fold, 1 AS k, m FROM a UNION ALL SELECT fold, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k
+  THEN list_transform(row, lambda c: c / m[k][k]) ELSE list_transform(row, lambda c, j: c - row[k] * m[k][j] / m[k][k]) END) FROM g WHERE k <= len(m)),
+x AS (SELECT fold, list_transform(m, lambda row: row[-1]) AS x FROM g WHERE k = len(m) + 1)"""
+
+
+def clipped(raw: str) -> str:
+    return f"least(1 - 1e-6, greatest(1e-6, {raw}))"
+
+
+def loss(p: str) -> str:
+    return f"avg(CASE WHEN y = 1 THEN ln({p}) ELSE ln(1 - {p}) END)"
+
+
+ALONE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, fold, {loss(clipped(f"(sy * sxx - sx * sxy) / (n * sxx - sx * sx) + (n * sxy - sx * sy) / (n * sxx - sx * sx) * {c}"))} AS v
+  FROM v JOIN (SELECT f.fold, count(*) + 1e-3 AS n, sum({c}) AS sx, sum({c} * {c}) + 1e-3 AS sxx, sum(y) AS sy, sum({c} * y) AS sxy FROM f JOIN v ON v.fold <> f.fold GROUP BY 1) USING (fold) GROUP BY fold"""
+    for c in IMP
+)
+SPREAD = f"SELECT feature, {r('avg(v)')} AS mean, {r('stddev_pop(v) / sqrt(count(*))')} AS std_error"
+
+
+def lines(spark, d):
+    li = domain.read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(
+        F.min("l_quantity").alias("q"), F.min("l_discount").alias("dc"), F.min("l_tax").alias("tx"), (F.min("l_extendedprice") / 10000).alias("ep"),
+        F.when(F.max("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"),
+    )
+    return li.withColumn("fold", F.col("id") % 4)
+
+
+@C.add("importance__single_features", f"WITH {LINES4}, s AS ({ALONE}) {SPREAD} FROM s GROUP BY 1")
+def single_features(spark, d):
+    return rounded(importance.single_feature_scores(lines(spark, d), IMP, "y", "fold"), "mean", "std_error")
+
+
+FITTED = "x[1] + " + " + ".join(f"x[{k + 2}] * {c}" for k, c in enumerate(IMP))
+
+
+@C.add(
+    "importance__decrease_in_accuracy",
+    f"""WITH RECURSIVE {LINES4}, z AS (SELECT fold, [1e0, q, dc, tx, ep] AS f, y FROM v),
+cells AS (SELECT f.fold, i, j, sum(z.f[i] * CASE WHEN j = 6 THEN y ELSE z.f[j] END) + CASE WHEN i = j THEN 1e-3 ELSE 0 END AS c FROM f JOIN z ON z.fold <> f.fold, range(1, 6) p(i), range(1, 7) s(j) GROUP BY 1, 2, 3),
+rows AS (SELECT fold, i, list(c ORDER BY j) AS row FROM cells GROUP BY 1, 2), a AS (SELECT fold, list(row ORDER BY i) AS m FROM rows GROUP BY 1), {GAUSS},
+t AS (SELECT *, {", ".join(f"coalesce(lag({c}) OVER w, last_value({c}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS r_{c}" for c in IMP)} FROM v WINDOW w AS (PARTITION BY fold, id // 4096 ORDER BY id)),
+l AS (SELECT fold, {loss(clipped(FITTED))} AS base, {", ".join(f"{loss(clipped(FITTED.replace(f'* {c}', f'* r_{c}')))} AS l_{c}" for c in IMP)} FROM t JOIN x USING (fold) GROUP BY 1),
+s AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, (base - l_{c}) / -l_{c} AS v FROM l" for c in IMP)}) {SPREAD} FROM s GROUP BY 1""",
+)
+def decrease(spark, d):
+    return rounded(importance.decrease_in_accuracy(lines(spark, d), IMP, "y", "fold", key="id"), "mean", "std_error")
+
+
 # Sources and bars
 
 @C.add(

@@ -94,9 +94,10 @@ def bet_size_reserve(events: DataFrame, fit: tuple[float, ...]) -> DataFrame:
     return sides.select("symbol", "id", "active_long", "active_short", "c", single_bet_size_mixed(F.col("c"), fit).alias("size"))
 
 
-def strategy_failure(outcomes: DataFrame, *, target_sharpe: float, years: float, horizon: float = 2.0, draws: int = 500, seed: int = 0) -> DataFrame:
+def strategy_failure(outcomes: DataFrame, *, target_sharpe: float, years: float, horizon: float = 2.0, draws: int = 500) -> DataFrame:
     """(symbol, win, loss, precision, frequency, needed, empirical, smoothed): probability that bootstrapped precision is
-    at or below what the target Sharpe ratio needs. A bootstrap of win flags is a binomial draw, so no row is resampled."""
+    at or below what the target Sharpe ratio needs. A bootstrap of win flags is a binomial draw, so no row is resampled; its
+    normal limit, cut to [0, 1], is taken at `draws` evenly spaced quantiles, so nothing is random."""
     from ..functions.sharpe import implied_precision_asymmetric
 
     v = F.col("ret")
@@ -105,9 +106,7 @@ def strategy_failure(outcomes: DataFrame, *, target_sharpe: float, years: float,
     base = base.withColumn("needed", implied_precision_asymmetric(F.lit(target_sharpe), F.col("frequency"), F.col("win"), F.col("loss")))
     size = F.greatest(F.lit(1.0), F.floor(F.col("frequency") * horizon))
     drawn = base.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    # normal limit of the binomial share, cut to [0, 1]; a draw depends on seed, symbol and number only, not on partitions
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "symbol", "_i"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = drawn.withColumn("_u", uniform)
+    drawn = drawn.withColumn("_u", (F.col("_i") - 0.5) / float(draws))
     noise = F.sqrt(F.col("precision") * (1 - F.col("precision")) / size) * norm_ppf("_u")
     drawn = drawn.withColumn("_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("precision") + noise)))
     keys = ["symbol", "win", "loss", "precision", "frequency", "needed"]
