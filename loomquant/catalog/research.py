@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import bars, dependence, ensembles, importance, portfolio, simulate, validation
+from ..operators import bars, dependence, ensembles, entropy, importance, portfolio, simulate, validation
 from ..sources import domain, ohlcv
-from .base import OHLCV, Catalog, r, rounded
+from .base import TICKS, Catalog, r, rounded
 from .market import BAR_SQL, CLEAN, NUMBERED, RAW, raw_ohlcv, sum_bars_sql, told
 from .statistics import FEAT, features
 
@@ -238,6 +238,49 @@ def ohlcv_dollar(spark, d):
     return told(bars.build_dollar_bars(raw_ohlcv(spark, d), dollar_value_per_bar=5_000_000, ordinal="key"))
 
 
+# Features of bars of ticks, and letters
+
+BARS100 = f"""{TICKS}, s AS (SELECT *, price - lag(price) OVER w AS c, ln(price / lag(price) OVER w) AS lr, row_number() OVER w - 1 AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, ord)),
+t AS (SELECT symbol, n, (n // 100 + 1) * 100 - 1 AS bar_end, price * volume AS dv, coalesce(c, 0) AS pd, abs(coalesce(lr, 0)) AS lr, volume,
+  coalesce(last_value(CASE WHEN c <> 0 THEN sign(c) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS sg FROM s)"""
+
+
+@C.add(
+    "entropy__tick_features",
+    f"""WITH {BARS100}, l AS (SELECT symbol, bar_end, coalesce(sum(volume * sg * pd) / nullif(sum(pow(volume * sg, 2)), 0), 0) AS kyle, coalesce(sum(dv * lr) / sum(dv * dv), 0) AS amihud,
+  coalesce(sum(sqrt(dv) * sg * lr) / nullif(sum(pow(sqrt(dv) * sg, 2)), 0), 0) AS hasbrouck FROM t GROUP BY 1, 2),
+n AS (SELECT symbol, bar_end, sg, count(*) AS k FROM t GROUP BY 1, 2, 3), h AS (SELECT symbol, bar_end, -sum(k / tot * log2(k / tot)) AS h FROM (SELECT *, sum(k) OVER (PARTITION BY symbol, bar_end) AS tot FROM n) GROUP BY 1, 2),
+x AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol, bar_end) AS m FROM t WINDOW w AS (PARTITION BY symbol, bar_end ORDER BY n)),
+p AS (SELECT symbol, bar_end, k / sum(k) OVER (PARTITION BY symbol, bar_end) AS p FROM (SELECT symbol, bar_end, sg, count(*) AS k FROM x WHERE i < m GROUP BY 1, 2, 3)),
+q AS (SELECT symbol, bar_end, -sum(p * log2(p)) AS q FROM p GROUP BY 1, 2)
+SELECT symbol, bar_end, {r('kyle', 9)} AS kyle, {r('amihud', 9)} AS amihud, {r('hasbrouck', 9)} AS hasbrouck, {r('h')} AS tick_shannon, {r('coalesce(q, 0)')} AS tick_plug_in_1 FROM l JOIN h USING (symbol, bar_end) LEFT JOIN q USING (symbol, bar_end)""",
+)
+def tick_features(spark, d):
+    t = domain.ticks(spark, d)
+    found = entropy.tick_features(t, hundreds(t)).select("symbol", "bar_end", "kyle", "amihud", "hasbrouck", "tick_shannon", "tick_plug_in_1")
+    return rounded(rounded(found, "kyle", "amihud", "hasbrouck", digits=9), "tick_shannon", "tick_plug_in_1")
+
+
+def hundreds(t):
+    """Boundaries after every hundred ticks of a symbol, the last bar included."""
+    n = t.groupBy("symbol").agg(F.ceil(F.count("*") / 100).alias("n"))
+    return n.select("symbol", F.explode(F.sequence(F.lit(1), "n")).alias("k")).select("symbol", (F.col("k") * 100 - 1).alias("last"))
+
+
+@C.add(
+    "entropy__letters",
+    f"""WITH {TICKS}, s AS (SELECT price, row_number() OVER (ORDER BY price) - 1 AS rk, count(*) OVER () AS n FROM ticks),
+c AS (SELECT DISTINCT i, price AS v FROM range(8) t(i) JOIN s ON rk = floor((0.01e0 + 0.99e0 * i / 7) * (n - 1) + 0.5)),
+b AS (SELECT min(price) AS lo, max(price) AS hi FROM ticks), g AS (SELECT unnest(range(CAST(ceil((hi - lo) / 25) AS BIGINT))) AS i, lo FROM b)
+SELECT ord, (SELECT arg_min(i, (abs(price - v), i)) FROM c) AS quantile_letter, (SELECT arg_min(i, (abs(price - (lo + i * 25)), i)) FROM g) AS sigma_letter FROM ticks""",
+)
+def letters(spark, d):
+    t = domain.ticks(spark, d)
+    codes = entropy.quantile_codes(t, "price", 8), entropy.sigma_codes(t, "price", 25.0)
+    by_quantile, by_sigma = (F.ascii(entropy.nearest_letter(F.col("price"), c)).cast("long") for c in codes)
+    return t.select("ord", by_quantile.alias("quantile_letter"), by_sigma.alias("sigma_letter"))
+
+
 # Histograms, weights within bounds, trading rules
 
 

@@ -168,23 +168,77 @@ def entropies(df: DataFrame, message: str = "message", *, by: str = "symbol") ->
     return shannon(df, message, by=by).join(df.select(by, message).mapInPandas(run, schema), by)
 
 
-def bar_features(ticks: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Features of bars that end at given tick numbers (symbol, last): mean tick size, tick rule sum, VWAP and the
-    message of tick signs. Ticks go to the first boundary at or after them by one sort."""
+def _in_bars(ticks: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Ticks (symbol, bar_end, _n, ts, price, volume, sign, price_diff, log_ret) with the first boundary (symbol, last) at or
+    after them, by one sort; ticks after the last boundary drop out. Differences go on across bars and are 0 at first."""
     from pyspark.sql import Window
 
     from .bars import trade_sign
 
     w = Window.partitionBy("symbol").orderBy("ts", "ord")
-    numbered = trade_sign(ticks).withColumn("_n", F.row_number().over(w) - 1)
-    marks = boundaries.select("symbol", F.col("last").alias("_n"), F.lit(None).cast("struct<ts:timestamp_ntz,price:double,volume:double,sign:double>").alias("_t"), F.col("last").alias("_m"))
-    rows = numbered.select("symbol", F.col("_n").cast(marks.schema["_n"].dataType), F.struct("ts", "price", "volume", F.coalesce("sign", F.lit(0.0)).alias("sign")).alias("_t"), F.lit(None).cast(marks.schema["_m"].dataType).alias("_m"))
+    before = F.lag("price").over(w)
+    numbered = trade_sign(ticks).withColumns(
+        {
+            "_n": F.row_number().over(w) - 1,
+            "price_diff": F.coalesce(F.col("price") - before, F.lit(0.0)),
+            "log_ret": F.coalesce(F.ln(F.try_divide(F.col("price"), before)), F.lit(0.0)),
+        }
+    )
+    held = F.struct("ts", "price", "volume", F.coalesce("sign", F.lit(0.0)).alias("sign"), "price_diff", "log_ret")
+    rows = numbered.select("symbol", F.col("_n").cast("long").alias("_n"), held.alias("_t"), F.lit(None).cast("long").alias("_m"))
+    last = F.col("last").cast("long")
+    marks = boundaries.select("symbol", last.alias("_n"), F.lit(None).cast(rows.schema["_t"].dataType).alias("_t"), last.alias("_m"))
     ahead = Window.partitionBy("symbol").orderBy(F.desc("_n"), F.col("_m").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.unionByName(marks).withColumn("bar_end", F.last("_m", True).over(ahead)).where(F.col("_t").isNotNull() & F.col("bar_end").isNotNull())
-    t = placed.select("symbol", "bar_end", "_n", "_t.*")
-    letter = F.when(F.col("sign") == 1, "a").when(F.col("sign") == -1, "b").otherwise("c")
-    signs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", letter.alias("c")))), lambda s: s["c"]), "")
-    return t.groupBy("symbol", "bar_end").agg(
+    return placed.select("symbol", "bar_end", "_n", "_t.*")
+
+
+def _message(letter: Column) -> Column:
+    """Letters of a bar in order of their ticks."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", letter.alias("c")))), lambda s: s["c"]), "")
+
+
+def _tick_letter() -> Column:
+    return F.when(F.col("sign") == 1, "a").when(F.col("sign") == -1, "b").otherwise("c")
+
+
+BAR_KEY = ["symbol", "bar_end"]
+
+
+def bar_features(ticks: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Features of bars that end at given tick numbers (symbol, last): mean tick size, tick rule sum, VWAP and the
+    message of tick signs."""
+    return _in_bars(ticks, boundaries).groupBy(*BAR_KEY).agg(
         F.max("ts").alias("ts"), F.avg("volume").alias("average_tick_size"), F.sum("sign").alias("tick_rule_sum"),
-        F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), signs.alias("message"),
+        F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), _message(_tick_letter()).alias("message"),
+    )
+
+
+Codes = list[tuple[float, str]]
+
+
+def tick_features(ticks: DataFrame, boundaries: DataFrame, *, volume_codes: Codes | None = None, return_codes: Codes | None = None) -> DataFrame:
+    """All features of each bar: those of `bar_features`, the Kyle, Amihud and Hasbrouck coefficients of its trades, and
+    shannon and the entropies of ENTROPIES of the message of tick signs and, where codes are given, of the messages of
+    volumes and log returns (columns tick_*, volume_*, return_*)."""
+    rows = _in_bars(ticks, boundaries)
+    dollars = F.col("price") * F.col("volume")
+    signed, rooted, size = F.col("volume") * F.col("sign"), F.sqrt(dollars) * F.col("sign"), F.abs("log_ret")
+    letters = {"tick": _tick_letter()}
+    if volume_codes:
+        letters["volume"] = nearest_letter(F.col("volume"), volume_codes)
+    if return_codes:
+        letters["return"] = nearest_letter(F.col("log_ret"), return_codes)
+    bars = rows.groupBy(*BAR_KEY).agg(
+        F.max("ts").alias("ts"), F.avg("volume").alias("average_tick_size"), F.sum("sign").alias("tick_rule_sum"), F.try_divide(F.sum(dollars), F.sum("volume")).alias("vwap"),
+        F.coalesce(F.try_divide(F.sum(signed * F.col("price_diff")), F.sum(signed * signed)), F.lit(0.0)).alias("kyle"),
+        F.coalesce(F.try_divide(F.sum(dollars * size), F.sum(dollars * dollars)), F.lit(0.0)).alias("amihud"),
+        F.coalesce(F.try_divide(F.sum(rooted * size), F.sum(rooted * rooted)), F.lit(0.0)).alias("hasbrouck"),
+        *[_message(c).alias(f"_{k}") for k, c in letters.items()],
     )
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("message")) for k in letters])).alias("m")
+    told = bars.select(*BAR_KEY, kinds).select(F.struct(*BAR_KEY, "m.kind").alias("_of"), "m.message")
+    measured = entropies(told, by="_of")
+    names = ["shannon", *ENTROPIES]
+    wide = measured.groupBy("_of.symbol", "_of.bar_end").agg(*[F.max(F.when(F.col("_of.kind") == k, F.col(n))).alias(f"{k}_{n}") for k in letters for n in names])
+    return bars.drop(*[f"_{k}" for k in letters]).join(wide, BAR_KEY)

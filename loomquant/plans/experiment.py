@@ -27,6 +27,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def run_manifest(name: str, config: FlywheelConfig, dataset: dict, options: dict) -> dict:
+    """What a run needs to be repeated: its name, the digest of its configuration, its data and options."""
+    return {"run_name": name, "config_digest": config.digest(), "dataset": dataset, "options": options}
+
+
 def run_experiment(spark: SparkSession, config_text: str, out_root: str) -> str:
     """Runs one configuration and writes metrics, events, signals, weights and backtest tables, run_manifest.json and
     decision.md to a folder named after the run and its digest."""
@@ -40,7 +45,7 @@ def run_experiment(spark: SparkSession, config_text: str, out_root: str) -> str:
     for table, frame in tables.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
     row = spark.read.parquet(f"{folder}/metrics.parquet").first().asDict()
-    _write_text(spark, f"{folder}/run_manifest.json", json.dumps({"run_name": name, "config_digest": config.digest(), "dataset": dataset, "options": options}, sort_keys=True, indent=2))
+    _write_text(spark, f"{folder}/run_manifest.json", json.dumps(run_manifest(name, config, dataset, options), sort_keys=True, indent=2))
     verdict = "PROMOTE" if row["promote_candidate"] else "HOLD"
     lines = [f"# {name}", "", f"Decision: {verdict}", "", *(f"- {k}: {row[k]}" for k in ("realized_sharpe", "net_sharpe", "turnover", "net_total_return"))]
     _write_text(spark, f"{folder}/decision.md", "\n".join(lines) + "\n")

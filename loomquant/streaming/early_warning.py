@@ -115,30 +115,45 @@ def _snapshots(state: WarningState, stream: str, rows: pd.DataFrame) -> pd.DataF
     return frame
 
 
-def replay(events: DataFrame, config: WarningConfig) -> DataFrame:
+def checked(events: DataFrame, strict: bool) -> DataFrame:
+    """Valid events; with `strict` an invalid one is an error, otherwise it is left out (`valid` counts them)."""
+    if not strict:
+        return events.where(valid())
+    wrong = F.raise_error(F.concat(F.lit("invalid event "), F.coalesce(F.col("ord").cast("string"), F.lit("without a number")))).cast("boolean")
+    return events.where(F.when(valid(), True).otherwise(wrong))
+
+
+def replay(events: DataFrame, config: WarningConfig, *, strict: bool = False) -> DataFrame:
     """Snapshots (stream, ord, vpin, hhi, score, alert) of a finished table (stream, ord, price, buy_volume, sell_volume,
-    venue); invalid events are left out."""
+    venue); invalid events are left out, or with `strict` an error."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _snapshots(WarningState(config), key[0], rows.sort_values("ord"))
 
     columns = ["stream", "ord", "buy_volume", "sell_volume", "venue"]
-    return events.where(valid()).select(*columns).groupBy("stream").applyInPandas(run, OUTPUT)
+    return checked(events, strict).select(*columns).groupBy("stream").applyInPandas(run, OUTPUT)
 
 
-def watch(events: DataFrame, config: WarningConfig) -> DataFrame:
-    """The same over a stream: state is kept for each stream id, rows of a micro-batch are taken in order of `ord`."""
+def watch(events: DataFrame, config: WarningConfig, *, strict: bool = False, idle_minutes: int | None = None) -> DataFrame:
+    """The same over a stream: state is kept for each stream id, rows of a micro-batch are taken in order of `ord`, and
+    micro-batches as they come. With `idle_minutes` the state of a stream id that has been silent for so long is dropped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else WarningState(config)
         rows = pd.concat(list(parts)).sort_values("ord")
         yield _snapshots(held, key[0], rows)
         state.update((pickle.dumps(held),))
+        if idle_minutes:
+            state.setTimeoutDuration(60_000 * idle_minutes)
 
     columns = ["stream", "ord", "buy_volume", "sell_volume", "venue"]
-    grouped = events.where(valid()).select(*columns).groupBy("stream")
-    return grouped.applyInPandasWithState(run, OUTPUT, "held binary", "append", GroupStateTimeout.NoTimeout)
+    grouped = checked(events, strict).select(*columns).groupBy("stream")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    return grouped.applyInPandasWithState(run, OUTPUT, "held binary", "append", timeout)
 
 
 def summary(snapshots: DataFrame) -> DataFrame:

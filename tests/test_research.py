@@ -232,3 +232,49 @@ def test_importance_of_folds_equals_models_on_arrays(spark):
                 assert (r["mean"], r["std_error"]) == (pytest.approx(np.mean(want[r["feature"]])), pytest.approx(np.std(want[r["feature"]]) / np.sqrt(3)))
     with pytest.raises(ValueError):
         importance.fold_grams(rows.where("fold = 0"), ["a"], "y", "fold")
+
+
+def test_tick_file_to_features(spark, tmp_path):
+    from loomquant.operators import entropy
+    from loomquant.sources.ticks import load_ticks
+
+    rng = np.random.default_rng(3)
+    price, volume = np.round(100 + rng.normal(0, 1, 90).cumsum(), 1), rng.integers(1, 20, 90)
+    lines = ["when,px,size"] + [f"2024-03-01 10:{i // 60:02d}:{i % 60:02d},{p},{v}" for i, (p, v) in enumerate(zip(price, volume, strict=True))]
+    (tmp_path / "ticks.csv").write_text("\n".join(lines))
+    ticks = load_ticks(spark, f"file://{tmp_path}/ticks.csv", symbol="A")
+    marks = spark.createDataFrame([("A", 39), ("A", 79)], "symbol string, last long")
+    codes = entropy.quantile_codes(ticks, "volume", 5)
+    got = {r["bar_end"]: r for r in entropy.tick_features(ticks, marks, volume_codes=codes).collect()}
+    assert set(got) == {39, 79}  # ticks after the last boundary are in no bar
+    sign, signs = 0.0, []
+    for d in np.diff(price, prepend=price[0]):
+        sign = np.sign(d) or sign
+        signs.append(sign)
+    signs, diff = np.array(signs), np.diff(price, prepend=price[0])
+    log_ret = np.diff(np.log(price), prepend=np.log(price[0]))
+    for a, b in ((0, 40), (40, 80)):
+        r, s, v, dv, lr = got[b - 1], signs[a:b], volume[a:b], price[a:b] * volume[a:b], np.abs(log_ret[a:b])
+        assert r["kyle"] == pytest.approx((v * s * diff[a:b]).sum() / ((v * s) ** 2).sum())
+        assert r["amihud"] == pytest.approx((dv * lr).sum() / (dv**2).sum())
+        assert r["hasbrouck"] == pytest.approx((np.sqrt(dv) * s * lr).sum() / ((np.sqrt(dv) * s) ** 2).sum())
+        messages = {"tick": "".join({1: "a", -1: "b"}.get(x, "c") for x in s)}
+        messages["volume"] = "".join(min(((abs(x - k), i, c) for i, (k, c) in enumerate(codes)))[2] for x in v)
+        for kind, m in messages.items():
+            for name, f in entropy.ENTROPIES.items():
+                assert r[f"{kind}_{name}"] == pytest.approx(f(m)), (kind, name)
+    (tmp_path / "bad.csv").write_text("a,b,c\n2024-01-01 00:00:00,x,1\n")
+    with pytest.raises(Exception, match="not a price"):
+        load_ticks(spark, f"file://{tmp_path}/bad.csv").collect()
+    (tmp_path / "two.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        load_ticks(spark, f"file://{tmp_path}/two.csv")
+
+
+def test_invalid_events_are_left_out_or_errors(spark):
+    rows = [("s", 0, 1.0, 2.0, 1.0, 1), ("s", 1, -1.0, 2.0, 1.0, 1), ("s", 2, 1.0, 0.0, 0.0, 1), ("s", 3, 1.0, None, 1.0, 1)]
+    events = spark.createDataFrame(rows, "stream string, ord long, price double, buy_volume double, sell_volume double, venue long")
+    config = early_warning.WarningConfig()
+    assert [r["ord"] for r in early_warning.replay(events, config).collect()] == [0]
+    with pytest.raises(Exception, match="invalid event"):
+        early_warning.replay(events, config, strict=True).collect()
