@@ -52,11 +52,11 @@ SHINGLE = 5
 COLD = 24
 DELETIONS_TO = 118
 LEAST_INDEXED = 3
-FLUSH = 1_000_000
+FLUSH = 500_000
 LOCALLY_HOT = 1024
 SALTS = 16
 SIG_BITS = 39
-PER_BUCKET = 1 << 22
+PER_BUCKET = 1 << 20
 #: Parts of an entry's code: whether the set looks it up, a one-deletion signature, a segment that has such, segment
 #: number, and the size class (logarithm to the base of 1.02, modulo 128: partners are 15 classes apart at most).
 OWN, DELETION, MULTI, SEGMENT, CLASS = 1, 2, 4, 3, 9
@@ -229,18 +229,21 @@ class _Blocks:
         hot = np.repeat(count >= LOCALLY_HOT, count)
         salt = self.flushes % SALTS
         self.flushes += 1
-        bucket = (sig % U64(self.n_buckets)).astype(np.int64)
         marks = sig[first[count >= LOCALLY_HOT]]
-        yield from self._blocks(False, bucket[~hot], sig[~hot], at[~hot], code[~hot], nodes, marks)
+        cold = ~hot
         if hot.any():
-            moved = (mix(sig[hot] + U64(salt)) % U64(self.n_buckets)).astype(np.int64)
+            bucket = (sig[cold] % U64(self.n_buckets)).astype(np.int32)
+            yield from self._blocks(False, bucket, sig[cold], at[cold], code[cold], nodes, marks)
+            moved = (mix(sig[hot] + U64(salt)) % U64(self.n_buckets)).astype(np.int32)
             yield from self._blocks(True, moved, sig[hot], at[hot], code[hot], nodes, marks[:0])
+        else:
+            yield from self._blocks(False, (sig % U64(self.n_buckets)).astype(np.int32), sig, at, code, nodes, marks)
 
     def _blocks(self, hot: bool, bucket, sig, at, code, nodes, marks) -> Iterator[pa.RecordBatch]:
         short = sig >> U64(64 - SIG_BITS)  # the bucket keeps further bits
         order = np.lexsort((short, bucket))
         bucket, short, at, code = bucket[order], short[order], at[order], code[order]
-        home = (marks % U64(self.n_buckets)).astype(np.int64)
+        home = (marks % U64(self.n_buckets)).astype(np.int32)
         marks = (marks >> U64(64 - SIG_BITS)).astype("<u8")
         for number in np.union1d(bucket, home).tolist():
             a, b = np.searchsorted(bucket, number, "left"), np.searchsorted(bucket, number, "right")
