@@ -285,13 +285,15 @@ class _Bucket:
     def gathered(self) -> tuple[np.ndarray, ...]:
         """Signature, set and code of each entry by (signature, set), copies from several tasks dropped; first entry and
         number of entries of each signature, and whether it is known to be frequent elsewhere."""
-        node, code, sig = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        columns = [list(x) for x in zip(*self.parts, strict=True)]
         self.parts = []
+        node, code, sig = (np.concatenate(columns.pop(0)) for _ in range(3))
         order = np.lexsort((node[:, 0], sig))
-        sig, node, code = sig[order], node[order], code[order]
+        sig, node = sig[order], node[order]
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:, 0] != node[:-1, 0])
-        sig, node, code = sig[fresh], node[fresh], code[fresh]
+        sig, node, code = sig[fresh], node[fresh], code[order[fresh]]
+        del order, fresh
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(sig)))
         also_hot = np.isin(sig[first], np.concatenate(self.marks)) | self.hot
@@ -303,28 +305,31 @@ class _Bucket:
         if not len(sig):
             return
         node = node[:, 0]
-        own = (code & OWN) > 0
         size = np.where(also_hot, np.maximum(count, LOCALLY_HOT), count)
-        shared = (count > 1) | also_hot
-        per_entry = np.repeat(size, count)
-        whole = (sig.astype(np.int64) << 16) | (self.number & 0xFFFF)  # tells signatures apart across buckets
-        mine = np.flatnonzero(np.repeat(shared, count) & own)
+        mine = np.flatnonzero(np.repeat((count > 1) | also_hot, count) & ((code & OWN) > 0))
         if len(mine):
-            multi = (code[mine] & MULTI) > 0
-            segment = ((code[mine] >> SEGMENT) & 63).astype(np.int64)
-            numbered = (code[mine] & (MULTI | DELETION)) > 0
+            of = np.searchsorted(first, mine, "right") - 1
+            some = code[mine]
+            # tells signatures apart across buckets; segments of sets that have deletions go by number
+            whole = (sig[mine].astype(np.int64) << 16) | (self.number & 0xFFFF)
+            segment = ((some >> SEGMENT) & 63).astype(np.int64)
             yield _rows(
                 TALLY,
                 len(mine),
-                sig=np.where(numbered, segment, whole[mine]),
+                sig=np.where((some & (MULTI | DELETION)) > 0, segment, whole),
                 x=node[mine],
-                count=per_entry[mine],
-                deletion=(code[mine] & DELETION) > 0,
-                multi=multi,
+                count=size[of],
+                deletion=(some & DELETION) > 0,
+                multi=(some & MULTI) > 0,
             )
+            del of, some, whole, segment
+        del mine
         hot = np.flatnonzero(np.repeat(also_hot | (count > COLD), count))
         if len(hot):
-            yield _rows(HOT, len(hot), sig=sig[hot].view(np.int64), x=node[hot], count=per_entry[hot], own=own[hot])
+            of = np.searchsorted(first, hot, "right") - 1
+            yield _rows(HOT, len(hot), sig=sig[hot].view(np.int64), x=node[hot], count=size[of], own=(code[hot] & OWN) > 0)
+            del of
+        del hot, sig
         yield from self.pairs(node, code, first[~also_hot], count[~also_hot])
 
     def pairs(self, node, code, first, count) -> Iterator[pa.RecordBatch]:
@@ -589,12 +594,13 @@ class JaccardJoin:
         return costs.select("x", F.element_at("costs", F.least("need", F.size("costs"))).alias("top"))
 
     def looked_up(self, found: DataFrame, most: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Pairs (x, y) from signatures of few sets, lookups (sig, x) of frequent ones, and their members (sig, x)."""
+        """Pairs (x, y) from signatures of few sets, lookups (sig, x) of frequent ones, and members (sig, x) of all
+        frequent ones."""
         limits = stored(self.limits(found, most))
         cold = found.where(F.col("kind") == PAIR).join(limits, "x").where(F.col("count") <= F.col("top")).select("x", "y")
         hot = found.where(F.col("kind") == HOT).select("sig", "x", "count", "own")
         asks = stored(hot.where("own").join(limits, "x").where(F.col("count") <= F.col("top")).select("sig", "x"))
-        return cold, asks, hot.join(asks.select("sig").distinct(), "sig", "left_semi").select("sig", "x")
+        return cold, asks, hot.select("sig", "x")
 
     def passes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The same over segments and, where sets have too few of them, over single shingles."""
@@ -606,13 +612,15 @@ class JaccardJoin:
         return tuple(a if len(parts) == 1 else a.unionAll(parts[1][i]) for i, a in enumerate(parts[0]))
 
     @staticmethod
-    def collapsed(asks: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of frequent signatures with equal members one stays, looked up by all that look up any of them."""
+    def collapsed(asks: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of frequent signatures that are looked up and have equal members one stays, looked up by all that look up any
+        of them: its lookups (sig, x) and members (sig, x)."""
         told = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "x"), 31)).alias(f"d{k}") for k in (1, 2)]
-        digests = members.groupBy("sig").agg(F.count("*").alias("c"), *told)
-        named = stored(digests.select("sig", F.min("sig").over(Window.partitionBy("c", "d1", "d2")).alias("rep")))
+        digests = hot.groupBy("sig").agg(F.count("*").alias("c"), *told)
+        wanted = digests.join(asks.select("sig").distinct(), "sig")
+        named = stored(wanted.select("sig", F.min("sig").over(Window.partitionBy("c", "d1", "d2")).alias("rep")))
         asks = asks.join(named, "sig").select(F.col("rep").alias("sig"), "x").distinct()
-        return stored(asks), stored(members.join(named.where(F.col("sig") == F.col("rep")), "sig", "left_semi"))
+        return stored(asks), stored(hot.join(named.where(F.col("sig") == F.col("rep")), "sig", "left_semi"))
 
     def zipped(self) -> DataFrame:
         """Compressed texts by id."""
@@ -629,9 +637,9 @@ class JaccardJoin:
 
     def labels(self) -> DataFrame:
         """(node, component) of the representatives that have links."""
-        cold, asks, members = self.passes()
+        cold, asks, hot = self.passes()
         cold = stored(cold)
-        asks, members = self.collapsed(asks, members)
+        asks, members = self.collapsed(asks, hot)
         leaders = members.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
         led = asks.join(leaders, "sig")
         starred = [led.select("x", F.col(c).alias("y")).where(F.col("x") != F.col("y")) for c in ("lo", "hi")]
@@ -656,7 +664,7 @@ class JaccardJoin:
         known = known.select("x", "n", F.xxhash64(F.coalesce("component", "id")).alias("of"))
         placed = stored(members.join(known, "x"))
         mixed = placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig")
-        placed = stored(placed.join(mixed, "sig", "left_semi"))
+        placed = stored(placed.join(mixed, "sig"))
         several = placed.select("x", "of").distinct()
         blocks = texts.join(several, "x").select("x", "of", "z").mapInArrow(_sign_members(self.n_buckets), BLOCK)
         n = self.n_buckets
