@@ -6,6 +6,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,16 @@ def simple_returns(prices: DataFrame) -> DataFrame:
     return prices.select("ts", "asset", (F.try_divide(F.col("price"), before) - 1).alias("ret")).where(F.col("ret").isNotNull())
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """(a, b, cov): sample covariance over the times that both assets have."""
+def covariance(returns: DataFrame, *, half: bool = False) -> DataFrame:
+    """(a, b, cov): sample covariance over the times that both assets have; pairs are formed once, with a <= b, and come
+    out both ways unless only `half` of the matrix is wanted."""
     left = returns.select("ts", F.col("asset").alias("a"), F.col("ret").alias("ra"))
     right = returns.select("ts", F.col("asset").alias("b"), F.col("ret").alias("rb"))
-    return left.join(right, "ts").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    once = left.join(right, "ts").where(F.col("a") <= F.col("b")).groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    if half:
+        return once
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return once.select(F.explode(ways).alias("w"), "cov").select("w.a", "w.b", "cov")
 
 
 def expected_returns(returns: DataFrame, method: str = "mean", *, step: int = 1, span: int = 500) -> DataFrame:
@@ -72,10 +79,11 @@ def collect_inputs(prices: DataFrame, *, method: str = "mean", resample_by: str
     if len(mu) > MAX_ASSETS:
         raise ValueError(f"more than {MAX_ASSETS} assets")
     assets = sorted(mu)
-    at = {a: i for i, a in enumerate(assets)}
+    table = pa.array(assets)
+    half = covariance(returns, half=True).toArrow()  # columnar: a matrix of MAX_ASSETS has 12.5 million cells
+    i, j = (pc.index_in(half[c].combine_chunks(), table).to_numpy() for c in ("a", "b"))
     cov = np.zeros((len(assets), len(assets)))
-    for r in covariance(returns).collect():
-        cov[at[r["a"]], at[r["b"]]] = r["cov"]
+    cov[i, j] = cov[j, i] = half["cov"].to_numpy()
     return Inputs(assets, np.array([mu[a] for a in assets]), cov)
 
 
