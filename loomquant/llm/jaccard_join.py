@@ -613,14 +613,15 @@ class JaccardJoin:
 
     @staticmethod
     def collapsed(asks: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of frequent signatures that are looked up and have equal members one stays, looked up by all that look up any
-        of them: its lookups (sig, x) and members (sig, x)."""
+        """Of frequent signatures that are looked up and have equal members one stays. Returns its members (sig, x), and
+        each set that looks any of them up with two leaders of it (x, lo, hi)."""
         told = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "x"), 31)).alias(f"d{k}") for k in (1, 2)]
-        digests = hot.groupBy("sig").agg(F.count("*").alias("c"), *told)
+        digests = hot.groupBy("sig").agg(F.count("*").alias("c"), *told, F.min("x").alias("lo"), F.max("x").alias("hi"))
         wanted = digests.join(asks.select("sig").distinct(), "sig")
-        named = stored(wanted.select("sig", F.min("sig").over(Window.partitionBy("c", "d1", "d2")).alias("rep")))
-        asks = asks.join(named, "sig").select(F.col("rep").alias("sig"), "x").distinct()
-        return stored(asks), stored(hot.join(named.where(F.col("sig") == F.col("rep")), "sig", "left_semi"))
+        same = Window.partitionBy("c", "d1", "d2", "lo", "hi")
+        named = stored(wanted.select("sig", "lo", "hi", F.min("sig").over(same).alias("rep")))
+        members = stored(hot.join(named.where(F.col("sig") == F.col("rep")), "sig", "left_semi"))
+        return members, stored(asks.join(named, "sig").select("x", "lo", "hi").distinct())
 
     def zipped(self) -> DataFrame:
         """Compressed texts by id."""
@@ -639,9 +640,7 @@ class JaccardJoin:
         """(node, component) of the representatives that have links."""
         cold, asks, hot = self.passes()
         cold = stored(cold)
-        asks, members = self.collapsed(asks, hot)
-        leaders = members.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        led = asks.join(leaders, "sig")
+        members, led = self.collapsed(asks, hot)
         starred = [led.select("x", F.col(c).alias("y")).where(F.col("x") != F.col("y")) for c in ("lo", "hi")]
         pairs = cold.unionAll(starred[0]).unionAll(starred[1])
         pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
