@@ -657,13 +657,11 @@ class JaccardJoin:
         return connected_components(links if left.isEmpty() else links.unionAll(self.verified(left, texts)))
 
     def apart(self, labels: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
-        """(sig, x, n, of, wide): members of frequent signatures that span several components. `wide` counts the
-        shingles that sets of other components hold too; with less than 3/4 of its own a set has no partner there."""
+        """(sig, x, n, of, wide): members of frequent signatures. `wide` counts the shingles that sets of other components
+        hold too; with less than 3/4 of its own a set has no partner there and is left out."""
         known = texts.select("x", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
         known = known.select("x", "n", F.xxhash64(F.coalesce("component", "id")).alias("of"))
         placed = stored(members.join(known, "x"))
-        mixed = placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig")
-        placed = stored(placed.join(mixed, "sig"))
         several = placed.select("x", "of").distinct()
         blocks = texts.join(several, "x").select("x", "of", "z").mapInArrow(_sign_members(self.n_buckets), BLOCK)
         n = self.n_buckets
@@ -672,10 +670,11 @@ class JaccardJoin:
         return stored(placed.join(wide, "x").where(4 * F.col("wide") >= 3 * F.col("n")))
 
     def beside_leaders(self, placed: DataFrame, texts: DataFrame) -> DataFrame:
-        """Sets beside the leader of each of their signatures, the member with the largest share of its shingles
+        """Sets beside the leader of each of their signatures that spans several components, the member with the largest share of its shingles
         known elsewhere: whether they are linked, how many shingles of the leader x lacks and which, and how many more x has."""
         best = F.max_by("x", F.struct(F.col("wide") / F.col("n"), "x")).alias("y")
-        led = placed.join(placed.groupBy("sig").agg(best), "sig").select("x", "y", "n", "of", "wide").distinct()
+        ends = placed.groupBy("sig").agg(best, F.min("of").alias("lo"), F.max("of").alias("hi"))
+        led = placed.join(ends.where("lo != hi").select("sig", "y"), "sig").select("x", "y", "n", "of", "wide").distinct()
         x = texts.select("x", F.col("id").alias("a"), F.col("z").alias("za"))
         y = texts.select(F.col("x").alias("y"), F.col("id").alias("b"), F.col("n").alias("ny"), F.col("z").alias("zb"))
         both = led.join(x, "x").join(y, "y").select("x", "y", "n", "ny", "wide", "a", "b", "za", "zb")
