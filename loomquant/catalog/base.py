@@ -27,12 +27,12 @@ class Catalog:
         return register
 
 
-def rounded(df: DataFrame, *values: str, digits: int = 6) -> DataFrame:
-    """`values` rounded, with no negative zero and no NaN."""
+def rounded(df: DataFrame, *values: str, digits: int = 6, keep_nan: bool = False) -> DataFrame:
+    """`values` rounded, with no negative zero and, unless it is kept as the SQL has it, no NaN."""
 
     def one(c: str) -> Column:
         v = F.round(F.col(c).cast("double"), digits) + F.lit(0.0)
-        return F.when(~F.isnan(v), v).alias(c)
+        return (v if keep_nan else F.when(~F.isnan(v), v)).alias(c)
 
     return df.select(*[one(c) if c in values else F.col(c) for c in df.columns])
 
