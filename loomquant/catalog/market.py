@@ -276,7 +276,7 @@ SELECT symbol, id, {r('raw * count(*) OVER (PARTITION BY symbol) / sum(raw) OVER
 )
 def by_return(spark, d):
     close = domain.ticks(spark, d).select("symbol", "ts", F.col("price").alias("close"))
-    return rounded(weights.weights_by_return(domain.spans(spark, d), close), "weight")
+    return rounded(weights.weights_by_return(domain.spans(spark, d), close), "weight", keep_nan=True)
 
 
 UNIQUE = f"""{CONC}, uq AS (SELECT s.symbol, s.id, s.start, round(avg(1.0e0 / greatest(c, 1)), 11) AS u FROM spans s JOIN conc ON conc.symbol = s.symbol AND conc.ts BETWEEN s.start AND s."end" GROUP BY 1, 2, 3)"""

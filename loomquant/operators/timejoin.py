@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ieee import INFINITY, NAN
+
 
 def asof_forward(left: DataFrame, right: DataFrame, at: Column, *, value: str = "ts", by: str = "symbol", name: str = "found") -> DataFrame:
     """`left` with the first `right.value` at or after `at` (null if there is none): one sort of both sides together."""
@@ -47,7 +49,9 @@ def concurrency(points: DataFrame, spans: DataFrame, *, start: str = "start", en
 
 def span_sums(spans: DataFrame, points: DataFrame, value: str, *, key: list[str], start: str = "start", end: str = "end", at: str = "ts", by: str = "symbol", open_start: bool = False) -> DataFrame:
     """(key, total, n): sum of `value` and number of points with start <= at <= end of each span (start < at with
-    `open_start`), from running sums at both ends, so no span meets its points. Spans without points are left out."""
+    `open_start`), from running sums at both ends, so no span meets its points. Values that are not finite are counted beside the sums, as
+    they would stay in them. Spans without points are left out."""
+    odd = {"_nan": F.isnan("_v"), "_up": F.col("_v") == INFINITY, "_down": F.col("_v") == -INFINITY}
     none = F.lit(None).cast(spans.select(F.struct(*key).alias("k")).schema["k"].dataType)
     rows = points.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(at).alias("_t"), F.lit(1).alias("_o"), none.alias("_key"), F.lit(0).alias("_sign"), F.col(value).alias("_v"), F.lit(1).alias("_n"))
     live = spans.where(F.col(start) <= F.col(end))
@@ -56,6 +60,11 @@ def span_sums(spans: DataFrame, points: DataFrame, value: str, *, key: list[str]
         edge = live.select(F.col(by).alias("_by"), F.col(when).alias("_t"), F.lit(order).alias("_o"), F.struct(*key).alias("_key"), F.lit(sign).alias("_sign"), F.lit(0.0).alias("_v"), F.lit(0).alias("_n"))
         rows = rows.unionByName(edge)
     w = Window.partitionBy("_by").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.select("_key", "_sign", F.sum("_v").over(w).alias("_v"), F.sum("_n").over(w).alias("_n")).where(F.col("_key").isNotNull())
-    out = run.groupBy("_key").agg(F.sum(F.col("_sign") * F.col("_v")).alias("total"), F.sum(F.col("_sign") * F.col("_n")).alias("n"))
-    return out.where(F.col("n") > 0).select("_key.*", "total", "n")
+    rows = rows.withColumns({c: test.cast("int") for c, test in odd.items()})
+    rows = rows.withColumn("_v", F.when(F.col("_nan") + F.col("_up") + F.col("_down") == 0, F.col("_v")).otherwise(0.0))
+    summed = ["_v", "_n", *odd]
+    run = rows.select("_key", "_sign", *[F.sum(c).over(w).alias(c) for c in summed]).where(F.col("_key").isNotNull())
+    out = run.groupBy("_key").agg(*[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in summed])
+    none = (F.col("_nan") > 0) | ((F.col("_up") > 0) & (F.col("_down") > 0))
+    total = F.when(none, NAN).when(F.col("_up") > 0, INFINITY).when(F.col("_down") > 0, -INFINITY).otherwise(F.col("_v"))
+    return out.where(F.col("_n") > 0).select("_key.*", total.alias("total"), F.col("_n").alias("n"))
