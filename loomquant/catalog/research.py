@@ -258,7 +258,7 @@ SELECT symbol, bar_end, {r('kyle', 9)} AS kyle, {r('amihud', 9)} AS amihud, {r('
 def tick_features(spark, d):
     t = domain.ticks(spark, d)
     found = entropy.tick_features(t, hundreds(t)).select("symbol", "bar_end", "kyle", "amihud", "hasbrouck", "tick_shannon", "tick_plug_in_1")
-    return rounded(rounded(found, "kyle", "amihud", "hasbrouck", digits=9), "tick_shannon", "tick_plug_in_1")
+    return rounded(rounded(found, "kyle", "amihud", "hasbrouck", digits=9, keep_nan=True), "tick_shannon", "tick_plug_in_1")
 
 
 def hundreds(t):

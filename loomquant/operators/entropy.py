@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ieee import log_return
+
 
 def encode_tick_rule(sign: str) -> Column:
     """Letter of a sign: 1 is a, -1 is b, 0 is c; anything else fails."""
@@ -130,12 +132,14 @@ def earlier_matches(message: str) -> np.ndarray:
 def kontoyiannis(message: str, window: int = 0) -> float:
     """Mean of log2(n + 1) over match lengths, with a growing window (0) or a sliding one."""
     n = len(message)
+    if n < 2:
+        return 0.0
     if window:
         window = min(window, n // 2)
         points = range(window, n - window + 1)
     else:
         points = range(1, n // 2 + 1)
-        longest = earlier_matches(message).tolist() if n > 1 else []
+        longest = earlier_matches(message).tolist()
     terms = [math.log2((window or i) + 1) / (match_length(message, i, window) if window else min(longest[i], i) + 1) for i in points]
     return sum(terms) / len(terms) if terms else 0.0
 
@@ -181,7 +185,7 @@ def _in_bars(ticks: DataFrame, boundaries: DataFrame) -> DataFrame:
         {
             "_n": F.row_number().over(w) - 1,
             "price_diff": F.coalesce(F.col("price") - before, F.lit(0.0)),
-            "log_ret": F.coalesce(F.ln(F.try_divide(F.col("price"), before)), F.lit(0.0)),
+            "log_ret": F.coalesce(log_return(F.col("price"), before), F.lit(0.0)),
         }
     )
     held = F.struct("ts", "price", "volume", F.coalesce("sign", F.lit(0.0)).alias("sign"), "price_diff", "log_ret")

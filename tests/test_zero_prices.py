@@ -24,7 +24,7 @@ def zero_events(tmp_path_factory):
     return where, con
 
 
-@pytest.mark.parametrize("name", ["filters__cusum", "flagship__tick_bar_risk", "microstructure__trade_lambdas", "weights__by_return"])
+@pytest.mark.parametrize("name", ["filters__cusum", "flagship__tick_bar_risk", "microstructure__trade_lambdas", "weights__by_return", "entropy__tick_features"])
 def test_same_rows_with_prices_of_zero(name, spark, zero_events):
     where, con = zero_events
     assert_same(QUERIES[name](spark, where).toPandas(), con.sql(ORACLES[name]).df())
