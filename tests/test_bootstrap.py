@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from loomquant.operators import weights
+from loomquant.operators import ensembles, weights
 
 
 def test_three_draws_follow_the_definition():
@@ -52,3 +52,12 @@ def test_labels_of_shared_spans(spark):
     assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
     with pytest.raises(Exception, match="ends before"):
         weights.sequential_bootstrap(spark.createDataFrame([("A", 1, 3, 2)], spans.schema)).collect()
+
+
+def test_bags_of_many_labels_of_few_spans(spark):
+    spans = spark.range(20_000).selectExpr("id", "id % 10 AS start", "id % 10 + 500 AS end")
+    drawn = ensembles.draw_bags(spans, 3, 6000, seed=2)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("FlatMapGroupsInArrow") :]  # tasks get a row for each distinct span
+    bags = drawn.toPandas()
+    assert bags.groupby("estimator").size().tolist() == [6000] * 3 and bags["id"].between(0, 19_999).all()
