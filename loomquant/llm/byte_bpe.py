@@ -356,7 +356,8 @@ def _reply(vocabulary: Vocabulary):
         decoded: list[bytes] = []
         for batch in batches:
             out: list[tuple] = []
-            columns = [column(batch, c) for c in ("bucket", "seq", "block", "asked", "ids", "bytes", "longs")]
+            columns = [column(batch, c) for c in ("bucket", "seq", "block", "asked", "longs")]
+            ids_of, bytes_of = (column(batch, "folded").field(c) for c in ("ids", "bytes"))
             for r in range(batch.num_rows):
                 bucket, seq, block, asked = (c[r].as_py() for c in columns[:4])
                 if bucket != now:
@@ -365,10 +366,10 @@ def _reply(vocabulary: Vocabulary):
                     raise RuntimeError(f"row {seq} of bucket {bucket} came where row {due} was due")
                 due += 1
                 if block is None:
-                    lists = columns[4][r].values
+                    lists = ids_of[r].values
                     data = lists.flatten().to_numpy().astype("<u4").tobytes()
                     ends = np.concatenate([[0], 4 * np.cumsum(lists.value_lengths().to_numpy())]).tolist()
-                    folded = zip(ends, ends[1:], columns[5][r].as_py(), columns[6][r].as_py(), strict=False)
+                    folded = zip(ends, ends[1:], bytes_of[r].as_py(), columns[4][r].as_py(), strict=False)
                     for a, b, text, word in folded:
                         if word is None:
                             ids.append(data[a:b])
@@ -465,16 +466,23 @@ def encode(
     plain = [("bucket", T.LongType()), ("seq", T.IntegerType()), ("block", T.LongType()), ("asked", T.BinaryType())]
     asked_schema = T.StructType([*(T.StructField(k, t) for k, t in plain), T.StructField("words", words), T.StructField("longs", T.ArrayType(T.BinaryType()))])
     asked = dealt.mapInArrow(_distinct(vocabulary, long_bytes), asked_schema)
-    # the rank map is a scalar subquery: the optimizer puts its value where it is used, and plans stay short
-    literal = spark.createDataFrame(pa.table({"slots": pa.array([vocabulary.slots], pa.list_(pa.int64()))}))
+    # what the vocabulary gives are scalar subqueries, which the optimizer puts where their columns are used, once each: as
+    # literals they would be in the text of every plan and of its events on the driver
+    edges = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])]).astype(np.int32)
+    given = {
+        "slots": pa.array([vocabulary.slots], pa.list_(pa.int64())),
+        "ends": pa.array([edges], pa.list_(pa.int32())),
+        "blob": pa.array([b"".join(vocabulary.pieces)], pa.binary()),
+    }
     size = len(vocabulary.slots)
+
+    def decoded(ids: Column) -> Column:
+        return _let(F.col("ends"), lambda e: _let(F.col("blob"), lambda b: F.transform(ids, lambda i: pieces_of(i, b, e))))
+
     folded = _let(F.col("slots"), lambda t: F.transform("words", lambda w: fold_merges(w, t, size)))
-    merged = asked.withColumn("slots", literal.scalar()).select("bucket", "seq", "block", "asked", folded.alias("ids"), "longs")
-    edges = np.concatenate([[0], np.cumsum([len(p) for p in vocabulary.pieces])]).tolist()
-    ends = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<int>")
-    blob = F.lit(b"".join(vocabulary.pieces))
-    decoded = _let(ends, lambda e: F.transform("ids", lambda i: pieces_of(i, blob, e)))
-    merged = merged.select("bucket", "seq", "block", "asked", "ids", decoded.alias("bytes"), "longs")
+    both = _let(folded, lambda ids: F.struct(ids.alias("ids"), decoded(ids).alias("bytes")))
+    told = asked.withColumns({c: spark.createDataFrame(pa.table({c: values})).scalar() for c, values in given.items()})
+    merged = told.select("bucket", "seq", "block", "asked", both.alias("folded"), "longs")
     give_back()
     replies = merged.mapInArrow(_reply(vocabulary), REPLY)
 
